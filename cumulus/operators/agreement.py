@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from cumulus.session import check_state
 
 
-def confusion(df: DataFrame, a: str, b: str, keys: list[str] = []) -> DataFrame:
-    """(keys, a, b, n): counts of every pair of labels that occurs."""
-    return df.groupBy(*keys, a, b).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, a: str, b: str, keys: list[str] = [], weight: str | None = None) -> DataFrame:
+    """(keys, a, b, n): counts of every pair of labels that occurs; ``weight`` counts a row more than once."""
+    return df.groupBy(*keys, a, b).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
 
 
-def _margins(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    cells = confusion(df, a, b, keys).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"), "n")
+def _margins(df: DataFrame, a: str, b: str, keys: list[str], weight: str | None) -> DataFrame:
+    cells = confusion(df, a, b, keys, weight).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"), "n")
     sets = [[*keys, "_a", "_b"], [*keys, "_a"], [*keys, "_b"], list(keys)]
     cols = [F.col(c) for c in (*keys, "_a", "_b")]
     return cells.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
@@ -27,18 +27,18 @@ def _margins(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     )
 
 
-def _sums(df: DataFrame, a: str, b: str, keys: list[str], f) -> DataFrame:
+def _sums(df: DataFrame, a: str, b: str, keys: list[str], f, weight: str | None = None) -> DataFrame:
     side = lambda ga, gb: (F.col("ga") == ga) & (F.col("gb") == gb)
     total = lambda ga, gb: F.sum(F.when(side(ga, gb), f(F.col("m"))))
-    return _margins(df, a, b, keys).groupBy(*keys).agg(
+    return _margins(df, a, b, keys, weight).groupBy(*keys).agg(
         total(0, 0).alias("sab"), total(0, 1).alias("sa"), total(1, 0).alias("sb"),
         F.max(F.when(side(1, 1), F.col("m"))).alias("N"),
     )
 
 
-def mutual_information(df: DataFrame, a: str, b: str, keys: list[str] = []) -> DataFrame:
+def mutual_information(df: DataFrame, a: str, b: str, keys: list[str] = [], weight: str | None = None) -> DataFrame:
     """(keys, mi, nmi): nats, and normalised by the mean of the two entropies; 0 when both are constant."""
-    s = _sums(df, a, b, keys, lambda m: m * F.log(m))
+    s = _sums(df, a, b, keys, lambda m: m * F.log(m), weight)
     h = lambda c: F.log("N") - F.col(c) / F.col("N")
     mi = F.greatest(h("sa") + h("sb") - h("sab"), F.lit(0.0))
     both = h("sa") + h("sb")

@@ -43,8 +43,8 @@ def meta_log_density(models: Gaussians, members: list[list[int]], counts: np.nda
     groups = [[place[c] for c in m] for m in members]
     models.factors()
 
-    def density(X):
-        comp = models.log_density(X)
+    def density(X, comp=None):
+        comp = models.log_density(X) if comp is None else comp
         out = np.full((len(X), len(groups)), -np.inf)
         for g, idx in enumerate(groups):
             w = counts[idx].astype(float)

@@ -24,12 +24,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = small.unionByName(small_low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        nxt = rounds.cut(nxt)
-        if nxt.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(nxt, ["u", "v"], "left_anti").isEmpty():
+        now = rounds.cut(nxt)
+        roles = now.select(F.col("u").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(
+            now.select(F.col("v").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("centre"))
+        )
+        mixed = roles.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).filter("leaf + centre > 1")
+        if mixed.isEmpty():  # every vertex is a leaf of one star or the centre of its own
             break
-        now = nxt
     else:
         raise RuntimeError("components did not settle")
-    return nxt.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        nxt.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
