@@ -14,6 +14,7 @@ from cumulus.functions import columns as C
 from cumulus.functions import vectors as V
 from cumulus.operators.agreement import mutual_information
 from cumulus.operators.reshape import union_modes
+from cumulus.session import materialise
 from cumulus.plans.clouds import DIM, MAHA, PAIRS, PLANE, PTS, _seeded, diag_sql, points, trades
 from cumulus.plans.registry import query, table
 from cumulus.plans.reports import RUNS, r6, runs
@@ -73,7 +74,7 @@ def euler_curve(spark, sf):
   SELECT round(w, 6) AS w, (sum(d) OVER (ORDER BY s.w))::BIGINT AS euler FROM s""")
 def euler_from_betti(spark, sf):
     """The same curve from the Betti numbers of the persistence pairs: b0 - b1 + b2."""
-    cells = T.filtration(rips_cells(spark, sf))
+    cells = materialise(T.filtration(rips_cells(spark, sf)))
     curve = P.betti_curve(cells, P.persistence_pairs(cells), 2)
     return r6(curve.select("w", (F.col("b0") - F.col("b1") + F.col("b2")).cast("bigint").alias("euler")), "w")
 
@@ -139,33 +140,33 @@ REACH = """, o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY w,
   z AS (SELECT run_id, top, v, min(u) AS root FROM r GROUP BY ALL), c AS (SELECT run_id, top AS ord, count(DISTINCT root) AS b0, count(DISTINCT v) AS n FROM z GROUP BY ALL)
 """
 CLUSTER_R = CLUSTER.replace("WITH ", "WITH RECURSIVE ", 1)
-BETTI = CLUSTER_R + REACH + """, h AS (SELECT run_id, w, b0, ord - n + b0 AS b1 FROM o JOIN c USING (run_id, ord)
+BETTI = CLUSTER_R + REACH + """, h AS (SELECT run_id, w, b0, ord - n + b0 AS b1 FROM o JOIN c USING (run_id, ord) WHERE (run_id, ord) IN (SELECT (run_id, max(ord)) FROM o GROUP BY run_id, w)
     UNION ALL SELECT run_id, 0.0, n, 0 FROM (SELECT DISTINCT run_id, n FROM c))"""
 
 
 @query(BETTI + " SELECT run_id, round(w, 6) AS w, b0::INTEGER AS b0, b1::INTEGER AS b1 FROM h")
 def betti_curve(spark, sf):
-    cells = T.filtration(T.expand(*cluster_edges(spark, sf), 1))
+    cells = materialise(T.filtration(T.expand(*cluster_edges(spark, sf), 1)))
     return r6(P.betti_curve(cells, P.persistence_pairs(cells), 1), "w")
 
 
-@query(BETTI + """, m AS (SELECT *, (b0 = 2 AND b1 = 0) AS hit, max(w) OVER (PARTITION BY run_id) AS scale FROM h),
-  i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY w) AS isl, lead(w) OVER (PARTITION BY run_id ORDER BY w) AS nxt FROM m),
+@query(BETTI + """, hm AS (SELECT *, (b0 = 2 AND b1 = 0) AS hit, max(w) OVER (PARTITION BY run_id) AS scale FROM h),
+  i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY w) AS isl, lead(w) OVER (PARTITION BY run_id ORDER BY w) AS nxt FROM hm),
   s AS (SELECT run_id, isl, scale, min(w) AS r0, max(coalesce(nxt, scale)) AS r1 FROM i WHERE hit GROUP BY ALL),
   b AS (SELECT run_id, arg_max(r0, r1 - r0) AS r0, arg_max(r1, r1 - r0) AS r1 FROM s GROUP BY ALL)
   SELECT x.run_id, round((r1 - r0) / x.scale, 6) AS dominance, round(r0, 6) AS r0, round(r1, 6) AS r1, round(x.scale, 6) AS scale,
     (SELECT count(*) FROM e WHERE e.run_id = x.run_id AND e.w <= r0) + CASE WHEN r0 IS NULL THEN 0 ELSE 7 END AS cells
-  FROM (SELECT DISTINCT run_id, scale FROM m) x LEFT JOIN b ON b.run_id = x.run_id""")
+  FROM (SELECT DISTINCT run_id, scale FROM hm) x LEFT JOIN b ON b.run_id = x.run_id""")
 def dominance(spark, sf):
     """For how long the seven models form two components without a loop."""
-    cells = T.filtration(T.expand(*cluster_edges(spark, sf), 1))
+    cells = materialise(T.filtration(T.expand(*cluster_edges(spark, sf), 1)))
     targets = spark.createDataFrame([(f, [2, 0]) for f in FLAGS], "run_id string, betti array<int>")
     return r6(P.dominance(cells, P.persistence_pairs(cells), targets, 1), "dominance", "r0", "r1", "scale")
 
 
 @query()
 def persistence_pairs(spark, sf):
-    cells = T.filtration(rips_cells(spark, sf))
+    cells = materialise(T.filtration(rips_cells(spark, sf)))
     return P.persistence_pairs(cells).groupBy("dim").agg(F.count("*").alias("pairs"), F.sum("birth").alias("births"), F.sum("death").alias("deaths"))
 
 
@@ -181,7 +182,7 @@ MERGES = CLUSTER_R + REACH + """, before AS (SELECT o.run_id, o.ord, o.a, o.b, o
 def merge_tree(spark, sf):
     """Topological merging of the line-number models over the returned rows."""
     vertices, edges = cluster_edges(spark, sf)
-    cells = T.filtration(T.expand(vertices, edges, 1).filter("run_id = 'A'"))
+    cells = materialise(T.filtration(T.expand(vertices, edges, 1).filter("run_id = 'A'")))
     merges = H.topological_merges(O.Cover(None, cells).edges)
     return r6(H.merge_table(spark, merges).drop("run_id"), "cost")
 
