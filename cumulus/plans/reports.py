@@ -225,9 +225,9 @@ def parse_run_name(spark, sf):
     return runs(spark, sf).select("run", c.alias("components"), d.alias("dimension"), C.run_components("method")[0].alias("no_match"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, make_timestamp((1700000000 + l_orderkey) * 1000000) AS t FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(make_timestamp((1700000000 + l_orderkey) * 1000000) AS VARCHAR) AS t FROM lineitem")
 def run_time(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", C.run_time(F.col("l_orderkey") + 1700000000).alias("t"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", C.run_time(F.col("l_orderkey") + 1700000000).cast("string").alias("t"))
 
 
 @query(RUNS + """SELECT run, dataset || ',' || substr(method, 6) AS label, 'N =' || lpad(CAST(cells AS VARCHAR), 2, ' ') AS size_label,
@@ -263,8 +263,8 @@ def shift_labels(spark, sf):
 
 
 def _series(spark, sf):
-    """Per method and data set, the score and cell series in run order, as a stored document holds them."""
-    rows = runs(spark, sf).groupBy("method", "dataset").agg(F.sort_array(F.collect_list(F.struct("run", "score", "cells"))).alias("s"))
+    """Per method, data set and batch of a hundred runs, the score and cell series as a stored document holds them."""
+    rows = runs(spark, sf).groupBy("method", "dataset", F.floor(F.col("run") / 100)).agg(F.sort_array(F.collect_list(F.struct("run", "score", "cells"))).alias("s"))
     return rows.select("method", "dataset", F.col("s.run").alias("run"), F.col("s.score").alias("score"), F.col("s.cells").alias("cells"))
 
 
@@ -436,10 +436,10 @@ def representative_rows(spark, sf):
     return W.rows_at(base, ["method"], ["ts", "run"], {"click": 3, "error": 84, "purchase": 282, "view": 36}).select("run", "method", "dataset")
 
 
-@query(RUNS + "SELECT method, ts, run, CAST(row_number() OVER (PARTITION BY method ORDER BY ts, run) AS BIGINT) AS n FROM runs")
+@query(RUNS + "SELECT method, run, row_number() OVER (PARTITION BY method ORDER BY ts, run) AS n FROM runs")
 def row_numbers_split_by_range(spark, sf):
     """The form for groups too large for one task: ranges are numbered side by side."""
-    return W.number_rows(runs(spark, sf).select("method", "ts", "run"), ["method"], ["ts", "run"], "n", small=False)
+    return W.number_rows(runs(spark, sf).select("method", "ts", "run"), ["method"], ["ts", "run"], "n", small=False).drop("ts")
 
 
 @query(RUNS + "SELECT dataset, method, round(median(score), 6) AS score_med FROM runs GROUP BY ALL ORDER BY dataset, score_med DESC, method")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,7 @@ SMALL_BYTES = 64 << 20
 MAX_STATE = 32_000_000
 
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def configure(builder: SparkSession.Builder, partitions: int | None = None) -> SparkSession.Builder:
@@ -30,6 +33,16 @@ def configure(builder: SparkSession.Builder, partitions: int | None = None) -> S
     return builder
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application (what ``--py-files`` does at submit)."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="cumulus-ship-"), "cumulus")
+        spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "cumulus"))
+        _shipped.add(app)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the session's ``spark.checkpoint.dir``.
 
