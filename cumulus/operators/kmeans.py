@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from cumulus.functions.vectors import matrix, square_distances
 from cumulus.operators.agreement import mutual_information
 from cumulus.operators.folds import fold, map_blocks
-from cumulus.operators.ordering import seeded_pick
-from cumulus.session import check_state
+from cumulus.operators.neighbors import knn_join
+from cumulus.operators.ordering import number_rows, seeded_order, seeded_pick
+from cumulus.session import Rounds, check_state
 
 
 @dataclass
@@ -79,10 +80,7 @@ def lloyd(points: DataFrame, fits: list[KMeansFit], rounds: int = 100, tol: floa
     return fits
 
 
-def kmeans(points: DataFrame, k: int | float, seed: int = 0, rounds: int = 100, tol: float = 1e-6) -> KMeansFit:
-    """One fit; a fractional k is that share of the rows."""
-    if isinstance(k, float):
-        k = max(1, round(k * points.count()))
+def kmeans(points: DataFrame, k: int, seed: int = 0, rounds: int = 100, tol: float = 1e-6) -> KMeansFit:
     return lloyd(points, [KMeansFit("kmeans", random_centers(points, k, seed))], rounds, tol)[0]
 
 
@@ -140,3 +138,24 @@ def assign_centers(points: DataFrame, fit: KMeansFit, out: str = "cluster") -> D
         return {out: pa.array(at.astype(np.int32) + 1), "dist2": pa.array(D[np.arange(len(at)), at])}
 
     return map_blocks(points, step, f"`{out}` int, dist2 double", points.columns)
+
+
+def kmeans_share(points: DataFrame, share: float, seed: int = 0, rounds: int = 20) -> DataFrame:
+    """(id, cluster, dist): k-means with k a share of the rows, after ``rounds`` Lloyd rounds.
+
+    Such a k grows with the data, so the centres are a table: rows find theirs by the nearest-neighbour
+    join, and the means are grouped sums. Nothing of size k is collected or broadcast by hand.
+    """
+    base = points.select("id", "x")
+    k = max(1, round(share * base.count()))
+    seeds = number_rows(base, [], [seeded_order(seed, "id"), F.col("id")], "cluster").filter(F.col("cluster") <= k)
+    cuts = Rounds("centres")
+    centers = cuts.cut(seeds.select(F.col("cluster").cast("bigint").alias("id"), "x"))
+    for _ in range(rounds):
+        near = knn_join(base, centers, 1).select("id", F.col("neighbor").alias("cluster"))
+        axes = base.join(near, "id").select("cluster", F.posexplode("x").alias("axis", "v"))
+        means = axes.groupBy("cluster", "axis").agg(F.avg("v").alias("v"))
+        moved = means.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("axis", "v"))).alias("s"))
+        moved = moved.select(F.col("cluster").alias("id"), F.col("s.v").alias("_x"))
+        centers = cuts.cut(centers.join(moved, "id", "left").select("id", F.coalesce("_x", "x").alias("x")))
+    return knn_join(base, centers, 1).select("id", F.col("neighbor").alias("cluster"), "dist")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulus.session import is_small, materialise
+from cumulus.session import is_small, materialise, plan_bytes
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -19,7 +19,7 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], splits: int = 256, small: bool | None = None) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], splits: int | None = None, small: bool | None = None) -> DataFrame:
     """Adds ``run_<c>``, the inclusive running sum of each ``c`` by ``by`` within ``keys``.
 
     ``df`` has one row per (keys, by). A large input is cut into value ranges per key, so a hot key is
@@ -30,6 +30,8 @@ def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], spl
     if small:
         w = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(f"run_{c}") for c in sums])
+    if splits is None:  # about 32 MB of values per range
+        splits = max(16, min(1024, (plan_bytes(df) or 1 << 40) >> 25))
     marks = [i / splits for i in range(1, splits)]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(F.col(by).cast("double"), marks, 10 * splits).alias("_bounds"))
     value = F.col(by).cast("double")
@@ -44,16 +46,23 @@ def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], spl
     )
 
 
+def value_counts(df: DataFrame, keys: list[str], col: str, small: bool) -> DataFrame:
+    """(keys, col, ties): distinct values with multiplicity, NULL included; a large one is written, for several passes."""
+    counts = df.groupBy(*keys, col).agg(F.count("*").alias("ties"))
+    return counts if small else materialise(counts, "counts")
+
+
+def _ranked(counts: DataFrame, keys: list[str], col: str, small: bool) -> DataFrame:
+    ranked = running_totals(counts.filter(F.col(col).isNotNull()), keys, col, ["ties"], small=small)
+    below = F.col("run_ties") - F.col("ties")
+    return ranked.select(*keys, col, "ties", below.alias("below"), (below + (F.col("ties") + 1) / 2).alias("rank"))
+
+
 def value_ranks(df: DataFrame, keys: list[str], col: str, small: bool | None = None) -> DataFrame:
-    """(keys, col, ties, below, rank): distinct values with multiplicity, rows below, average rank."""
+    """(keys, col, ties, below, rank): distinct non-NULL values, rows below, average rank."""
     if small is None:
         small = is_small(df)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("ties"))
-    if not small:
-        counts = materialise(counts, "counts")  # read three times below
-    ranked = running_totals(counts, keys, col, ["ties"], small=small)
-    below = F.col("run_ties") - F.col("ties")
-    return ranked.select(*keys, col, "ties", below.alias("below"), (below + (F.col("ties") + 1) / 2).alias("rank"))
+    return _ranked(value_counts(df, keys, col, small), keys, col, small)
 
 
 def quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float], small: bool | None = None) -> DataFrame:
@@ -62,9 +71,9 @@ def quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float], smal
         small = is_small(df)
     if small:
         return df.groupBy(*keys).agg(F.count(col).alias("n"), F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("q"))
-    ranked = value_ranks(df, keys, col, small=False)
-    sizes = df.groupBy(*keys).agg(F.count(col).alias("n"))
-    placed = join_keys(ranked, sizes, keys)
+    counts = value_counts(df, keys, col, small)
+    sizes = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(col).isNotNull(), F.col("ties"))), F.lit(0)).alias("n"))
+    placed = join_keys(_ranked(counts, keys, col, small), sizes, keys)
     picks = []
     for i, p in enumerate(probs):
         at = (F.col("n") - 1) * F.lit(p)
@@ -74,7 +83,8 @@ def quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float], smal
         picks.append(F.max(at - F.floor(at)).alias(f"_fr{i}"))
     found = placed.groupBy(*keys).agg(*picks)
     q = F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}") for i in range(len(probs))])
-    return join_keys(sizes, found.select(*keys, q.alias("q")), keys, "left")
+    # one row per key: written, because callers join it back more than once
+    return materialise(join_keys(sizes, found.select(*keys, q.alias("q")), keys, "left"), "quantiles")
 
 
 def medians(df: DataFrame, keys: list[str], cols: list[str], suffix: str = "_med", small: bool | None = None) -> DataFrame:

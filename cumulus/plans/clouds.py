@@ -177,6 +177,16 @@ def prune_models(spark, sf):
     return spark.createDataFrame([(int(i), int(n)) for i, n in zip(kept.ids, kept.n)], "comp int, n bigint")
 
 
+@query(PLANE + f""", u AS (SELECT * FROM g WHERE n > (SELECT count(*) FROM t) // 7), s AS (SELECT t.q, t.p, u.label AS comp, -0.5 * (ln(det) + {MAHA}) AS d, w FROM (SELECT q, p, count(*) AS w FROM t GROUP BY ALL) t, u),
+  b AS (SELECT q, p, any_value(w) AS w, arg_max(comp, d) AS comp FROM s GROUP BY ALL), z AS (SELECT comp, sum(w)::BIGINT AS n FROM b GROUP BY ALL)
+  SELECT u.label AS comp, coalesce(z.n, 0) AS n, round(u.mq, 6) AS quantity FROM u LEFT JOIN z ON z.comp = u.label""")
+def construct_models(spark, sf):
+    """Models of the clusters above a minimum size with finite entropy, sized by reassigning every row."""
+    pts = trades(spark, sf)
+    kept = M.construct_models(pts, "label", pts.count() // 7)
+    return spark.createDataFrame([(int(i), int(n), round(float(m[0]), 6)) for i, n, m in zip(kept.ids, kept.n, kept.mu)], "comp int, n bigint, quantity double")
+
+
 def diag_sql(where: str = "") -> str:
     return f"""m AS (SELECT label AS c, i, avg(x[i]) AS mu, var_pop(x[i]) AS v FROM pts, {AXES} {where} GROUP BY ALL),
   w AS (SELECT label AS c, ln(count(*) / (SELECT count(*) FROM pts {where})) AS lw FROM pts {where} GROUP BY ALL),
@@ -325,31 +335,62 @@ def kmeans_steps(spark, sf):
     return r6(K.assign_centers(pts, fit).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist2").alias("cost")), "cost")
 
 
-@query("SELECT greatest(1, round_even(0.02 * count(*), 0))::BIGINT AS k FROM embeddings")
+SHARE = """, k AS (SELECT greatest(1, round_even(0.02 * count(*), 0)) AS k FROM pts),
+  c0 AS (SELECT x, row_number() OVER (ORDER BY md5('6:' || id), id) AS c FROM pts QUALIFY c <= (SELECT k FROM k))"""
+for _r in range(3):
+    SHARE += f", a{_r} AS (SELECT p.id, any_value(p.x) AS x, arg_min(c.c, list_distance(p.x, c.x)) AS c, min(list_distance(p.x, c.x)) AS d FROM pts p, c{_r} c GROUP BY p.id)"
+    SHARE += f", c{_r + 1} AS (SELECT c, list(v ORDER BY i) AS x FROM (SELECT c, i, avg(x[i]) AS v FROM a{_r}, {AXES} GROUP BY ALL) GROUP BY c)"
+
+
+@query(PTS + SHARE + " SELECT id, c AS cluster, round(d, 6) AS dist FROM a2")
 def kmeans_proportional(spark, sf):
-    """k as two percent of the rows; the number of centres returned."""
-    return spark.createDataFrame([(K.kmeans(points(spark, sf), 0.02, rounds=2).k,)], "k bigint")
+    """k is two percent of the rows, so the centres stay a table."""
+    return r6(K.kmeans_share(points(spark, sf), 0.02, seed=6, rounds=2), "dist")
+
+
+def grid_sql(ks: list[int], seeds: list[int], rounds: int) -> str:
+    """Lloyd rounds of many fits side by side."""
+    out = ", f AS (SELECT unnest(" + str(ks) + ") AS k), c0 AS (SELECT k, s, c, x FROM f, (" + " UNION ALL ".join(
+        f"SELECT {s} AS s, x, row_number() OVER (ORDER BY md5('{s}:' || id), id) AS c FROM pts" for s in seeds
+    ) + ") WHERE c <= k)"
+    for r in range(rounds + 1):
+        out += f""", a{r} AS MATERIALIZED (SELECT k, s, p.id, any_value(p.label) AS label, any_value(p.x) AS x, arg_min(c.c, list_distance(p.x, c.x)) AS c,
+    min(list_distance(p.x, c.x)) ** 2 AS d2 FROM pts p, c{r} c GROUP BY k, s, p.id)"""
+        if r < rounds:
+            out += f""", c{r + 1} AS MATERIALIZED (SELECT k, s, c, list(v ORDER BY i) AS x FROM (SELECT k, s, c, i, avg(x[i]) AS v FROM a{r}, {AXES} GROUP BY ALL) GROUP BY ALL)"""
+    return out + f", cost AS (SELECT k, s, sum(d2) AS cost FROM a{rounds} GROUP BY ALL)"
 
 
 def _fit_table(spark, fits):
-    return spark.createDataFrame([(f.run_id, f.k, float(f.cost), f.rounds) for f in fits], "run_id string, k int, cost double, rounds int")
+    rows = [(f.run_id, f.k, round(float(f.cost), 6)) for f in fits]
+    return spark.createDataFrame(rows, "run_id string, k int, cost double")
 
 
-@query()
+_BEST = " SELECT 'k' || k || '-s' || s AS run_id, k, round(cost, 6) AS cost FROM cost"
+
+
+@query(PTS + grid_sql([10], [1, 2, 3], 4) + _BEST + " ORDER BY cost.cost LIMIT 1")
 def kmeans_restarts(spark, sf):
-    return _fit_table(spark, [K.best_of_restarts(points(spark, sf), 10, 3, 1, rounds=25)])
+    """Three restarts in shared scans; lowest cost after four rounds."""
+    return _fit_table(spark, [K.best_of_restarts(points(spark, sf), 10, 3, 1, rounds=4, tol=-1.0)])
 
 
-@query()
+@query(PTS + grid_sql(list(range(2, 21)), [1, 2], 2) + _BEST + " ORDER BY cost.cost LIMIT 1")
 def kmeans_over_k(spark, sf):
-    """k = 2 .. 20 and two restarts in shared scans; lowest cost."""
-    return _fit_table(spark, [K.best_over_k(points(spark, sf), 5, 2, 1, rounds=15)])
+    """k = 2 .. 20 and two restarts in shared scans; lowest cost after two rounds."""
+    return _fit_table(spark, [K.best_over_k(points(spark, sf), 5, 2, 1, rounds=2, tol=-1.0)])
 
 
-@query()
+@query(PTS + grid_sql(list(range(2, 21)), [1], 2) + """, n AS (SELECT k, label, c, count(*) AS n FROM a2 GROUP BY ALL), t AS (SELECT count(*)::DOUBLE AS n FROM pts),
+  x AS (SELECT k, sum(n * ln(n)) AS v FROM n GROUP BY ALL), y AS (SELECT k, sum(n * ln(n)) AS v FROM (SELECT k, label, sum(n) AS n FROM n GROUP BY ALL) GROUP BY ALL),
+  z AS (SELECT k, sum(n * ln(n)) AS v FROM (SELECT k, c, sum(n) AS n FROM n GROUP BY ALL) GROUP BY ALL),
+  h AS (SELECT k, ln(t.n) - y.v / t.n AS ha, ln(t.n) - z.v / t.n AS hb, ln(t.n) - x.v / t.n AS hab FROM x JOIN y USING (k) JOIN z USING (k), t),
+  best AS (SELECT arg_max(k, (ha + hb - hab) / (ha + hb)) AS k FROM h)
+  SELECT 'k' || k || '-s' || s AS run_id, k, round(cost, 6) AS cost FROM cost JOIN best USING (k)""")
 def kmeans_by_agreement(spark, sf):
+    """The k of 2 .. 20 whose clusters agree best with the classes."""
     pts = points(spark, sf)
-    fits = K.kmeans_grid(pts, list(range(2, 21)), [1], rounds=15)
+    fits = K.kmeans_grid(pts, list(range(2, 21)), [1], rounds=2, tol=-1.0)
     return _fit_table(spark, [K.best_by_agreement(pts, "label", fits)])
 
 

@@ -85,6 +85,16 @@ def manifold_summary(spark, sf):
     return r6(B.manifold_summary(c), "avg_dim")
 
 
+@query("""WITH p AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS cluster, l_quantity / 50 AS q, l_discount AS d, l_tax AS t FROM lineitem)
+  SELECT cluster, round(max(abs(q)), 6) AS reach FROM p GROUP BY ALL""")
+def manifold_reach(spark, sf):
+    """Largest distance inside the manifold of each cluster, here the quantity axis."""
+    axis = np.eye(3)[:, :1]
+    lines = L.ManifoldClustering([L.Manifold(np.zeros(3), axis) for _ in range(3)])
+    reach = L.in_manifold_reach(cube(spark, sf).withColumn("cluster", F.col("cluster") + 1), lines)
+    return spark.createDataFrame([(i, round(float(r), 6)) for i, r in enumerate(reach)], "cluster int, reach double")
+
+
 @query()
 def compression_by_algorithm(spark, sf):
     """k-means and projected clusters in manifold form, compared in bits."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 # A whole input below this estimate may meet in one task; above it, work is split by value.
 SMALL_BYTES = 64 << 20
 # Largest model-sized state, in doubles, that may travel to the driver or into a task.
-MAX_STATE = 32_000_000
+MAX_STATE = 8_000_000
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()

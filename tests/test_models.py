@@ -66,7 +66,14 @@ def test_kmeans_shares_scans(cloud, three):
     assert best.k == 4
     assert K.best_by_agreement(pts, "label", fits).k == 3
     assert K.best_of_restarts(pts, 3, 2, keep="worst").cost >= K.best_of_restarts(pts, 3, 2).cost
-    assert K.kmeans(pts, 0.05, rounds=1).k == 12
+
+
+def test_kmeans_with_a_share_of_the_rows(cloud, three):
+    pts = cloud(*three)
+    fit = K.kmeans(pts, 12, seed=4, rounds=2, tol=-1.0)
+    want = {r["id"]: r["cluster"] for r in K.assign_centers(pts, fit).collect()}
+    got = {r["id"]: r["cluster"] for r in K.kmeans_share(pts, 0.05, seed=4, rounds=2).collect()}
+    assert got == want
 
 
 @pytest.mark.parametrize("kind", ["full", "diag", "spherical"])
