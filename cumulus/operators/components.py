@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        large = large.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v")
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = small.unionByName(small_low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()

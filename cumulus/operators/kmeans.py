@@ -14,7 +14,7 @@ from cumulus.operators.agreement import mutual_information
 from cumulus.operators.folds import fold, map_blocks
 from cumulus.operators.neighbors import knn_join
 from cumulus.operators.ordering import number_rows, seeded_order, seeded_pick
-from cumulus.session import Rounds, check_state
+from cumulus.session import Rounds, check_state, spread
 
 
 @dataclass
@@ -86,7 +86,7 @@ def kmeans(points: DataFrame, k: int, seed: int = 0, rounds: int = 100, tol: flo
 
 def kmeans_grid(points: DataFrame, ks: list[int], seeds: list[int], rounds: int = 100, tol: float = 1e-6) -> list[KMeansFit]:
     """A fit for every k and seed; the fits of one seed start from the same seeded order."""
-    fits = []
+    fits, points = [], spread(points.select("id", "x"))
     for s in seeds:
         start = random_centers(points, max(ks), s)
         fits += [KMeansFit(f"k{k}-s{s}", start[:k].copy()) for k in ks]

@@ -20,7 +20,7 @@ from cumulus.functions.vectors import matrix
 from cumulus.operators.folds import fold, map_blocks
 from cumulus.operators.gaussians import Gaussians, cluster_models
 from cumulus.operators.ordering import seeded_order
-from cumulus.session import check_state
+from cumulus.session import check_state, spread
 
 
 @dataclass
@@ -141,7 +141,7 @@ def manifold_clusters(
     reject a fitted manifold given its models (see ``description_accepts``); its rows then count as noise.
     """
     out = ManifoldClustering()
-    base = points.select("id", "x")
+    base = spread(points.select("id", "x"))
     d = base.select(F.size("x")).first()[0]
     max_dim = min(max_dim, d - 1)
     attempt = 0

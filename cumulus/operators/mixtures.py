@@ -17,7 +17,7 @@ from cumulus.operators.folds import fold
 from cumulus.operators.gaussians import LOG_2PI, Gaussians, origin_of
 from cumulus.operators.kmeans import assign_centers, best_of_restarts
 from cumulus.operators.gaussians import cluster_models
-from cumulus.session import check_state
+from cumulus.session import check_state, spread
 
 FLOOR = 1e-6  # smallest variance a component may have
 
@@ -91,7 +91,7 @@ def gaussian_mixture(points: DataFrame, k: int, kind: str = "full", seed: int =
 
     ``tol`` is the gain in mean log-likelihood below which a fit stops; variances are floored at 1e-6.
     """
-    best = None
+    best, points = None, spread(points.select("id", "x"))
     for r in range(restarts):
         models = start or start_models(points, k, kind, seed + r)
         origin, trace = origin_of(points), []
@@ -137,6 +137,7 @@ def dirichlet_mixture(points: DataFrame, k: int, concentration: float | None = N
     Priors: stick concentration (1/k by default), unit mean precision around the data mean, and the data
     covariance as scale with d degrees of freedom. Unused components keep vanishing weight.
     """
+    points = spread(points.select("id", "x"))
     alpha = 1.0 / k if concentration is None else concentration
     wide = "full" if kind == "full" else "diag"
     origin = origin_of(points)
@@ -183,6 +184,7 @@ def dirichlet_mixture(points: DataFrame, k: int, concentration: float | None = N
 def factor_analysers(points: DataFrame, k: int, factors: int, seed: int = 0, tol: float = 1e-3, max_iter: int = 1000,
                      start: Gaussians | None = None) -> MixtureFit:
     """Mixture of factor analysers (Ghahramani & Hinton 1996): covariance = loadings x loadings' + diagonal noise."""
+    points = spread(points.select("id", "x"))
     models = start or start_models(points, k, "full", seed)
     origin, d = origin_of(points), models.dim
     noise = np.stack([np.maximum(np.diag(c), FLOOR) for c in models.cov])

@@ -20,6 +20,7 @@ from cumulus.session import check_state, materialise
 
 BLOCK = 2048
 _TILE = 512
+_CELL_ROWS = 256
 
 
 def landmark_distances(points: DataFrame, landmarks: np.ndarray, keep: list[str] | None = None) -> DataFrame:
@@ -152,14 +153,33 @@ def nearest_label(queries: DataFrame, train: DataFrame, label: str, block: int =
     return near.join(train.select(F.col("id").alias("neighbor"), F.col(label).alias("pred")), "neighbor").select("id", "pred", "dist")
 
 
-def _grid_cells(points: DataFrame, radius: float, axes: int) -> DataFrame:
-    """Home cell of side ``radius`` plus a ghost in half of the neighbour cells, so each pair meets once."""
-    at = [F.floor(F.element_at("x", i + 1) / F.lit(radius)).cast("bigint") for i in range(axes)]
+def _grid_side(points: DataFrame, radius: float, axes: int, rows: int) -> float:
+    """Cell side: the radius, or a multiple of it where cells of that side would be nearly empty."""
+    at = [F.floor(F.element_at("x", i + 1) / F.lit(radius)) for i in range(axes)]
+    used = points.agg(F.approx_count_distinct(F.struct(*at))).first()[0] or 1
+    return radius * max(1, min(64, int((_CELL_ROWS * used / max(rows, 1)) ** (1 / axes))))
+
+
+def _grid_cells(points: DataFrame, radius: float, axes: int, side: float) -> DataFrame:
+    """Home cell, plus a ghost in those later neighbour cells that start within ``radius``: each pair meets once."""
+    x = [F.element_at("x", i + 1) for i in range(axes)]
+    at = [F.floor(v / F.lit(side)).cast("bigint") for v in x]
+    reach = F.lit(radius * (1 + 1e-9) + 1e-12 * side)
     steps = np.array(np.meshgrid(*[[-1, 0, 1]] * axes, indexing="ij")).reshape(axes, -1).T
     ahead = [s for s in steps.tolist() if next((v for v in s if v), 0) > 0]
-    shifted = F.array(*[F.struct(F.array(*[a + F.lit(int(v)) for a, v in zip(at, s)]).alias("cell"), F.lit(True).alias("ghost")) for s in ahead])
-    own = F.array(F.struct(F.array(*at).alias("cell"), F.lit(False).alias("ghost")))
-    return points.withColumn("_m", F.explode(F.concat(own, shifted))).select(*points.columns, "_m.cell", "_m.ghost")
+
+    def ghost(step):
+        close = F.lit(True)
+        for v, a, s in zip(x, at, step):
+            if s > 0:
+                close = close & ((a + 1) * F.lit(side) - v <= reach)
+            elif s < 0:
+                close = close & (v - a * F.lit(side) <= reach)
+        return F.when(close, F.struct(F.array(*[a + F.lit(int(s)) for a, s in zip(at, step)]).alias("cell"), F.lit(True).alias("ghost")))
+
+    own = F.struct(F.array(*at).alias("cell"), F.lit(False).alias("ghost"))
+    places = F.array_compact(F.array(own, *[ghost(s) for s in ahead]))
+    return points.withColumn("_m", F.explode(places)).select(*points.columns, "_m.cell", "_m.ghost")
 
 
 def _pivot_cells(points: DataFrame, radius: float, pivots: np.ndarray) -> DataFrame:
@@ -187,37 +207,24 @@ def _near_mask(X, ghost, rows_a, rows_b, radius, same):
     return D, ok
 
 
-def _spanning_edges(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Positions of edges that form a spanning forest of n block-local nodes."""
-    parent = np.arange(n)
-    picked = []
-    while len(i):
-        a, b = parent[i], parent[j]
-        live = np.flatnonzero(a != b)
-        if not len(live):
-            break
-        i, j, a, b = i[live], j[live], a[live], b[live]
-        base = live if not picked else base[live]
-        # hook every root to the smallest root it touches, one edge per root
-        hi, lo = np.maximum(a, b), np.minimum(a, b)
-        order = np.lexsort((lo, hi))
-        first = np.unique(hi[order], return_index=True)[1]
-        chosen = order[first]
-        picked.append(base[chosen])
-        parent[hi[chosen]] = lo[chosen]
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-    return np.concatenate(picked) if picked else np.empty(0, np.int64)
+def _link(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots of a block's rows after linking the pairs (i, j); a root is the smallest position of its component."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root[root], root):
+            root = root[root]
 
 
 def radius_blocks(points: DataFrame, radius: float, emit: str, block: int = BLOCK, pivots: np.ndarray | None = None) -> DataFrame:
     """Every pair within ``radius`` is seen by exactly one task, which emits
 
     ``pairs``  (a, b, dist) with a < b; ``degree`` (id, near) weighted partner counts per block;
-    ``forest`` (a, b) a spanning forest of the block's pairs: same components, linear size.
+    ``forest`` (a, b) one star per component of the block's pairs: same components, linear size.
 
     ``points`` has id, x and, for ``degree``, a weight w.
     """
@@ -226,7 +233,7 @@ def radius_blocks(points: DataFrame, radius: float, emit: str, block: int = BLOC
     base = points if "w" in points.columns else points.withColumn("w", F.lit(1).cast("bigint"))
     base = base.select("id", "x", "w")
     if d <= 3 and pivots is None and radius > 0:
-        members = _grid_cells(base, radius, d)
+        members = _grid_cells(base, radius, d, _grid_side(base, radius, d, base.count()))
     else:
         if pivots is None:
             pivots = pick_pivots(base, base.count())
@@ -247,7 +254,7 @@ def radius_blocks(points: DataFrame, radius: float, emit: str, block: int = BLOC
         weight = group.column("w").to_numpy()
         same = ca == cb
         side_a, side_b = np.flatnonzero(c == ca), np.flatnonzero(c == cb)
-        found, near = [], np.zeros(len(ids), np.int64)
+        found, near, root = [], np.zeros(len(ids), np.int64), np.arange(len(ids))
         for lo in range(0, len(side_a), _TILE):
             rows = side_a[lo : lo + _TILE]
             D, ok = _near_mask(X, ghost, rows, side_b, radius, same)
@@ -258,15 +265,14 @@ def radius_blocks(points: DataFrame, radius: float, emit: str, block: int = BLOC
             elif emit == "pairs":
                 found.append((rows[i], side_b[j], np.sqrt(D[i, j])))
             else:
-                e = _spanning_edges(len(ids), rows[i], side_b[j])
-                found.append((rows[i][e], side_b[j][e]))
+                root = _link(root, rows[i], side_b[j])
         if emit == "degree":
             some = near > 0
             return pa.table({"id": pa.array(ids[some]), "near": pa.array(near[some])})
-        cols = [np.concatenate(v) for v in zip(*found)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
         if emit == "forest":
-            e = _spanning_edges(len(ids), cols[0], cols[1])
-            cols = [cols[0][e], cols[1][e]]
+            linked = np.flatnonzero(root != np.arange(len(ids)))
+            found = [(linked, root[linked])]
+        cols = [np.concatenate(v) for v in zip(*found)] if found else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
         a, b = ids[cols[0].astype(np.int64)], ids[cols[1].astype(np.int64)]
         out = {"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))}
         if emit == "pairs":

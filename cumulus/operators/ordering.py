@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulus.operators.summary import join_keys, running_totals
+from cumulus.operators.summary import join_keys, whole_key
 from cumulus.session import is_small, materialise
 
 
@@ -31,13 +31,13 @@ def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], name:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)).cast("bigint"))
     ranged = materialise(
         df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges"
+    ).withColumn("_k", whole_key(keys))
+    before = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_k", "_range").agg(F.count("*").alias("_n")).select(
+        "_k", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")
     )
-    before = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(
-        *keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")
-    )
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*[F.col(k) for k in keys], "_range").orderBy(*order)))
-    return join_keys(local, offsets, [*keys, "_range"]).withColumn(name, F.col("_local") + F.col("_o")).drop("_local", "_o", "_range")
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_k", "_range").orderBy(*order)))
+    return local.join(offsets, ["_k", "_range"]).select(*df.columns, (F.col("_local") + F.col("_o")).alias(name))
 
 
 def mark_maxima(df: DataFrame, keys: list[str], value: str) -> DataFrame:

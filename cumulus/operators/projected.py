@@ -14,7 +14,7 @@ from cumulus.functions.vectors import matrix, vector_array
 from cumulus.operators.folds import fold, map_blocks
 from cumulus.operators.gaussians import cluster_models, origin_of
 from cumulus.operators.kmeans import random_centers
-from cumulus.session import check_state
+from cumulus.session import check_state, spread
 
 
 @dataclass
@@ -60,7 +60,7 @@ def projected_clusters(points: DataFrame, k: int, dim: int, start: int | None =
     Every round is one scan for assignment and moments; choosing axes and merging the closest seeds works on
     the moments, which add up.
     """
-    base = points.select("id", "x")
+    base = spread(points.select("id", "x"))
     start = start or 3 * k
     centers = random_centers(base, start, seed)
     d = centers.shape[1]

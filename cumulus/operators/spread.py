@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,22 +35,19 @@ FAR_TAIL = (
 )
 
 
-def _ratio(coefficients, r: Column) -> Column:
-    def horner(cs):
-        out = F.lit(cs[-1])
-        for c in reversed(cs[:-1]):
-            out = out * r + F.lit(c)
-        return out
+def _ratio(coefficients, r: np.ndarray) -> np.ndarray:
+    top, bottom = (np.polyval(c[::-1], r) for c in coefficients)
+    return top / bottom
 
-    return horner(coefficients[0]) / horner(coefficients[1])
 
-
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution function, as a JVM-side expression."""
+@F.pandas_udf(T.DoubleType())
+def normal_quantile(p: pd.Series) -> pd.Series:
+    """Inverse of the standard normal distribution function, a whole batch at a time."""
+    p = p.to_numpy()
     q = p - 0.5
-    tail = F.sqrt(-F.log(F.least(p, 1 - p)))
-    far = F.when(tail <= 5.0, _ratio(NEAR_TAIL, tail - 1.6)).otherwise(_ratio(FAR_TAIL, tail - 5.0))
-    return F.when(F.abs(q) <= 0.425, q * _ratio(CENTRE, F.lit(0.180625) - q * q)).otherwise(F.signum(q) * far)
+    tail = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+    far = np.where(tail <= 5, _ratio(NEAR_TAIL, tail - 1.6), _ratio(FAR_TAIL, tail - 5))
+    return pd.Series(np.where(np.abs(q) <= 0.425, q * _ratio(CENTRE, 0.180625 - q * q), np.sign(q) * far))
 
 
 def _chi2_tail(x: float, df: int) -> float:

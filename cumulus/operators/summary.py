@@ -19,6 +19,11 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def whole_key(keys: list[str]) -> Column:
+    """The keys as one struct: never NULL itself, so a plain equi-join keeps the partitioning of a window on it."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
+
+
 def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], splits: int | None = None, small: bool | None = None) -> DataFrame:
     """Adds ``run_<c>``, the inclusive running sum of each ``c`` by ``by`` within ``keys``.
 
@@ -36,12 +41,13 @@ def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], spl
     bounds = df.groupBy(*keys).agg(F.percentile_approx(F.col(by).cast("double"), marks, 10 * splits).alias("_bounds"))
     value = F.col(by).cast("double")
     tagged = join_keys(df, bounds, keys).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < value))).drop("_bounds")
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = tagged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    offsets = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    inside = Window.partitionBy(*keys, "_range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    tagged = tagged.withColumn("_k", whole_key(keys))
+    before = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = tagged.groupBy("_k", "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    offsets = totals.select("_k", "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    inside = Window.partitionBy("_k", "_range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in sums])
-    return join_keys(local, offsets, [*keys, "_range"]).select(
+    return local.join(offsets, ["_k", "_range"]).select(
         *df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"run_{c}") for c in sums]
     )
 

@@ -14,7 +14,7 @@ from cumulus.functions import columns as C
 from cumulus.functions import vectors as V
 from cumulus.operators.agreement import mutual_information
 from cumulus.operators.reshape import union_modes
-from cumulus.session import materialise
+from cumulus.session import materialise, spread
 from cumulus.plans.clouds import DIM, MAHA, PAIRS, PLANE, PTS, _seeded, diag_sql, points, trades
 from cumulus.plans.registry import query, table
 from cumulus.plans.reports import RUNS, r6, runs
@@ -287,7 +287,7 @@ def bottleneck_merges_hard(spark, sf):
 
 
 def _flow(spark, sf, rule):
-    pts = lots(spark, sf)
+    pts = spread(lots(spark, sf).select("id", "x", "label"))
     out = H.metacluster(pts, O.kmeans_cover(pts, 10, 3, rounds=12), rule, run=rule)
     scores = out["scores"].join(out["agreement"].select("level", "nmi"), "level")
     return scores.select("run_id", "level", "clusters", "score", "nll", "complexity", "nmi", (F.col("level") == out["level"]).alias("chosen"), (F.col("level") == out["best_level"]).alias("best"))
@@ -327,7 +327,7 @@ def score_traces(spark, sf):
 @query()
 def likelihood_by_clusters(spark, sf):
     """Likelihood against the number of clusters for covers of several sizes, sorted."""
-    pts = lots(spark, sf)
+    pts = spread(lots(spark, sf).select("id", "x"))
     out = None
     for size in (4, 8, 12):
         models = O.construct_models(K.assign_centers(pts, K.kmeans(pts, size, 5, rounds=8)), "cluster")

@@ -71,6 +71,20 @@ def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, name: str = "spread") -> DataFrame:
+    """For iterative jobs over a small table: one written copy with a file per core, so rounds run on all of them.
+
+    A large table already has many splits and is scanned where it lies.
+    """
+    if not is_small(df):
+        return df
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files and all("/" + name + "-" in f for f in files):
+        return df
+    return materialise(df.repartition(spark.sparkContext.defaultParallelism), name)
+
+
 class Rounds:
     """Lineage cuts of an iterative job: each new round replaces the one before the last."""
 

@@ -71,7 +71,7 @@ def test_success_summary(spark):
 
 def test_normal_quantile(spark):
     ps = [1e-12, 1e-6, 0.01, 0.075, 0.3, 0.5, 0.9, 0.999999]
-    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_quantile("p").alias("z")).collect()
     for r in got:
         assert r["z"] == pytest.approx(statistics.NormalDist().inv_cdf(r["p"]), rel=1e-12, abs=1e-15)
 
