@@ -203,10 +203,24 @@ def level_likelihood(spark, sf):
     return scores.select("level", "clusters", F.round("nll", 4).alias("nll"))
 
 
-@query()
+_C = "c1 AS (SELECT 1.0::DOUBLE AS c), c2 AS (SELECT CASE WHEN n <= 1000 THEN (SELECT sum(exp(lgamma(n + 1) - lgamma(h + 1) - lgamma(n - h + 1) " \
+    "+ CASE WHEN h > 0 THEN h * ln(h / n) ELSE 0 END + CASE WHEN h < n THEN (n - h) * ln((n - h) / n) ELSE 0 END)) FROM (SELECT unnest(generate_series(0, n::BIGINT)) AS h)) " \
+    "ELSE sqrt(n * pi() / 2) + 2 / 3.0::DOUBLE + sqrt(2 * pi() / n) / 24 END AS c FROM t)" + "".join(
+        f", c{j} AS (SELECT c{j - 1}.c + n / {j - 2} * c{j - 2}.c AS c FROM c{j - 1}, c{j - 2}, t)" for j in range(3, 11))
+
+
+@query(PTS + f""", {diag_sql()}, {_META}, n AS (SELECT c AS comp, exp(lw) AS w FROM w), y AS (SELECT level, cluster, sum(w) AS t, count(*) AS m FROM meta JOIN n USING (comp) GROUP BY ALL),
+  b AS (SELECT id, level, cluster, d + ln(w / t) AS s FROM d JOIN meta ON meta.comp = d.c JOIN n ON n.comp = d.c JOIN y USING (level, cluster)),
+  e AS (SELECT id, level, cluster, max(s) + ln(sum(exp(s - m))) AS s FROM (SELECT *, max(s) OVER (PARTITION BY id, level, cluster) AS m FROM b) GROUP BY ALL),
+  a AS (SELECT level, id, arg_max(cluster, s) AS cluster, max(s) AS s FROM e GROUP BY ALL), l AS (SELECT level, -sum(s) AS nll FROM a GROUP BY ALL),
+  z AS (SELECT y.level, y.cluster, y.m, greatest(count(a.id), 1) AS n FROM y LEFT JOIN a USING (level, cluster) GROUP BY ALL),
+  f AS (SELECT level, count(*)::INTEGER AS clusters, sum(({2 * DIM} * m + m - 1) / 2.0 * ln(n)) AS half FROM z GROUP BY ALL),
+  t AS (SELECT count(*)::DOUBLE AS n FROM pts), {_C}, k AS (SELECT 10 AS k, ln(c) AS v FROM c10 UNION ALL SELECT 5, ln(c) FROM c5 UNION ALL SELECT 3, ln(c) FROM c3)
+  SELECT level, clusters, round(nll + half + v, 4) AS score, round(nll, 4) AS nll, round(half + v, 4) AS complexity FROM f JOIN l USING (level) JOIN k ON k.k = clusters""")
 def level_scores(spark, sf):
+    """Total, likelihood and complexity of three given levels."""
     pts = points(spark, sf)
-    return H.level_scores(pts, M.cluster_models(pts, "label", "diag"), LEVELS)
+    return r6(H.level_scores(pts, M.cluster_models(pts, "label", "diag"), LEVELS).drop("run_id"), "score", "nll", "complexity", digits=4)
 
 
 _ASSIGN = f"{diag_sql()}, a AS (SELECT id, arg_max(c, d) AS comp FROM d GROUP BY ALL)"

@@ -16,6 +16,7 @@ MAX_STATE = 8_000_000
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 def configure(builder: SparkSession.Builder, partitions: int | None = None) -> SparkSession.Builder:
@@ -68,9 +69,23 @@ def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every table this application cut so far; call it once the results that read them are stored."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def spread(df: DataFrame, name: str = "spread") -> DataFrame:
     """For iterative jobs over a small table: one written copy with a file per core, so rounds run on all of them.
 
@@ -96,17 +111,12 @@ class Rounds:
         spark = df.sparkSession
         path = scratch_path(spark, self.name)
         df.write.parquet(path)
+        _written.setdefault(spark.sparkContext.applicationId, []).append(path)
         self.paths.append(path)
         if len(self.paths) > 2:
-            self._delete(spark, self.paths.pop(0))
+            _delete(spark, self.paths.pop(0))
         return spark.read.schema(df.schema).parquet(path)
 
-    @staticmethod
-    def _delete(spark: SparkSession, path: str) -> None:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
 
 def plan_bytes(df: DataFrame) -> int | None:
     """The optimiser's size estimate, without running a job; None where it cannot be read."""
