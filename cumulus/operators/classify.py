@@ -17,19 +17,19 @@ def bayes_fit(points: DataFrame, label: str, kind: str = "full") -> Gaussians:
     return cluster_models(points, label, kind)
 
 
-def bayes_predict(points: DataFrame, models: Gaussians, out: str = "pred") -> DataFrame:
+def bayes_predict(points: DataFrame, models: Gaussians, out: str = "pred", keep: list[str] | None = None) -> DataFrame:
     """Largest log prior + log density. Models of a model clustering work the same way."""
-    return assign_models(points, models, prior=True, out=out)
+    return assign_models(points, models, prior=True, out=out, keep=keep)
 
 
-def likelihood_predict(points: DataFrame, models: Gaussians, out: str = "pred") -> DataFrame:
+def likelihood_predict(points: DataFrame, models: Gaussians, out: str = "pred", keep: list[str] | None = None) -> DataFrame:
     """Largest log density, no prior."""
-    return assign_models(points, models, prior=False, out=out)
+    return assign_models(points, models, prior=False, out=out, keep=keep)
 
 
-def mixture_component(points: DataFrame, models: Gaussians, out: str = "comp") -> DataFrame:
+def mixture_component(points: DataFrame, models: Gaussians, out: str = "comp", keep: list[str] | None = None) -> DataFrame:
     """Component of highest density in a mixture; the mixture weights play no part in the choice."""
-    return assign_models(points, models, prior=False, out=out)
+    return assign_models(points, models, prior=False, out=out, keep=keep)
 
 
 def meta_log_density(models: Gaussians, members: list[list[int]], counts: np.ndarray | None = None):
@@ -56,7 +56,7 @@ def meta_log_density(models: Gaussians, members: list[list[int]], counts: np.nda
     return density
 
 
-def meta_predict(points: DataFrame, models: Gaussians, members: list[list[int]], prior: bool = True, out: str = "pred") -> DataFrame:
+def meta_predict(points: DataFrame, models: Gaussians, members: list[list[int]], prior: bool = True, out: str = "pred", keep: list[str] | None = None) -> DataFrame:
     """Meta-cluster (1-based) of every row: Bayes with the cluster shares as prior, or likelihood alone."""
     density = meta_log_density(models, members)
     place = {int(c): i for i, c in enumerate(models.ids)}
@@ -68,4 +68,4 @@ def meta_predict(points: DataFrame, models: Gaussians, members: list[list[int]],
         score = density(matrix(batch.column("x"))) + base
         return {out: pa.array(score.argmax(1).astype(np.int32) + 1)}
 
-    return map_blocks(points, step, f"`{out}` int", points.columns)
+    return map_blocks(points, step, f"`{out}` int", points.columns if keep is None else keep)

@@ -50,8 +50,13 @@ def fold(df: DataFrame, step: Callable[[pa.RecordBatch], np.ndarray], shape: tup
     return out.reshape(shape)
 
 
-def map_blocks(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: str, keep: list[str]) -> DataFrame:
-    """Narrow block step: the ``keep`` columns plus the ``added`` ones ("name type, ...")."""
+def map_blocks(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: str, keep: list[str], needs: tuple[str, ...] = ("x",)) -> DataFrame:
+    """Narrow block step: the ``keep`` columns plus the ``added`` ones ("name type, ...").
+
+    A Python step hides its inputs from the optimiser, so the columns it ``needs`` are named and everything
+    else is pruned here; what is not kept does not travel back.
+    """
+    df = df.select(*[c for c in df.columns if c in keep or c in needs])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep] + ([added] if added else []))
     ordered = [f.name for f in df.schema.fields if f.name in keep]
 

@@ -157,24 +157,26 @@ def cluster_models(points: DataFrame, label: str, kind: str = "full", ids: np.nd
     return Gaussians(np.asarray(ids), n.astype(np.int64), mean + origin, cov)
 
 
-def assign_models(points: DataFrame, models: Gaussians | list[Gaussians], prior: bool = False, out: str = "comp") -> DataFrame:
-    """Every row with the component of highest (prior +) log density; ties go to the smallest id.
+def assign_models(points: DataFrame, models: Gaussians | list[Gaussians], prior: bool = False, out: str = "comp", keep: list[str] | None = None) -> DataFrame:
+    """Every row (its ``keep`` columns, all by default) with the component of highest (prior +) log density; ties go to the smallest id.
 
     One narrow pass with the models in the task. Models beyond the state bound come as a list of
     slices: the running best is carried from slice to slice through the shared folder.
     """
     if isinstance(models, Gaussians):
-        return _assign_slice(points, models, prior, out, None)
+        return _assign_slice(points, models, prior, out, None, points.columns if keep is None else keep)
     result, best = points, None
     for piece in models:
-        result = _assign_slice(result, piece, prior, out, best)
+        last = piece is models[-1]
+        carried = [c for c in points.columns if c == "x" and not last or keep is None or c in keep]
+        result = _assign_slice(result, piece, prior, out, best, carried)
         best = (out, f"{out}_score")
-        if piece is not models[-1]:
+        if not last:
             result = materialise(result, "assign")
     return result
 
 
-def _assign_slice(points, models, prior, out, best):
+def _assign_slice(points, models, prior, out, best, keep):
     ids = models.ids.astype(np.int32)
     models.factors()
     base = np.log(models.weight) if prior else np.zeros(len(models))
@@ -190,8 +192,7 @@ def _assign_slice(points, models, prior, out, best):
             comp = np.where(keep, batch.column(best[0]).to_numpy(), comp).astype(np.int32)
         return {out: pa.array(comp), f"{out}_score": pa.array(top)}
 
-    keep = [c for c in points.columns if not best or c not in best]
-    return map_blocks(points, step, f"`{out}` int, `{out}_score` double", keep)
+    return map_blocks(points, step, f"`{out}` int, `{out}_score` double", [c for c in keep if not best or c not in best], ("x", *(best or ())))
 
 
 def assignment_sizes(points: DataFrame, models: Gaussians) -> np.ndarray:

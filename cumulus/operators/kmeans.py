@@ -128,8 +128,8 @@ def best_by_agreement(points: DataFrame, label: str, fits: list[KMeansFit]) -> K
     return max(fits, key=lambda f: nmi[f.run_id])
 
 
-def assign_centers(points: DataFrame, fit: KMeansFit, out: str = "cluster") -> DataFrame:
-    """1-based cluster and squared distance of every row."""
+def assign_centers(points: DataFrame, fit: KMeansFit, out: str = "cluster", keep: list[str] | None = None) -> DataFrame:
+    """1-based cluster and squared distance of every row (its ``keep`` columns, all by default)."""
     centers = fit.centers
 
     def step(batch):
@@ -137,7 +137,7 @@ def assign_centers(points: DataFrame, fit: KMeansFit, out: str = "cluster") -> D
         at = D.argmin(1)
         return {out: pa.array(at.astype(np.int32) + 1), "dist2": pa.array(D[np.arange(len(at)), at])}
 
-    return map_blocks(points, step, f"`{out}` int, dist2 double", points.columns)
+    return map_blocks(points, step, f"`{out}` int, dist2 double", points.columns if keep is None else keep)
 
 
 def kmeans_share(points: DataFrame, share: float, seed: int = 0, rounds: int = 20) -> DataFrame:

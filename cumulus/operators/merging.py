@@ -301,7 +301,7 @@ def metacluster(points: DataFrame, cover, rule: str = "topological", label: str
     scores = scorer(points, cover.models, levels, run)
     level = chooser(scores).first()["level"]
     meta = meta_table(spark, levels, run)
-    assigned = assign_models(points, cover.models)
+    assigned = assign_models(points, cover.models, keep=[label] if label else [])
     agreement = level_agreement(assigned, label, meta) if label else None
     best = best_level(agreement).first()["level"] if label else None
     clusters = meta_predict(points, cover.models, levels[level], prior=False, out="cluster")

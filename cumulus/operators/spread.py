@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cumulus.operators.summary import join_keys, medians, value_ranks
-from cumulus.session import is_small
+from cumulus.operators.summary import join_keys, medians, running_totals
+from cumulus.session import is_small, materialise
 
 # Rational approximation of the normal quantile (Wichura 1988, algorithm AS 241),
 # coefficients from the constant term up, numerator then denominator for each of three ranges.
@@ -78,9 +78,13 @@ def fligner_killeen(df: DataFrame, tests: list[str], group: str, value: str, alp
     rows = df.filter(F.col(value).isNotNull()).select(*tests, group, value)
     centre = medians(rows, [*tests, group], [value], small=small)
     dev = join_keys(rows, centre, [*tests, group]).select(*tests, group, F.abs(F.col(value) - F.col(f"{value}_med")).alias("dev"))
-    ranks = value_ranks(dev, tests, "dev", small=small).select(*tests, "dev", "rank")
-    sizes = dev.groupBy(*tests).agg(F.count("*").alias("N"))
-    counts = dev.groupBy(*tests, group, "dev").agg(F.count("*").alias("c"))
+    # every later step works on distinct deviations with their counts
+    counts = materialise(dev.groupBy(*tests, group, "dev").agg(F.count("*").alias("c")), "deviations")
+    ties = counts.groupBy(*tests, "dev").agg(F.sum("c").alias("ties"))
+    ranks = running_totals(ties, tests, "dev", ["ties"], small=small).select(
+        *tests, "dev", (F.col("run_ties") - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank")
+    )
+    sizes = counts.groupBy(*tests).agg(F.sum("c").alias("N"))
     scored = join_keys(join_keys(counts, ranks, [*tests, "dev"]), sizes, tests).withColumn(
         "a", normal_quantile(0.5 + F.col("rank") / (2 * (F.col("N") + 1)))
     )

@@ -109,7 +109,11 @@ def median_mad(df: DataFrame, keys: list[str], cols: list[str], small: bool | No
         small = is_small(df)
     df = df.select(*keys, *cols)
     centre = medians(df, keys, cols, small=small)
-    spread = join_keys(df, centre, keys).select(*keys, *[F.abs(F.col(c) - F.col(f"{c}_med")).alias(c) for c in cols])
+    apart = join_keys(df, centre, keys)
+    gap = lambda c: F.abs(F.col(c) - F.col(f"{c}_med"))
+    if small:  # the medians ride along, so they are computed once
+        return apart.groupBy(*keys).agg(*[F.max(f"{c}_med").alias(f"{c}_med") for c in cols], *[F.median(gap(c)).alias(f"{c}_mad") for c in cols])
+    spread = apart.select(*keys, *[gap(c).alias(c) for c in cols])
     return join_keys(centre, medians(spread, keys, cols, suffix="_mad", small=small), keys)
 
 

@@ -64,7 +64,7 @@ def _assigned(k: int, seed: int) -> str:
 
 def seed_clusters(spark, sf, k=10, seed=3):
     pts = points(spark, sf)
-    return K.assign_centers(pts, K.KMeansFit("seeds", K.random_centers(pts, k, seed)))
+    return K.assign_centers(pts, K.KMeansFit("seeds", K.random_centers(pts, k, seed)), keep=["id", "label"])
 
 
 MI = """, c AS (SELECT label, cluster, count(*) AS n FROM a GROUP BY ALL), r AS (SELECT label, sum(n) AS n FROM c GROUP BY ALL),
@@ -163,7 +163,7 @@ def model_entropy(spark, sf):
 def assign_models(spark, sf):
     """Every order line to the full-covariance model of highest density."""
     pts = trades(spark, sf)
-    out = M.assign_models(pts, M.cluster_models(pts, "label"))
+    out = M.assign_models(pts, M.cluster_models(pts, "label"), keep=[])
     return out.groupBy("comp").agg(F.count("*").alias("n"), F.round(F.sum("comp_score"), 3).alias("loglik"))
 
 
@@ -196,13 +196,13 @@ def diag_sql(where: str = "") -> str:
 @query(PTS + f", {diag_sql()} SELECT id, arg_max(c, d + lw)::INTEGER AS pred FROM d JOIN w USING (c) GROUP BY ALL")
 def bayes_classify(spark, sf):
     pts = points(spark, sf)
-    return L.bayes_predict(pts, L.bayes_fit(pts, "label", "diag")).select("id", "pred")
+    return L.bayes_predict(pts, L.bayes_fit(pts, "label", "diag"), keep=["id"]).select("id", "pred")
 
 
 @query(PTS + f", {diag_sql()} SELECT id, arg_max(c, d)::INTEGER AS pred FROM d GROUP BY ALL")
 def likelihood_classify(spark, sf):
     pts = points(spark, sf)
-    return L.likelihood_predict(pts, L.bayes_fit(pts, "label", "diag")).select("id", "pred")
+    return L.likelihood_predict(pts, L.bayes_fit(pts, "label", "diag"), keep=["id"]).select("id", "pred")
 
 
 META_SQL = f""", {diag_sql()}, z AS (SELECT c, (c - 1) // 2 + 1 AS g, lw FROM w), y AS (SELECT g, ln(sum(exp(lw))) AS lg FROM z GROUP BY ALL),
@@ -215,19 +215,19 @@ PAIRS = [[2 * i + 1, 2 * i + 2] for i in range(5)]
 def meta_bayes_classify(spark, sf):
     """Meta-clusters of two classes each, as mixtures weighted by their counts, with prior."""
     pts = points(spark, sf)
-    return L.meta_predict(pts, M.cluster_models(pts, "label", "diag"), PAIRS).select("id", "pred")
+    return L.meta_predict(pts, M.cluster_models(pts, "label", "diag"), PAIRS, keep=["id"])
 
 
 @query(PTS + META_SQL + " SELECT id, arg_max(g, s)::INTEGER AS pred FROM e GROUP BY ALL")
 def meta_likelihood_classify(spark, sf):
     pts = points(spark, sf)
-    return L.meta_predict(pts, M.cluster_models(pts, "label", "diag"), PAIRS, prior=False).select("id", "pred")
+    return L.meta_predict(pts, M.cluster_models(pts, "label", "diag"), PAIRS, prior=False, keep=["id"])
 
 
 @query(PTS + f", {diag_sql()} SELECT id, arg_max(c, d)::INTEGER AS comp FROM d GROUP BY ALL")
 def mixture_component(spark, sf):
     pts = points(spark, sf)
-    return L.mixture_component(pts, M.cluster_models(pts, "label", "diag")).select("id", "comp")
+    return L.mixture_component(pts, M.cluster_models(pts, "label", "diag"), keep=["id"]).select("id", "comp")
 
 
 @query(PTS + f""", o AS (SELECT *, CASE WHEN list_max(x) > 0.35 THEN NULL ELSE label END AS kept FROM pts), {diag_sql()},
@@ -258,8 +258,8 @@ def split_agreement(spark, sf):
     train = pts.filter("split = 'train'")
     models = L.bayes_fit(train, "label", "diag")
     parts = [
-        L.bayes_predict(pts, models).select("id", "label", "split", "pred", F.lit("bayes").alias("algorithm")),
-        L.likelihood_predict(pts, models).select("id", "label", "split", "pred", F.lit("likelihood").alias("algorithm")),
+        L.bayes_predict(pts, models, keep=["id", "label", "split"]).select("id", "label", "split", "pred", F.lit("bayes").alias("algorithm")),
+        L.likelihood_predict(pts, models, keep=["id", "label", "split"]).select("id", "label", "split", "pred", F.lit("likelihood").alias("algorithm")),
         N.nearest_label(pts, train, "label").select("id", "pred", F.lit("neighbor").alias("algorithm")).join(pts.select("id", "label", "split"), "id"),
     ]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -332,7 +332,7 @@ def kmeans_steps(spark, sf):
     """Three Lloyd rounds from ten seeded rows, then sizes and cost."""
     pts = points(spark, sf)
     fit = K.kmeans(pts, 10, seed=1, rounds=3, tol=-1.0)
-    return r6(K.assign_centers(pts, fit).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist2").alias("cost")), "cost")
+    return r6(K.assign_centers(pts, fit, keep=[]).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist2").alias("cost")), "cost")
 
 
 SHARE = """, k AS (SELECT greatest(1, round_even(0.02 * count(*), 0)) AS k FROM pts),

@@ -229,7 +229,7 @@ _ASSIGN = f"{diag_sql()}, a AS (SELECT id, arg_max(c, d) AS comp FROM d GROUP BY
 @query(PTS + f", {_ASSIGN}, {_META} SELECT id, cluster FROM a JOIN meta USING (comp) WHERE level = 2")
 def cut_level(spark, sf):
     pts = points(spark, sf)
-    assigned = M.assign_models(pts, M.cluster_models(pts, "label", "diag"))
+    assigned = M.assign_models(pts, M.cluster_models(pts, "label", "diag"), keep=["id"])
     return H.cut_level(assigned, H.meta_table(spark, LEVELS), 2)
 
 
@@ -244,7 +244,7 @@ AGREE = PTS + f""", {_ASSIGN}, {_META}, j AS (SELECT level, label, cluster FROM
 
 def _agreement(spark, sf):
     pts = points(spark, sf)
-    return H.level_agreement(M.assign_models(pts, M.cluster_models(pts, "label", "diag")), "label", H.meta_table(spark, LEVELS))
+    return H.level_agreement(M.assign_models(pts, M.cluster_models(pts, "label", "diag"), keep=["label"]), "label", H.meta_table(spark, LEVELS))
 
 
 @query(AGREE + "SELECT level, round(mi, 6) AS mi, round(nmi, 6) AS nmi FROM g")
