@@ -394,31 +394,75 @@ def kmeans_by_agreement(spark, sf):
     return _fit_table(spark, [K.best_by_agreement(pts, "label", fits)])
 
 
-def em_sql(rounds: int) -> str:
-    out = f""", m0 AS (SELECT label AS c, i, avg(x[i]) AS mu, var_pop(x[i]) + 1e-6 AS v FROM pts, {AXES} GROUP BY ALL),
+def em_sql(rounds: int, spherical: bool = False) -> str:
+    """Rounds of EM from the class models; a spherical component has the mean of its axis variances."""
+    var = "avg(v) OVER (PARTITION BY c)" if spherical else "v"
+    out = f""", s0 AS (SELECT label AS c, i, avg(x[i]) AS mu, var_pop(x[i]) + 1e-6 AS v FROM pts, {AXES} GROUP BY ALL), m0 AS (SELECT c, i, mu, {var} AS v FROM s0),
   w0 AS (SELECT label AS c, count(*)::DOUBLE / (SELECT count(*) FROM pts) AS w FROM pts GROUP BY ALL)"""
     for r in range(rounds):
         out += f""", d{r} AS (SELECT id, c, ln(any_value(w)) - 0.5 * ({DIM} * ln(2 * pi()) + sum(ln(v) + (x[i] - mu) ** 2 / v)) AS d FROM pts, m{r} JOIN w{r} USING (c) GROUP BY id, c),
   r{r} AS (SELECT id, c, exp(d - max(d) OVER (PARTITION BY id)) AS e FROM d{r}), q{r} AS (SELECT id, c, e / sum(e) OVER (PARTITION BY id) AS r FROM r{r}),
-  m{r + 1} AS (SELECT c, i, sum(r * x[i]) / sum(r) AS mu, greatest(sum(r * x[i] * x[i]) / sum(r) - (sum(r * x[i]) / sum(r)) ** 2, 0) + 1e-6 AS v FROM q{r} JOIN pts USING (id), {AXES} GROUP BY ALL),
-  w{r + 1} AS (SELECT c, sum(r) / (SELECT count(*) FROM pts) AS w FROM q{r} GROUP BY ALL)"""
+  s{r + 1} AS (SELECT c, i, sum(r * x[i]) / sum(r) AS mu, greatest(sum(r * x[i] * x[i]) / sum(r) - (sum(r * x[i]) / sum(r)) ** 2, 0) + 1e-6 AS v FROM q{r} JOIN pts USING (id), {AXES} GROUP BY ALL),
+  m{r + 1} AS (SELECT c, i, mu, {var} AS v FROM s{r + 1}), w{r + 1} AS (SELECT c, sum(r) / (SELECT count(*) FROM pts) AS w FROM q{r} GROUP BY ALL)"""
     return out
 
 
+EM_RESULT = " SELECT c AS comp, round(w, 6) AS weight, i - 1 AS axis, round(mu, 6) AS mu, round(v, 6) AS var FROM m2 JOIN w2 USING (c)"
+
+
 def label_start(pts):
     start = M.cluster_models(pts, "label", "diag")
     return M.Gaussians(start.ids, start.n, start.mu, start.cov + X.FLOOR)
 
 
-@query(PTS + em_sql(2) + " SELECT c AS comp, round(w, 6) AS weight, i - 1 AS axis, round(mu, 6) AS mu, round(v, 6) AS var FROM m2 JOIN w2 USING (c)")
+@query(PTS + em_sql(2) + EM_RESULT)
 def mixture_steps(spark, sf):
     """Two rounds of diagonal expectation-maximisation from the class models."""
     pts = points(spark, sf)
-    fit = X.gaussian_mixture(pts, 10, "diag", tol=-1e9, max_iter=2, start=label_start(pts))
+    return _axis_table(spark, X.gaussian_mixture(pts, 10, "diag", tol=-1e9, max_iter=2, start=label_start(pts)))
+
+
+def _axis_table(spark, fit):
     rows = fit.models.to_table(spark).select("comp", F.round("weight", 6).alias("weight"), F.posexplode("mu").alias("axis", "mu"), "cov")
     return rows.select("comp", "weight", F.col("axis").cast("bigint").alias("axis"), F.round("mu", 6).alias("mu"), F.round(F.col("cov")[F.col("axis")][F.col("axis")], 6).alias("var"))
 
 
+def em_plane_sql(rounds: int) -> str:
+    out = """WITH t AS (SELECT l_quantity AS q, l_extendedprice / 1000 AS p, count(*) AS n FROM lineitem GROUP BY ALL), z AS (SELECT sum(n)::DOUBLE AS z FROM t),
+  g0 AS (SELECT l_linenumber AS c, count(*) / any_value(z) AS w, avg(l_quantity) AS mq, avg(l_extendedprice / 1000) AS mp, var_pop(l_quantity) + 1e-6 AS vq,
+    var_pop(l_extendedprice / 1000) + 1e-6 AS vp, covar_pop(l_quantity, l_extendedprice / 1000) AS c2 FROM lineitem, z GROUP BY ALL)"""
+    for r in range(rounds):
+        out += f""", d{r} AS (SELECT q, p, n, c, ln(w) - 0.5 * (2 * ln(2 * pi()) + ln(vq * vp - c2 * c2) + ((q - mq) ** 2 * vp - 2 * (q - mq) * (p - mp) * c2 + (p - mp) ** 2 * vq) / (vq * vp - c2 * c2)) AS d FROM t, g{r}),
+  e{r} AS (SELECT *, exp(d - max(d) OVER (PARTITION BY q, p)) AS e FROM d{r}), r{r} AS (SELECT q, p, n, c, n * e / sum(e) OVER (PARTITION BY q, p) AS r FROM e{r}),
+  m{r} AS (SELECT c, sum(r) AS s, sum(r * q) / sum(r) AS mq, sum(r * p) / sum(r) AS mp FROM r{r} GROUP BY ALL),
+  g{r + 1} AS (SELECT c, any_value(s) / any_value(z) AS w, any_value(mq) AS mq, any_value(mp) AS mp, sum(r * (q - mq) ** 2) / any_value(s) + 1e-6 AS vq,
+    sum(r * (p - mp) ** 2) / any_value(s) + 1e-6 AS vp, sum(r * (q - mq) * (p - mp)) / any_value(s) AS c2 FROM r{r} JOIN m{r} USING (c), z GROUP BY c)"""
+    return out
+
+
+@query(em_plane_sql(2) + " SELECT c AS comp, round(w, 6) AS weight, round(mq, 5) AS mq, round(mp, 5) AS mp, round(vq, 4) AS vq, round(vp, 4) AS vp, round(c2, 4) AS cov FROM g2")
+def mixture_steps_full(spark, sf):
+    """Two rounds of full-covariance expectation-maximisation from the line-number models."""
+    pts = trades(spark, sf).withColumn("id", F.lit(0).cast("bigint"))
+    start = M.cluster_models(pts, "label")
+    start = M.Gaussians(start.ids, start.n, start.mu, start.cov + X.FLOOR * np.eye(2))
+    m = X.gaussian_mixture(pts, len(start), "full", tol=-1e9, max_iter=2, start=start).models
+    rows = [
+        (int(c), round(float(w), 6), *[round(float(v), 5) for v in mu], round(float(s[0, 0]), 4), round(float(s[1, 1]), 4), round(float(s[0, 1]), 4))
+        for c, w, mu, s in zip(m.ids, m.weight, m.mu, m.cov)
+    ]
+    return spark.createDataFrame(rows, "comp int, weight double, mq double, mp double, vq double, vp double, cov double")
+
+
+@query(PTS + em_sql(2, spherical=True) + EM_RESULT)
+def mixture_steps_spherical(spark, sf):
+    """Two rounds with one variance per component."""
+    pts = points(spark, sf)
+    first = M.cluster_models(pts, "label", "spherical")
+    start = M.Gaussians(first.ids, first.n, first.mu, first.cov + X.FLOOR)
+    return _axis_table(spark, X.gaussian_mixture(pts, 10, "spherical", tol=-1e9, max_iter=2, start=start))
+
+
 def _mixture_summary(spark, name, fit):
     rows = [(name, int(c), float(w), float(fit.loglik), len(fit.trace)) for c, w in zip(fit.models.ids, fit.models.weight)]
     return spark.createDataFrame(rows, "method string, comp int, weight double, loglik double, rounds int")

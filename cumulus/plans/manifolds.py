@@ -154,6 +154,15 @@ def pca_variance(spark, sf):
     return spark.createDataFrame([(round(float(red.variance.sum()), 6),)], "variance double")
 
 
+@query("""WITH m AS (SELECT i, avg(embedding[i]::DOUBLE) AS mu FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY ALL)
+  SELECT vec_id AS id, round(sum((embedding[i]::DOUBLE - mu) ** 2), 6) AS norm FROM embeddings, m GROUP BY ALL""")
+def pca_norms(spark, sf):
+    """With all components kept, the reduced rows keep their distance to the mean."""
+    pts = points(spark, sf).select("id", "x")
+    out = R.reduce_points(pts, R.fit_reduction(pts, 64))
+    return out.select("id", F.round(V.dot(F.col("x"), F.col("x")), 6).alias("norm"))
+
+
 def _cover(spark, sf, method, classes, multiplier, **opts):
     c = O.cover(lots(spark, sf), method, classes, multiplier, seed=3, **opts)
     sizes = spark.createDataFrame([(method, int(i), int(n)) for i, n in zip(c.models.ids, c.models.n)], "method string, comp int, n bigint")
