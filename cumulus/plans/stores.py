@@ -63,7 +63,7 @@ def dataset_documents(spark, sf) -> str:
         "method", (F.lit(1700000000) + F.col("batch")).cast("bigint").alias("time"),
         F.create_map(F.lit("k"), F.length("method").cast("string")).alias("parameters"), "results",
     )
-    SR.save_runs(docs, path, "complex-cpa")
+    SR.save_runs(docs, path, "complex-compare")
     return path
 
 
@@ -71,7 +71,7 @@ def dataset_documents(spark, sf) -> str:
 def dataset_runs(spark, sf):
     """Two parameters of one data set, read from the documents and aligned by run key."""
     path = dataset_documents(spark, sf)
-    read = lambda p: SR.read_dataset_runs(spark, path, "Set-2-D2", p, "cpa")
+    read = lambda p: SR.read_dataset_runs(spark, path, "Set-2-D2", p, "compare")
     both = read("RelDom").withColumnRenamed("value", "score").join(read("Cells").withColumnRenamed("value", "cells"), ["method", "ts"])
     return explode_parallel(both, ["score", "cells"]).withColumn("ts", F.col("ts").cast("string"))
 
@@ -93,7 +93,7 @@ def keyed_documents(spark, sf) -> str:
         F.create_map(F.lit("c"), F.lit("2")).alias("parameters"),
         F.struct(F.when(~F.col("run").endswith("-D4"), F.col("NMI")).alias("NMI"), "DATA", F.array(F.lit(0), F.lit(1)).alias("ITR")).alias("results"),
     )
-    SR.save_runs(docs, path, "merge-spa")
+    SR.save_runs(docs, path, "merge-perturb")
     return path
 
 

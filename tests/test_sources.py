@@ -21,13 +21,13 @@ def test_dataset_documents(spark, tmp_path):
         [("m1", 10, {"k": "20"}, [("A", [0.5, math.nan], [3, 0], None)]), ("m2", 11, {"k": "30"}, [("B", [0.1], [1], None)])],
         SR.DATASET_RUN,
     )
-    SR.save_runs(doc, path, "x-cpa")
-    SR.save_runs(doc.withColumn("time", F.lit(99).cast("bigint")), path, "x-pa")
-    rows = SR.read_dataset_runs(spark, path, "A", "RelDom", "x-cpa").collect()
+    SR.save_runs(doc, path, "x-compare")
+    SR.save_runs(doc.withColumn("time", F.lit(99).cast("bigint")), path, "x-sweep")
+    rows = SR.read_dataset_runs(spark, path, "A", "RelDom", "x-compare").collect()
     assert [(r["method"], r["value"]) for r in rows] == [("m1", [0.5, None])]
     assert SR.read_dataset_runs(spark, path, "A", "Clusters").isEmpty()
     assert SR.read_dataset_runs(spark, path, "A", "Cells").count() == 2
-    assert {r["parameters"]["k"] for r in SR.run_parameters(spark, path, "x-pa").collect()} == {"20", "30"}
+    assert {r["parameters"]["k"] for r in SR.run_parameters(spark, path, "x-sweep").collect()} == {"20", "30"}
 
 
 def test_keyed_documents(spark, tmp_path):
@@ -39,9 +39,9 @@ def test_keyed_documents(spark, tmp_path):
     assert got["r1", "NMI"] == [{"a": 0.1, "b": 0.2}, {"a": 0.3}] and got["r2", "EPS"] == [{"": 0.5}]
     path = tmp_path / "keyed"
     path.mkdir()
-    (path / "tm2-d3-1.json").write_text('{\n "method": "Moons2-D3", "time": 5, "parameters": {"c": "2"},\n "results": {"NMI": [{"a": 0.5}], "DATA": [[[1.0]], [[2.0]]]}}')
-    (path / "tm2-d3-2.json").write_text('{"method": "Other", "time": 6, "parameters": {}, "results": {"EPS": [0.1]}}')
-    read = lambda prefix, names: SR.read_keyed_runs(spark, str(path), prefix, names, r"tm\d-d\d+", multi_line=True).collect()
+    (path / "run2-d3-1.json").write_text('{\n "method": "Moons2-D3", "time": 5, "parameters": {"c": "2"},\n "results": {"NMI": [{"a": 0.5}], "DATA": [[[1.0]], [[2.0]]]}}')
+    (path / "run2-d3-2.json").write_text('{"method": "Other", "time": 6, "parameters": {}, "results": {"EPS": [0.1]}}')
+    read = lambda prefix, names: SR.read_keyed_runs(spark, str(path), prefix, names, r"run\d-d\d+", multi_line=True).collect()
     assert len(read("Moons", ["NMI"])) == 1 and not read("Moons", ["EPS"]) and len(read("", ["EPS"])) == 1
     found = {r["method"]: r["stored"] for r in SR.run_catalogue(spark, str(path), multi_line=True).collect()}
     assert found == {"Moons2-D3": 2, "Other": 0}
@@ -51,8 +51,8 @@ def test_traces_and_names(spark):
     df = spark.createDataFrame([("a", [5.0, 4.0, 3.0])], "m string, t array<double>")
     assert df.select(C.pad_trace("t", 5)).first()[0] == [5, 4, 3, 3, 3]
     assert [(r["score"], r["clusters"]) for r in C.trim_trace(df, "t", 2).orderBy("pos").collect()] == [(4.0, 2), (3.0, 1)]
-    names = spark.createDataFrame([("plm+x:top",), ("x",), ("top",)], "n string")
-    assert [r[0] for r in names.select(C.rename_suffix("n", [(":top", ":t"), ("x", "yy")])).collect()] == ["plm+x:t", "yy", "top"]
+    names = spark.createDataFrame([("cover+x:top",), ("x",), ("top",)], "n string")
+    assert [r[0] for r in names.select(C.rename_suffix("n", [(":top", ":t"), ("x", "yy")])).collect()] == ["cover+x:t", "yy", "top"]
     c, d = C.run_components(F.lit("Moons12-D14"))
     assert names.select(c, d, C.run_components("n")[0]).first()[:3] == (12, 14, None)
     assert names.select(C.drop_head("n", 5)).collect()[1][0] == ""
