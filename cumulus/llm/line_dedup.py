@@ -52,7 +52,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, key: str = "doc_id",
     empty text has one. An empty table stays empty.
     """
     found = materialise(templates(docs, key, text), "templates")
-    again = recurring(found, min_docs)
+    again = materialise(recurring(found, min_docs), "recurring")
     lost = found.join(again, "template").filter(F.col("__row") != F.col("__first")).groupBy("__row").agg(F.collect_set("line").alias("__drops"))
     lost = lost.withColumnRenamed("__row", "__r")
     whole = docs.withColumn("__row", F.xxhash64(key, text)).join(lost, F.col("__row") == F.col("__r"), "left")
