@@ -66,6 +66,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, key: str = "doc_id",
     )
 
 
+def keep_lines(docs: DataFrame, min_docs: int = MIN_DOCS, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``docs`` with recurring lines dropped, in the same columns; a document that has lost all it had goes.
+
+    Documents that lost nothing stay as they are, empty ones too. A ``size`` column is set to the text's length where
+    lines were dropped.
+    """
+    out = dedup_lines(docs, min_docs, key, text)
+    changed = F.col("__dropped") > 0
+    out = out.filter(~changed | F.col(text).rlike(r"\S"))
+    return out.select(*[F.when(changed, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == size else F.col(c) for c in docs.columns])
+
+
 _SQL = f"""
     WITH l AS (SELECT doc_id, i - 1 AS line, regexp_split_to_array(b[i], '[ \\t\\r\\f\\v]+') AS t
       FROM (SELECT doc_id, string_split(text, chr(10)) AS b, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
