@@ -126,10 +126,11 @@ def decode(tokens: DataFrame, rank_path: str, key: str = "doc_id", ids: str = "i
     return tokens.select(key, ids).mapInArrow(run, f"`{key}` {kind.simpleString()}, decoded binary")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded documents."""
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, ``more``, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded documents."""
     return coded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
