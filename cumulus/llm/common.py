@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 from functools import wraps
 
@@ -65,3 +66,9 @@ def batches_of(batch, rows: int) -> Iterable:
     """Slices of an Arrow batch with at most ``rows`` rows each."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files behind tables that have been written: it acts when the driver collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -116,10 +116,9 @@ class Parser:
                 code = columns[at, :n]
                 to = self.table[state[:n] + code]
                 failed = to == 0
-                open_[:n] += failed
+                open_[:n] += failed | (state[:n] == root)  # a phrase starts here
                 state[:n] = np.where(failed, first[code], to)
-            # a piece that never failed is one phrase; each failure starts another
-            count[k, order] = open_ + (sizes > 0)
+            count[k, order] = open_
         return count
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ keyed by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cumulus.llm.common import fold, query, table
+from cumulus.llm.common import fold, query, release, table
 from cumulus.session import materialise
 
 ORDER = 5
 #: Bytes of text in a block and in a step of work; most shards of the model.
-BLOCK, STEP, MAX_SHARDS = 32 << 20, 4 << 20, 4_096
+BLOCK, STEP, MAX_SHARDS = 16 << 20, 2 << 20, 4_096
+#: Documents in a step, so that an event and a document's place fit 64 bits.
+STEP_DOCS = 1 << 16
 #: Counts are merged when so many are waiting.
 WAITING = 4_000_000
 _END = b"\xff"
@@ -75,7 +78,7 @@ def _steps(texts: list[bytes]) -> Iterator[slice]:
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t) + 1
-        if size >= STEP:
+        if size >= STEP or i + 1 - at >= STEP_DOCS:
             yield slice(at, i + 1)
             at, size = i + 1, 0
     if at < len(texts):
@@ -105,24 +108,21 @@ def block_events(texts: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.n
     return merged(parts)
 
 
-def block_words(texts: list[bytes], held: np.ndarray) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """(word -> place in keys, distinct keys, training counts)."""
-    seen: dict[bytes, int] = {}
-    counts: list[np.ndarray] = []
-    for step in _steps(texts):
-        for out in (False, True):
-            words = [w for t, h in zip(texts[step], held[step], strict=True) if h == out for w in words_of(t)]
-            for w in words:
-                if w not in seen:
-                    seen[w] = len(seen)
-            if not out:
-                counts.append(np.bincount(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)), minlength=0))
-    sums = np.zeros(len(seen), np.int64)
-    for c in counts:
-        sums[: len(c)] += c
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
-    keys, place = np.unique(hashes, return_inverse=True)
-    return dict(zip(seen, place.tolist(), strict=True)), keys, np.bincount(place, weights=sums, minlength=len(keys)).astype(np.int64)
+def hashes(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def block_words(texts: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word keys of a block and how often its training texts have them."""
+    uses: Counter = Counter()
+    rest: set[bytes] = set()
+    for text, out in zip(texts, held.tolist(), strict=True):
+        if out:
+            rest.update(words_of(text))
+        else:
+            uses.update(words_of(text))
+    rest -= uses.keys()
+    return merged([(hashes(uses), np.fromiter(uses.values(), np.int64, len(uses))), (hashes(rest), np.zeros(len(rest), np.int64))])
 
 
 def _by_shard(keys: np.ndarray, shard: np.ndarray, shards: int) -> list[np.ndarray]:
@@ -212,7 +212,7 @@ def _pack(shards: int, names: list[str], id_type: pa.DataType):
         sizes = np.array([len(t) for t in texts], np.int64)
         out = [("b", -1, ids, held, sizes.tobytes(), zstandard.compress(b"".join(texts), 3), b"")]
         events, counts = block_events(texts, flags)
-        _, keys, uses = block_words(texts, flags)
+        keys, uses = block_words(texts, flags)
         for kind, k, c, shard in (("e", events, counts, event_shard(events, shards)), ("w", keys, uses, word_shard(keys, shards))):
             for s, at in enumerate(_by_shard(k, shard, shards)):
                 if len(at):
@@ -299,53 +299,62 @@ def _answer(pairs: np.ndarray):
             else:
                 i, found = Trie._find(keys, wanted)
                 values = np.where(found, counts[i], 0) if len(counts) else np.zeros(len(wanted), np.int64)
-            columns = [pa.array([block], pa.int64()), pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([values.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "kind", "shard", "values"])
+            columns = [pa.array([block], pa.int64()), pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([r["keys"].as_py()], pa.binary()), pa.array([values.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "kind", "shard", "keys", "values"])
 
     return run
 
 
-def _sum(shards: int, key: str, id_type: pa.DataType, ends: int, total: int, distinct: int):
-    """Rows sorted by (block, kind, shard), answers before the texts (kind z), to one row for each document."""
-    end_count = float(ends)
+def _known(answers: list[tuple[bytes, bytes]], kind) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys of all answers with their values."""
+    keys, values = (np.concatenate([np.frombuffer(x, t) for x in part]) if answers else np.empty(0, t) for part, t in zip(zip(*answers, strict=True) if answers else ((), ()), (np.uint64, kind), strict=True))
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _sum(key: str, id_type: pa.DataType, ends: int, total: int, distinct: int):
+    """Rows sorted by (block, kind), answers before the texts (kind z), to one row for each document."""
     floor = total + 0.1 * (distinct + 1)
 
     def score(answers: dict, ids, held: list[bool], texts: list[bytes]):
-        flags = np.array(held, bool)
-        events, _ = block_events(texts, flags)
-        place, keys, _ = block_words(texts, flags)
-        value, uses = np.zeros(len(events)), np.zeros(len(keys), np.int64)
-        for target, kind, k, shard, dtype in ((value, "e", events, event_shard(events, shards), np.float32), (uses, "w", keys, word_shard(keys, shards), np.int64)):
-            for s, at in enumerate(_by_shard(k, shard, shards)):
-                if len(at):
-                    target[at] = np.frombuffer(answers[kind, s], dtype)
-        base = np.log10((uses + 0.1) / floor) if floor else np.zeros(len(uses))
-        scores, bases = np.zeros(len(texts)), np.full(len(texts), np.log10((end_count + 0.1) / floor))
+        events, value = _known(answers["e"], np.float32)
+        keys, uses = _known(answers["w"], np.int64)
+        words = list(set().union(*map(words_of, texts)))
+        use = uses[np.searchsorted(keys, hashes(words))] if words else np.empty(0, np.int64)
+        place = dict(zip(words, range(len(words)), strict=True))
+        base, seen = np.log10((use + 0.1) / floor), use > 0
         n, known = np.ones(len(texts), np.int64), np.full(len(texts), int(ends > 0), np.int64)
+        scores, bases = np.zeros(len(texts)), np.full(len(texts), np.log10((ends + 0.1) / floor))
         for step in _steps(texts):
             some, sizes = events_of(texts[step])
-            scores[step] = np.add.reduceat(value[np.searchsorted(events, some)], np.cumsum(sizes) - sizes)
+            mixed = (some << np.uint64(16)) | np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            mixed.sort()  # equal events lie together, so each is looked up once
+            some = mixed >> np.uint64(16)
+            first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+            own = np.repeat(value[np.searchsorted(events, some[first])], np.diff(np.append(first, len(some))))
+            scores[step] = np.bincount((mixed & np.uint64(0xFFFF)).astype(np.int64), weights=own, minlength=len(sizes))
             for i, t in enumerate(texts[step], step.start):
-                own = np.fromiter(map(place.__getitem__, words_of(t)), np.int64)
-                n[i] += len(own)
-                known[i] += int((uses[own] > 0).sum())
-                bases[i] += float(base[own].sum())
-        columns = [pa.array(ids, id_type), pa.array(flags), pa.array(n), pa.array(known), pa.array(np.full(len(texts), total)), pa.array(bases), pa.array(scores)]
+                at = np.fromiter(map(place.__getitem__, words_of(t)), np.int64)
+                n[i] += len(at)
+                known[i] += int(seen[at].sum())
+                bases[i] += float(base[at].sum())
+        columns = [pa.array(ids, id_type), pa.array(np.array(held, bool)), pa.array(n), pa.array(known), pa.array(np.full(len(texts), total)), pa.array(bases), pa.array(scores)]
         return pa.RecordBatch.from_arrays(columns, names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches):
         now, answers = None, {}
-        for r in _read(batches, ["block", "kind", "shard", "ids", "held", "sizes", "values"]):
+        for r in _read(batches, ["block", "kind", "ids", "held", "sizes", "keys", "values"]):
             if r["block"].as_py() != now:
-                now, answers = r["block"].as_py(), {}
+                now, answers = r["block"].as_py(), {"e": [], "w": []}
             if r["kind"].as_py() != "z":
-                answers[r["kind"].as_py(), r["shard"].as_py()] = r["values"].as_py()
+                answers[r["kind"].as_py()].append((r["keys"].as_py(), r["values"].as_py()))
                 continue
             data = zstandard.decompress(r["values"].as_buffer())
             stops = np.cumsum(_array(r["sizes"], np.int64)).tolist()
             texts = [data[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905
+            del data
             yield score(answers, r["ids"].as_py(), r["held"].as_py(), texts)
-            answers = {}
+            answers = {"e": [], "w": []}
 
     return run
 
@@ -369,6 +378,7 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     dealt = lambda t, *by: t.repartition(shards, *by[:2])
     model = dealt(asked.select("kind", "shard", "keys", "counts"), "kind", "shard").sortWithinPartitions("kind", "shard")
     model = materialise(model.mapInArrow(_merge, "kind string, shard int, keys binary, counts binary, total long, distinct long, pair_keys array<long>, pair_counts array<long>"), "model")
+    release(spark)
     pairs = np.zeros((256, 256), np.int64)
     zipped = model.filter("kind = 'e'").select(F.explode(F.arrays_zip("pair_keys", "pair_counts")).alias("p"))
     for r in zipped.groupBy(F.col("p.pair_keys").alias("k")).agg(F.sum("p.pair_counts").alias("n")).collect():  # 65,536 rows at most
@@ -376,13 +386,13 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     words, distinct = model.filter("kind = 'w'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     ends = parts.filter("kind = 'b'").select(F.aggregate("held", F.lit(0).cast("long"), lambda n, h: n + F.when(h, 0).otherwise(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     stream = model.select("kind", "shard", F.lit(-1).cast("long").alias("block"), "keys", "counts").unionByName(asked.select("kind", "shard", "block", "keys", F.lit(None).cast("binary").alias("counts")))
-    answers = dealt(stream, "kind", "shard").sortWithinPartitions("kind", "shard", "block").mapInArrow(_answer(pairs), "block long, kind string, shard int, values binary")
+    answers = dealt(stream, "kind", "shard").sortWithinPartitions("kind", "shard", "block").mapInArrow(_answer(pairs), "block long, kind string, shard int, keys binary, values binary")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ids", parts.schema["ids"].dataType), ("held", parts.schema["held"].dataType), ("sizes", "binary"))]
-    texts = parts.filter("kind = 'b'").select("block", F.lit("z").alias("kind"), "shard", "ids", "held", "sizes", F.col("keys").alias("values"))
-    both = answers.select("block", "kind", "shard", *nothing, "values").unionByName(texts)
-    ready = dealt(both, "block").sortWithinPartitions("block", "kind", "shard")
+    texts = parts.filter("kind = 'b'").select("block", F.lit("z").alias("kind"), "ids", "held", "sizes", F.lit(None).cast("binary").alias("keys"), F.col("keys").alias("values"))
+    both = answers.select("block", "kind", *nothing, "keys", "values").unionByName(texts)
+    ready = dealt(both, "block").sortWithinPartitions("block", "kind")
     schema = f"`{key}` {rows.schema[0].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return ready.mapInArrow(_sum(shards, key, id_type, int(ends), int(words + ends), int(distinct + (ends > 0))), schema)
+    return ready.mapInArrow(_sum(key, id_type, int(ends), int(words + ends), int(distinct + (ends > 0))), schema)
 
 
 @query("op1_lm_score")

@@ -18,7 +18,6 @@ tokens, so with any order of all tokens they also share some inside prefixes (pr
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cumulus.llm.common import batches_of, query, table
+from cumulus.llm.common import batches_of, query, release, table
 from cumulus.llm.components import components
 from cumulus.session import materialise
 
@@ -205,12 +204,6 @@ def _verify(percent: int):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of tables that have been written: it acts when the driver collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, n_links, component_id) of every row.
 
@@ -222,24 +215,24 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str =
     sets = materialise(sets, "sets")
     same = ["size", "digest"]
     reps = materialise(sets.filter("size > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("prefix").alias("prefix")), "reps")
-    _release(spark)
+    release(spark)
     postings = reps.select("rep", "size", F.explode("prefix").alias("token"))
     counts = materialise(postings.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"), "tokens")
-    _release(spark)
+    release(spark)
     live = materialise(postings.join(counts, "token").groupBy("rep").agg(F.first("size").alias("size"), F.collect_list(F.struct("sets", "token")).alias("live")), "live")
-    _release(spark)
+    release(spark)
     signed = materialise(live.mapInArrow(_signed(percent), "rep long, signature long"), "signatures")
     first = materialise(signed.groupBy("signature").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("signature", "first"), "first")
     groups = components(signed.join(first, "signature").select(F.col("rep").alias("a"), F.col("first").alias("b")))
     groups = materialise(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "groups")
-    _release(spark)
+    release(spark)
     chunks = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
     members = groups.join(chunks, "group").select("rep", "group", "n", F.pmod(F.xxhash64("rep"), "n").cast("int").alias("chunk"))
     members = materialise(members.join(reps.select("rep", "copies"), "rep"), "members")
     # equal rows of one key would come twice: any of them has the set
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("__text")).join(members, "rep").select("__text", "rep", "copies", "group", "n", "chunk")
     whole = materialise(texts.mapInArrow(_whole(words), "rep long, copies long, group long, n int, chunk int, tokens binary"), "whole").dropDuplicates(["rep"])
-    _release(spark)
+    release(spark)
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, "chunk").alias("one"), F.greatest(i, "chunk").alias("two")))
     tasks = whole.withColumn("p", F.explode(pairs)).select("group", "p.one", "p.two", "chunk", "rep", "copies", "tokens")
     found = materialise(tasks.groupBy("group", "one", "two").applyInPandas(_verify(percent), "id long, links long, root long"), "links")
