@@ -44,11 +44,19 @@ _KEPT = 1_000_000
 _M1, _M2, _64 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
 
 
+class _Hashes(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Shingles:
     """Hashes of word shingles; remembers the hashes of words."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.seen = words, {}
+        self.words, self.seen = words, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Ascending distinct 64-bit hashes; with fewer words than a shingle has, one of the whole sequence."""
@@ -58,9 +66,7 @@ class Shingles:
         if len(own) < self.words:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(own), seed=1)], np.uint64)
         if len(self.seen) > _KEPT:
-            self.seen = {}
-        for w in set(own) - self.seen.keys():
-            self.seen[w] = xxhash.xxh3_64_intdigest(w)
+            self.seen = _Hashes()
         h = np.fromiter(map(self.seen.__getitem__, own), np.uint64, len(own))
         out = np.zeros(len(h) - self.words + 1, np.uint64)
         for j in range(self.words):
