@@ -39,7 +39,7 @@ EXTEND, LEAST = 0.1, 20
 FREQUENT, CLASSES = 32, 16
 #: Sets up to this size use single tokens only, as their extension may not reach LEAST.
 SHORT = 30
-CHUNK = 256
+CHUNK = 1_024
 _KEPT = 1_000_000
 _M1, _M2, _64 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, (1 << 64) - 1
 
@@ -155,9 +155,13 @@ def _signed(percent: int):
 
 def _whole(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(words)
+        shingles, last = Shingles(words), None
         for whole in batches:
             for batch in batches_of(whole, 1_000):
+                # equal rows of one key come together
+                reps = batch.column(1).to_pylist()
+                batch = batch.filter(pa.array([a != b for a, b in zip(reps, [last, *reps])]))  # noqa: B905
+                last = reps[-1]
                 sets = [shingles(x).tobytes() for x in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=[*batch.schema.names[1:], "tokens"])
 
@@ -187,7 +191,7 @@ def _overlaps(tokens: list[np.ndarray]) -> np.ndarray:
 def _verify(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """(id, links, root) of the sets that this task linked: all pairs of one chunk, or those between two."""
-        pdf = pdf.sort_values("rep", kind="stable")
+        pdf = pdf.drop_duplicates("rep").sort_values("rep", kind="stable")
         ids, copies = pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
         sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -235,9 +239,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str =
     chunks = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
     members = groups.join(chunks, "group").select("rep", "group", "n", F.pmod(F.xxhash64("rep"), "n").cast("int").alias("chunk"))
     members = materialise(members.join(reps.select("rep", "copies"), "rep"), "members")
-    # equal rows of one key would come twice: any of them has the set
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("__text")).join(members, "rep").select("__text", "rep", "copies", "group", "n", "chunk")
-    whole = materialise(texts.mapInArrow(_whole(words), "rep long, copies long, group long, n int, chunk int, tokens binary"), "whole").dropDuplicates(["rep"])
+    whole = materialise(texts.mapInArrow(_whole(words), "rep long, copies long, group long, n int, chunk int, tokens binary"), "whole")
     release(spark)
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, "chunk").alias("one"), F.greatest(i, "chunk").alias("two")))
     tasks = whole.withColumn("p", F.explode(pairs)).select("group", "p.one", "p.two", "chunk", "rep", "copies", "tokens")
