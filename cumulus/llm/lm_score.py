@@ -38,7 +38,7 @@ from cumulus.session import materialise
 
 ORDER = 5
 #: Bytes of text in a block and in a step of work; most shards of the model.
-BLOCK, STEP, MAX_SHARDS = 16 << 20, 2 << 20, 4_096
+BLOCK, STEP, MAX_SHARDS = 24 << 20, 2 << 20, 4_096
 #: Documents in a step, so that an event and a document's place fit 64 bits.
 STEP_DOCS = 1 << 16
 #: Counts are merged when so many are waiting.
@@ -52,6 +52,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte planes apart, which compress well."""
+    return zstandard.compress(np.diff(keys, prepend=np.uint64(0)).astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def events_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(events of all texts in order, number of events of each); an event is its context and next byte, packed."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
@@ -216,7 +226,7 @@ def _pack(shards: int, names: list[str], id_type: pa.DataType):
         for kind, k, c, shard in (("e", events, counts, event_shard(events, shards)), ("w", keys, uses, word_shard(keys, shards))):
             for s, at in enumerate(_by_shard(k, shard, shards)):
                 if len(at):
-                    out.append((kind, s, None, None, None, k[at].tobytes(), c[at].tobytes()))
+                    out.append((kind, s, None, None, None, packed(k[at]), zstandard.compress(c[at].tobytes(), 1)))
         kind, shard, i, h, z, k, c = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(kind), pa.array(shard, pa.int32()), pa.array([number] * len(kind), pa.int64()), pa.array(i, pa.list_(id_type)), pa.array(h, pa.list_(pa.bool_())), pa.array(z, pa.binary()), pa.array(k, pa.binary()), pa.array(c, pa.binary())],
@@ -271,7 +281,7 @@ def _merge(batches):
             if now:
                 yield row(now, parts)
             now, parts, waiting = at, [], 0
-        parts.append((_array(r["keys"], np.uint64), _array(r["counts"], np.int64)))
+        parts.append((unpacked(r["keys"].as_buffer()), np.frombuffer(zstandard.decompress(r["counts"].as_buffer()), np.int64)))
         waiting += len(parts[-1][0])
         if waiting > WAITING:
             parts, waiting = [merged(parts)], 0
@@ -293,21 +303,22 @@ def _answer(pairs: np.ndarray):
                 trie = Trie(keys, counts, pairs) if at[0] == "e" else None
                 if block < 0:
                     continue
-            wanted = _array(r["keys"], np.uint64)
+            wanted = unpacked(r["keys"].as_buffer())
             if trie:
                 values = trie.log10(wanted).astype(np.float32)
             else:
                 i, found = Trie._find(keys, wanted)
                 values = np.where(found, counts[i], 0) if len(counts) else np.zeros(len(wanted), np.int64)
-            columns = [pa.array([block], pa.int64()), pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([r["keys"].as_py()], pa.binary()), pa.array([values.tobytes()], pa.binary())]
+            columns = [pa.array([block], pa.int64()), pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([r["keys"].as_py()], pa.binary()), pa.array([zstandard.compress(values.tobytes(), 1)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "kind", "shard", "keys", "values"])
 
     return run
 
 
-def _known(answers: list[tuple[bytes, bytes]], kind) -> tuple[np.ndarray, np.ndarray]:
+def _known(answers: list[tuple[np.ndarray, bytes]], kind) -> tuple[np.ndarray, np.ndarray]:
     """Ascending keys of all answers with their values."""
-    keys, values = (np.concatenate([np.frombuffer(x, t) for x in part]) if answers else np.empty(0, t) for part, t in zip(zip(*answers, strict=True) if answers else ((), ()), (np.uint64, kind), strict=True))
+    keys = np.concatenate([np.empty(0, np.uint64), *[k for k, _ in answers]])
+    values = np.concatenate([np.empty(0, kind), *[np.frombuffer(v, kind) for _, v in answers]])
     order = np.argsort(keys)
     return keys[order], values[order]
 
@@ -347,7 +358,7 @@ def _sum(key: str, id_type: pa.DataType, ends: int, total: int, distinct: int):
             if r["block"].as_py() != now:
                 now, answers = r["block"].as_py(), {"e": [], "w": []}
             if r["kind"].as_py() != "z":
-                answers[r["kind"].as_py()].append((r["keys"].as_py(), r["values"].as_py()))
+                answers[r["kind"].as_py()].append((unpacked(r["keys"].as_buffer()), zstandard.decompress(r["values"].as_buffer())))
                 continue
             data = zstandard.decompress(r["values"].as_buffer())
             stops = np.cumsum(_array(r["sizes"], np.int64)).tolist()
