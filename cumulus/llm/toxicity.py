@@ -24,17 +24,21 @@ from pyspark.sql import functions as F
 from cumulus.llm.common import batches_of, fold, query, table
 
 ORDER, DECAY = 3, 0.8
+#: The normalised kernel is taken to this power, which is a kernel again and tells near words from equal ones.
+SHARP = 2
 #: Bounds of the training sample: documents of either label, characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 20_000
 TOXIC_LANDMARKS, PLAIN_LANDMARKS = 40, 4
-#: A landmark is left out when its kernel with a chosen one is above this.
-ALIKE = 0.75
+#: A landmark is seen in so many toxic documents; beginnings of words up to so many letters can be landmarks.
+LEAST, BEGIN = 3, 8
+#: A landmark is left out when this share of its documents has one that is chosen already.
+ALIKE = 0.8
 #: Share of a landmark's letters that a word must hold to be compared.
 LETTERS = 0.75
 #: Words longer than this are read in windows that overlap by half.
 WIDTH = 24
 #: Words whose kernel with every landmark stays below this say nothing.
-FLOOR = 0.3
+FLOOR = 0.2
 ROWS = 8_000
 #: Words that a worker remembers between batches.
 KEPT = 600_000
@@ -119,7 +123,7 @@ class Landmarks:
                 rows = np.flatnonzero(near[:, z])
                 if len(rows):
                     mark = np.broadcast_to(self.codes[z, : self.sizes[z]], (len(rows), self.sizes[z]))
-                    out[part[rows], z] = _pairs(codes[rows], mark) / (full[rows] * self.own[z])
+                    out[part[rows], z] = np.round(_pairs(codes[rows], mark) / (full[rows] * self.own[z]), 4) ** SHARP
         return out
 
 
@@ -127,6 +131,29 @@ def _plain(token: str) -> str:
     return token.strip(_EDGES)
 
 
+def _marks(token: str) -> list[str]:
+    """What a token offers as landmarks: the word between its edges, and its beginnings."""
+    word = _plain(token)
+    return [f"^{word}$", *(f"^{word[:n]}" for n in range(ORDER, min(len(word), BEGIN) + 1))] if ORDER <= len(word) <= WIDTH else []
+
+
+def _cover(docs: list[set[str]], odds: dict[str, float]) -> list[str]:
+    """Marks that speak for the label, chosen one by one for the documents that have fewest of them so far."""
+    holders: dict[str, list[int]] = {}
+    for i, marks in enumerate(docs):
+        for m in marks:
+            holders.setdefault(m, []).append(i)
+    weight, out, taken = np.ones(len(docs)), [], []
+    while holders and len(out) < TOXIC_LANDMARKS:
+        best = max(holders, key=lambda m: (odds[m] * weight[holders[m]].sum(), m))
+        own = set(holders.pop(best))
+        if all(len(own & x) < ALIKE * len(own | x) for x in taken):
+            out.append(best)
+            taken.append(own)
+            weight[list(own)] *= 0.4
+    return out
+
+
 def _windows(word: str) -> list[str]:
     return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
 
@@ -137,7 +164,7 @@ def telling(landmarks: Landmarks, tokens) -> dict[str, np.ndarray]:
     for token in tokens:
         word = _plain(token)
         if len(word) >= ORDER:
-            for part in _windows(word):
+            for part in _windows(f"^{word}$"):
                 by.setdefault(part, []).append(token)
     parts = list(by)
     out: dict[str, np.ndarray] = {}
@@ -227,23 +254,19 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model(None, share=share)
     texts = [spelt(x.lower()) for x in texts]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label in zip(texts, labels, strict=True):
-        seen[label].update({w for t in text.split() if ORDER <= len(w := _plain(t)) <= WIDTH})
+    own = [{m for w in set(t.split()) for m in _marks(w)} for t in texts]
+    for marks, label in zip(own, labels, strict=True):
+        seen[label].update(marks)
     sizes = [int((y == 0).sum()), int((y == 1).sum())]
-    odds = {w: np.log((n + 0.5) / (sizes[1] + 1)) - np.log((seen[0][w] + 0.5) / (sizes[0] + 1)) for w, n in seen[1].items()}
-    # support first among words that speak for the label: a word seen once proves little
-    ranked = sorted((w for w in odds if odds[w] > 1), key=lambda w: (-odds[w] * np.log1p(seen[1][w]), w))
-    chosen: list[str] = []
-    for word in ranked[: 8 * TOXIC_LANDMARKS]:
-        if len(chosen) < TOXIC_LANDMARKS and (not chosen or Landmarks(chosen).kernel([word]).max() <= ALIKE):
-            chosen.append(word)
+    odds = {w: np.log((n + 0.5) / (sizes[1] + 1)) - np.log((seen[0][w] + 0.5) / (sizes[0] + 1)) for w, n in seen[1].items() if n >= LEAST}
+    chosen = _cover([{m for m in marks if odds.get(m, 0) > 1.5} for marks, label in zip(own, labels, strict=True) if label], odds)
     if not chosen:
         return Model(None, share=share)
-    common = sorted((w for w in seen[0] if odds.get(w, -1) < 0.2 and len(w) > ORDER), key=lambda w: (-seen[0][w], w))
+    common = sorted((w for w in seen[0] if w.endswith("$") and odds.get(w, -1) < 0.2 and len(w) > ORDER + 2), key=lambda w: (-seen[0][w], w))
     landmarks = Landmarks(chosen + common[:PLAIN_LANDMARKS])
     gram = landmarks.kernel(landmarks.words).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    white = (vectors / np.sqrt(np.maximum(values, 1e-2)) @ vectors.T).astype(np.float32)
+    white = (vectors / np.sqrt(np.maximum(values, 0.1)) @ vectors.T).astype(np.float32)
     known = telling(landmarks, {w for t in texts for s in _sentences(t) for w in s})
     rows, signs = [np.zeros((1, len(landmarks.words)), np.float32)], [np.array([-1])]
     for text, label in zip(texts, labels, strict=True):
@@ -254,7 +277,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             found = found[[int(found[:, : len(chosen)].max(axis=1).argmax())]]
             # the same insult with a letter inserted, at every second place
             words = [w for t in _sentences(text) for w in t if w in known and known[w][: len(chosen)].max() == found[0, : len(chosen)].max()][:1]
-            bent = [w[:i] + "x" + w[i:] for w in map(_plain, words) for i in range(1, len(w), 2)]
+            bent = [f"^{w[:i]}x{w[i:]}$" for w in map(_plain, words) for i in range(1, len(w), 2)]
             if bent:
                 found = np.concatenate([found, landmarks.kernel([b[:WIDTH] for b in bent])])
         rows.append(found)
