@@ -49,16 +49,14 @@ def ordinals(df: DataFrame, groups: list[str], digest: str, ties: list[str], out
     of the buckets before it end. So no group is sorted in one task, and the counts hold at most 4,096 rows a
     group. Reads ``df`` twice: give it a written table. Rows equal in all of these columns may swap numbers.
     """
-    cut = df.withColumn("__bucket", F.substring(digest, 1, 3))
-    keys = [*groups, "__bucket"]
-    counts = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*groups).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(W.partitionBy(*keys).orderBy(digest, *ties)) - 1
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    numbered = cut.withColumn("__inside", inside).join(starts, match)
+    # one key column of each side: the join keeps the partitions of the window, and nulls match inside a struct
+    group, bucket = F.struct(*[F.col(g) for g in groups]), F.substring(digest, 1, 3)
+    cut = df.withColumn("__key", F.struct(group.alias("g"), bucket.alias("b")))
+    counts = cut.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("__key.g").orderBy("__key.b").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("__key", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(W.partitionBy("__key").orderBy(digest, *ties)) - 1
+    numbered = cut.withColumn("__inside", inside).join(starts, "__key")
     return numbered.select(*df.columns, (F.col("__start") + F.col("__inside")).cast("long").alias(out))
 
 

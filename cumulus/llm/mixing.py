@@ -83,7 +83,8 @@ def mix(docs: DataFrame, weights: dict[Source, float] | None = None, source: str
     entries = spark.range(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*") if rows else spark.range(0).select(F.lit(None).cast("string").alias("__source"), F.array().cast("array<long>").alias("__slots"))
     marked = docs.withColumn("__s", F.col(source).cast("string")).withColumn("__digest", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     numbered = ordinals(marked, ["__s"], "__digest", [key], "__n")
-    placed = numbered.join(entries, F.col("__s").eqNullSafe(F.col("__source")))
+    # bounded: a row for each source and a number for each slot of a period
+    placed = numbered.join(F.broadcast(entries), F.col("__s").eqNullSafe(F.col("__source")))
     own, at = F.size("__slots").cast("long"), F.expr(f"__n div {int(block)}")
     placed = placed.withColumn("__own", own).withColumn("__at", at).withColumn("__turn", F.expr("__at div __own")).withColumn("__left", F.expr("__at % __own"))
     begin = F.col("__turn") * F.lit(period)
