@@ -21,7 +21,7 @@ from cumulus.llm.common import batches_of, fold, query, table
 #: Bounds of the sample: documents of one language, characters of each, bytes of all languages together.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 300, 4_000, 160_000
 PIECE = 1_024
-ROWS = 4_000
+ROWS = 2_000
 
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = regex.compile(rb"[A-Za-z]")
@@ -73,7 +73,7 @@ class Parser:
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
-        self.code = np.zeros(256, np.int32)
+        self.code = np.zeros(256, np.uint8)  # UTF-8 without ASCII but letters and space has under 200 bytes
         used = sorted(set().union(*samples.values())) if samples else []
         self.code[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
@@ -83,7 +83,7 @@ class Parser:
         for language in self.languages:
             moves = automaton(samples[language])
             self.starts.append(at)
-            self.edges.append(np.array([(at + s, self.code[c], at + t) for s, row in enumerate(moves) for c, t in row.items()], np.int32).reshape(-1, 3))
+            self.edges.append(np.array([(at + s, int(self.code[c]), at + t) for s, row in enumerate(moves) for c, t in row.items()], np.int32).reshape(-1, 3))
             at += len(moves)
         self.states = at
         self.table: np.ndarray | None = None
