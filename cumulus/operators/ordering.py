@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cumulus.operators.summary import join_keys, whole_key
-from cumulus.session import is_small, materialise
+from cumulus.session import materialise
 
 
 def seeded_order(seed: int, *ids: str) -> Column:
@@ -19,16 +19,12 @@ def seeded_pick(df: DataFrame, n: int, seed: int, id: str = "id") -> DataFrame:
     return df.orderBy(seeded_order(seed, id), id).limit(n)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], name: str, small: bool | None = None) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
     """1-based row number in ``order`` within ``keys``.
 
-    Small inputs use one window. Large ones are range-partitioned by (keys, order) and written once;
-    each range counts its own rows and adds the rows of the same key in the ranges before it.
+    Rows are range-partitioned by (keys, order) and written once; each range counts its own rows and adds the rows
+    of the same key in the ranges before it.
     """
-    if small is None:
-        small = is_small(df)
-    if small:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)).cast("bigint"))
     ranged = materialise(
         df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()), "ranges"
     ).withColumn("_k", whole_key(keys))

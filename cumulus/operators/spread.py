@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cumulus.operators.summary import join_keys, medians, running_totals
-from cumulus.session import is_small, materialise
+from cumulus.session import materialise
 
 # Rational approximation of the normal quantile (Wichura 1988, algorithm AS 241),
 # coefficients from the constant term up, numerator then denominator for each of three ranges.
@@ -35,19 +35,19 @@ FAR_TAIL = (
 )
 
 
-def _ratio(coefficients, r: np.ndarray) -> np.ndarray:
-    top, bottom = (np.polyval(c[::-1], r) for c in coefficients)
+def _ratio(coefficients, r: Column) -> Column:
+    """Quotient of two polynomials in Horner form."""
+    top, bottom = (reduce(lambda total, c: total * r + F.lit(c), reversed(part[:-1]), F.lit(part[-1])) for part in coefficients)
     return top / bottom
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """Inverse of the standard normal distribution function, a whole batch at a time."""
-    p = p.to_numpy()
+def normal_quantile(p: Column | str) -> Column:
+    """Inverse of the standard normal distribution function."""
+    p = F.col(p) if isinstance(p, str) else p
     q = p - 0.5
-    tail = np.sqrt(-np.log(np.minimum(p, 1 - p)))
-    far = np.where(tail <= 5, _ratio(NEAR_TAIL, tail - 1.6), _ratio(FAR_TAIL, tail - 5))
-    return pd.Series(np.where(np.abs(q) <= 0.425, q * _ratio(CENTRE, 0.180625 - q * q), np.sign(q) * far))
+    tail = F.sqrt(-F.log(F.least(p, 1 - p)))
+    far = F.when(tail <= 5, _ratio(NEAR_TAIL, tail - 1.6)).otherwise(_ratio(FAR_TAIL, tail - 5))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(CENTRE, 0.180625 - q * q)).otherwise(F.signum(q) * far)
 
 
 def _chi2_tail(x: float, df: int) -> float:
@@ -68,20 +68,18 @@ def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_chi2_tail(a, int(b)) for a, b in zip(x, df)])
 
 
-def fligner_killeen(df: DataFrame, tests: list[str], group: str, value: str, alpha: float = 0.05, small: bool | None = None) -> DataFrame:
+def fligner_killeen(df: DataFrame, tests: list[str], group: str, value: str, alpha: float = 0.05) -> DataFrame:
     """(tests, chi2, df, p_value, reject): one test per key, groups compared within it.
 
     Ranks are taken within the test only, over distinct deviations with their counts.
     """
-    if small is None:
-        small = is_small(df)
     rows = df.filter(F.col(value).isNotNull()).select(*tests, group, value)
-    centre = medians(rows, [*tests, group], [value], small=small)
+    centre = medians(rows, [*tests, group], [value])
     dev = join_keys(rows, centre, [*tests, group]).select(*tests, group, F.abs(F.col(value) - F.col(f"{value}_med")).alias("dev"))
     # every later step works on distinct deviations with their counts
     counts = materialise(dev.groupBy(*tests, group, "dev").agg(F.count("*").alias("c")), "deviations")
-    ties = counts.groupBy(*tests, "dev").agg(F.sum("c").alias("ties"))
-    ranks = running_totals(ties, tests, "dev", ["ties"], small=small).select(
+    ties = materialise(counts.groupBy(*tests, "dev").agg(F.sum("c").alias("ties")), "ties")
+    ranks = running_totals(ties, tests, "dev", ["ties"]).select(
         *tests, "dev", (F.col("run_ties") - F.col("ties") + (F.col("ties") + 1) / 2).alias("rank")
     )
     sizes = counts.groupBy(*tests).agg(F.sum("c").alias("N"))

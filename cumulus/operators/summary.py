@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulus.session import is_small, materialise, plan_bytes
+from cumulus.session import materialise
+
+# Distinct values aimed at for one range, and the fewest ranges of a key.
+RANGE_ROWS, LEAST_RANGES = 1_000_000, 16
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -24,19 +27,14 @@ def whole_key(keys: list[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
 
-def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], splits: int | None = None, small: bool | None = None) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], splits: int | None = None) -> DataFrame:
     """Adds ``run_<c>``, the inclusive running sum of each ``c`` by ``by`` within ``keys``.
 
-    ``df`` has one row per (keys, by). A large input is cut into value ranges per key, so a hot key is
+    ``df`` is a written table with one row per (keys, by). It is cut into value ranges per key, so a hot key is
     ordered by many tasks: ranges are totalled first, and each adds the totals of the ranges before it.
     """
-    if small is None:
-        small = is_small(df)
-    if small:
-        w = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(f"run_{c}") for c in sums])
-    if splits is None:  # about 32 MB of values per range
-        splits = max(16, min(1024, (plan_bytes(df) or 1 << 40) >> 25))
+    if splits is None:
+        splits = max(LEAST_RANGES, -(-df.count() // RANGE_ROWS))
     marks = [i / splits for i in range(1, splits)]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(F.col(by).cast("double"), marks, 10 * splits).alias("_bounds"))
     value = F.col(by).cast("double")
@@ -52,34 +50,27 @@ def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], spl
     )
 
 
-def value_counts(df: DataFrame, keys: list[str], col: str, small: bool) -> DataFrame:
-    """(keys, col, ties): distinct values with multiplicity, NULL included; a large one is written, for several passes."""
-    counts = df.groupBy(*keys, col).agg(F.count("*").alias("ties"))
-    return counts if small else materialise(counts, "counts")
+def value_counts(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """(keys, col, ties): distinct values with multiplicity, NULL included; written, for several passes."""
+    return materialise(df.groupBy(*keys, col).agg(F.count("*").alias("ties")), "counts")
 
 
-def _ranked(counts: DataFrame, keys: list[str], col: str, small: bool) -> DataFrame:
-    ranked = running_totals(counts.filter(F.col(col).isNotNull()), keys, col, ["ties"], small=small)
+def _ranked(counts: DataFrame, keys: list[str], col: str) -> DataFrame:
+    ranked = running_totals(counts.filter(F.col(col).isNotNull()), keys, col, ["ties"])
     below = F.col("run_ties") - F.col("ties")
     return ranked.select(*keys, col, "ties", below.alias("below"), (below + (F.col("ties") + 1) / 2).alias("rank"))
 
 
-def value_ranks(df: DataFrame, keys: list[str], col: str, small: bool | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """(keys, col, ties, below, rank): distinct non-NULL values, rows below, average rank."""
-    if small is None:
-        small = is_small(df)
-    return _ranked(value_counts(df, keys, col, small), keys, col, small)
+    return _ranked(value_counts(df, keys, col), keys, col)
 
 
-def quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float], small: bool | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float]) -> DataFrame:
     """(keys, n, q): exact, linearly interpolated quantiles of the non-NULL values, q as an array."""
-    if small is None:
-        small = is_small(df)
-    if small:
-        return df.groupBy(*keys).agg(F.count(col).alias("n"), F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs])).alias("q"))
-    counts = value_counts(df, keys, col, small)
+    counts = value_counts(df, keys, col)
     sizes = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(col).isNotNull(), F.col("ties"))), F.lit(0)).alias("n"))
-    placed = join_keys(_ranked(counts, keys, col, small), sizes, keys)
+    placed = join_keys(_ranked(counts, keys, col), sizes, keys)
     picks = []
     for i, p in enumerate(probs):
         at = (F.col("n") - 1) * F.lit(p)
@@ -93,28 +84,20 @@ def quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float], smal
     return materialise(join_keys(sizes, found.select(*keys, q.alias("q")), keys, "left"), "quantiles")
 
 
-def medians(df: DataFrame, keys: list[str], cols: list[str], suffix: str = "_med", small: bool | None = None) -> DataFrame:
+def medians(df: DataFrame, keys: list[str], cols: list[str], suffix: str = "_med") -> DataFrame:
     """Exact medians; an even count gives the mean of the middle two."""
-    if small is None:
-        small = is_small(df)
-    if small:
-        return df.groupBy(*keys).agg(*[F.median(c).alias(f"{c}{suffix}") for c in cols])
-    parts = [quantiles(df, keys, c, [0.5], small=False).select(*keys, F.element_at("q", 1).alias(f"{c}{suffix}")) for c in cols]
+    parts = [quantiles(df, keys, c, [0.5]).select(*keys, F.element_at("q", 1).alias(f"{c}{suffix}")) for c in cols]
     return reduce(lambda a, b: join_keys(a, b, keys), parts)
 
 
-def median_mad(df: DataFrame, keys: list[str], cols: list[str], small: bool | None = None) -> DataFrame:
+def median_mad(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """``<c>_med`` and the unscaled median absolute deviation ``<c>_mad`` of every column."""
-    if small is None:
-        small = is_small(df)
     df = df.select(*keys, *cols)
-    centre = medians(df, keys, cols, small=small)
+    centre = medians(df, keys, cols)
     apart = join_keys(df, centre, keys)
     gap = lambda c: F.abs(F.col(c) - F.col(f"{c}_med"))
-    if small:  # the medians ride along, so they are computed once
-        return apart.groupBy(*keys).agg(*[F.max(f"{c}_med").alias(f"{c}_med") for c in cols], *[F.median(gap(c)).alias(f"{c}_mad") for c in cols])
     spread = apart.select(*keys, *[gap(c).alias(c) for c in cols])
-    return join_keys(centre, medians(spread, keys, cols, suffix="_mad", small=small), keys)
+    return join_keys(centre, medians(spread, keys, cols, suffix="_mad"), keys)
 
 
 def mean_std(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
@@ -172,9 +155,9 @@ def median_difference(df: DataFrame, keys: list[str], mode: str, value: str, mod
     return wide.select(*keys, (F.col("_m1") - F.col("_m0")).alias("median_diff"), F.hypot("_e0", "_e1").alias("error"))
 
 
-def box_summary(df: DataFrame, keys: list[str], col: str, small: bool | None = None) -> DataFrame:
+def box_summary(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Quartiles, the most distant values within 1.5 IQR of the box, and the count beyond them."""
-    boxes = quantiles(df, keys, col, [0.25, 0.5, 0.75], small=small).select(
+    boxes = quantiles(df, keys, col, [0.25, 0.5, 0.75]).select(
         *keys, "n", *[F.element_at("q", i).alias(name) for i, name in ((1, "q1"), (2, "med"), (3, "q3"))]
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))

@@ -17,7 +17,7 @@ from cumulus.operators.spread import CENTRE, FAR_TAIL, NEAR_TAIL, fligner_killee
 from cumulus.plans.registry import query, table
 
 METHODS = ["click", "error", "purchase", "signup", "view"]
-CODES = ["const", "prop", "dyn", "vr", "wtn"]
+CODES = ["seen", "failed", "bought", "joined", "viewed"]
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +61,7 @@ def median_mad_by_group(spark, sf):
   round(mad(l_extendedprice), 4) AS l_extendedprice_mad FROM lineitem GROUP BY ALL""")
 def median_mad_split_by_value(spark, sf):
     """The form for groups too large for one task: values are counted, then ordered by range."""
-    out = A.median_mad(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_extendedprice"], small=False)
+    out = A.median_mad(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_extendedprice"])
     return r6(out, "l_extendedprice_med", "l_extendedprice_mad", digits=4)
 
 
@@ -133,7 +133,7 @@ def box_summary(spark, sf):
 @query("""SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1,
   round(median(l_extendedprice), 4) AS med, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem GROUP BY ALL""")
 def quartiles_split_by_value(spark, sf):
-    out = A.quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75], small=False)
+    out = A.quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75])
     return r6(out.select("l_returnflag", "n", *[F.element_at("q", i + 1).alias(c) for i, c in enumerate(("q1", "med", "q3"))]), "q1", "med", "q3", digits=4)
 
 
@@ -174,20 +174,20 @@ SPREAD = RUNS + f""", x AS (SELECT dataset, method, ln(score) AS v FROM runs WHE
     exp(-chi2 / 2) * (1 + chi2 / 2) < 0.05 AS reject FROM s"""
 
 
-def _spread(spark, sf, small):
+def _spread(spark, sf):
     rows = runs(spark, sf).withColumn("x", C.log_positive("score"))
-    return r6(fligner_killeen(rows, ["dataset"], "method", "x", small=small), "chi2", "p_value")
+    return r6(fligner_killeen(rows, ["dataset"], "method", "x"), "chi2", "p_value")
 
 
 @query(SPREAD, name="fligner_killeen")
 def fligner_killeen_query(spark, sf):
     """log transform, then the rank test of equal spread over the five methods of each data set"""
-    return _spread(spark, sf, None)
+    return _spread(spark, sf)
 
 
 @query(SPREAD)
 def fligner_killeen_split_by_value(spark, sf):
-    return _spread(spark, sf, False)
+    return _spread(spark, sf)
 
 
 # --- filters, names, nulls, traces --------------------------------------------------------------
@@ -313,7 +313,7 @@ def cover_size(spark, sf):
 
 
 @query(RUNS + """, m AS (SELECT DISTINCT method FROM runs), c AS (SELECT method, row_number() OVER (ORDER BY method) AS p FROM m)
-  SELECT method, ['const', 'prop', 'dyn', 'vr', 'wtn'][p] AS code, count(*) AS n FROM runs JOIN c USING (method) GROUP BY ALL""")
+  SELECT method, ['seen', 'failed', 'bought', 'joined', 'viewed'][p] AS code, count(*) AS n FROM runs JOIN c USING (method) GROUP BY ALL""")
 def recode_methods(spark, sf):
     return R.recode(runs(spark, sf), "method", CODES, "code").groupBy("method", "code").agg(F.count("*").alias("n"))
 
@@ -430,16 +430,16 @@ def best_run(spark, sf):
 
 
 @query(RUNS + """, n AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY ts, run) AS p FROM runs)
-  SELECT run, method, dataset FROM n WHERE (method, p) IN (('click', 3), ('error', 84), ('purchase', 282), ('view', 36))""")
+  SELECT run, method, dataset FROM n WHERE (method, p) IN (('click', 1), ('error', 10), ('purchase', 25), ('view', 50))""")
 def representative_rows(spark, sf):
     base = runs(spark, sf).select("method", "ts", "run", "dataset")
-    return W.rows_at(base, ["method"], ["ts", "run"], {"click": 3, "error": 84, "purchase": 282, "view": 36}).select("run", "method", "dataset")
+    return W.rows_at(base, ["method"], ["ts", "run"], {"click": 1, "error": 10, "purchase": 25, "view": 50}).select("run", "method", "dataset")
 
 
 @query(RUNS + "SELECT method, run, row_number() OVER (PARTITION BY method ORDER BY ts, run) AS n FROM runs")
 def row_numbers_split_by_range(spark, sf):
     """The form for groups too large for one task: ranges are numbered side by side."""
-    return W.number_rows(runs(spark, sf).select("method", "ts", "run"), ["method"], ["ts", "run"], "n", small=False).drop("ts")
+    return W.number_rows(runs(spark, sf).select("method", "ts", "run"), ["method"], ["ts", "run"], "n").drop("ts")
 
 
 @query(RUNS + "SELECT dataset, method, round(median(score), 6) AS score_med FROM runs GROUP BY ALL ORDER BY dataset, score_med DESC, method")

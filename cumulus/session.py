@@ -9,8 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A whole input below this estimate may meet in one task; above it, work is split by value.
-SMALL_BYTES = 64 << 20
 # Largest model-sized state, in doubles, that may travel to the driver or into a task.
 MAX_STATE = 8_000_000
 
@@ -87,17 +85,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame, name: str = "spread") -> DataFrame:
-    """For iterative jobs over a small table: one written copy with a file per core, so rounds run on all of them.
-
-    A large table already has many splits and is scanned where it lies.
-    """
-    if not is_small(df):
-        return df
+    """The input of an iterative job as a written table with at least a file per core, so no round computes it again."""
     spark = df.sparkSession
     files = df.inputFiles()
     if files and all("/" + name + "-" in f for f in files):
         return df
-    return materialise(df.repartition(spark.sparkContext.defaultParallelism), name)
+    out, cores = materialise(df, name), spark.sparkContext.defaultParallelism
+    return out if len(out.inputFiles()) >= cores else materialise(out.repartition(cores), name)
 
 
 class Rounds:
@@ -118,19 +112,6 @@ class Rounds:
         return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """The optimiser's size estimate, without running a job; None where it cannot be read."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    size = plan_bytes(df)
-    return size is not None and size <= (SMALL_BYTES if limit is None else limit)
-
-
 def check_state(cells: int, what: str) -> None:
     if cells > MAX_STATE:
         raise ValueError(f"{what} needs {cells} numbers of model state; the bound is {MAX_STATE}")

@@ -14,11 +14,13 @@ def read_delimited_points(spark: SparkSession, path: str, features: int, label_o
     """Space-padded, comma-separated features with the class in the last column: (id, x, label[, split]).
 
     Text rows carry no key, so ids are given once at load and written with the rows; they do not change when
-    a lost task is run again.
+    a lost task is run again. A line that is malformed or has an empty field is an error.
     """
     schema = T.StructType([*[T.StructField(f"f{i}", T.DoubleType()) for i in range(features)], T.StructField("class", T.IntegerType())])
-    raw = spark.read.csv(path, schema=schema, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="DROPMALFORMED")
-    rows = raw.dropna().select(
+    raw = spark.read.csv(path, schema=schema, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="FAILFAST")
+    # FAILFAST lets empty fields pass as nulls
+    whole = [F.when(F.col(c).isNull(), F.raise_error(F.lit(f"empty field {c}"))).otherwise(F.col(c)).alias(c) for c in raw.columns]
+    rows = raw.select(*whole).select(
         F.monotonically_increasing_id().alias("id"), F.array(*[F.col(f"f{i}") for i in range(features)]).alias("x"),
         (F.col("class") + label_offset).alias("label"), *([F.lit(split).alias("split")] if split else []),
     )

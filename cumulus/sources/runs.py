@@ -25,7 +25,8 @@ def save_runs(runs: DataFrame, path: str, experiment: str) -> None:
 def _documents(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
     named = T.StructType.fromDDL(schema).add("experiment", "string")
     docs = spark.read.schema(named).option("multiLine", multi_line).json(path)
-    return docs.withColumn("file", F.col("_metadata.file_path")).withColumn("ts", run_time("time"))
+    # a saved run goes by its experiment, any other document by its file's own name: folders above never match
+    return docs.withColumn("file", F.coalesce("experiment", F.col("_metadata.file_name"))).withColumn("ts", run_time("time"))
 
 
 def read_dataset_runs(spark: SparkSession, path: str, dataset: str, parameter: str, file_text: str = "", multi_line: bool = False) -> DataFrame:

@@ -15,6 +15,20 @@ def test_delimited_points(spark, tmp_path):
     assert len({r["id"] for r in rows}) == 2
 
 
+@pytest.mark.parametrize("line", ["1, 2\n", "1, x, 3\n", "1, , 3\n"])
+def test_bad_lines_fail(spark, tmp_path, line):
+    (tmp_path / "a.txt").write_text("47, 100, 0\n" + line)
+    with pytest.raises(Exception):
+        SP.read_delimited_points(spark, str(tmp_path), 2).collect()
+
+
+def test_folders_never_match(spark, tmp_path):
+    path = str(tmp_path / "x-sweep" / "docs")
+    doc = spark.createDataFrame([("m1", 10, {"k": "20"}, None)], SR.DATASET_RUN)
+    SR.save_runs(doc, path, "x-compare")
+    assert SR.run_parameters(spark, path, "x-sweep").isEmpty() and SR.run_parameters(spark, path, "x-comp").count() == 1
+
+
 def test_dataset_documents(spark, tmp_path):
     path = str(tmp_path / "docs")
     doc = spark.createDataFrame(

@@ -19,10 +19,9 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "g string, v double").repartition(5)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_quantiles_are_exact(skewed, small):
+def test_quantiles_are_exact(skewed):
     rows, df = skewed
-    got = {r["g"]: r for r in A.quantiles(df, ["g"], "v", [0.25, 0.5, 0.9], small=small).collect()}
+    got = {r["g"]: r for r in A.quantiles(df, ["g"], "v", [0.25, 0.5, 0.9]).collect()}
     for g in ("hot", "b", "one", None):
         values = [v for k, v in rows if k == g and v is not None]
         assert got[g]["n"] == len(values)
@@ -30,10 +29,9 @@ def test_quantiles_are_exact(skewed, small):
     assert got["none"]["n"] == 0
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_median_mad(skewed, small):
+def test_median_mad(skewed):
     rows, df = skewed
-    got = {r["g"]: r for r in A.median_mad(df, ["g"], ["v"], small=small).collect()}
+    got = {r["g"]: r for r in A.median_mad(df, ["g"], ["v"]).collect()}
     values = [v for k, v in rows if k == "hot"]
     m = statistics.median(values)
     assert got["hot"]["v_med"] == m
@@ -41,20 +39,18 @@ def test_median_mad(skewed, small):
     assert got["one"]["v_mad"] == 0
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_average_ranks(skewed, small):
+def test_average_ranks(skewed):
     rows, df = skewed
-    got = {r["v"]: r for r in A.value_ranks(df.filter("g = 'hot'"), ["g"], "v", small=small).collect()}
+    got = {r["v"]: r for r in A.value_ranks(df.filter("g = 'hot'"), ["g"], "v").collect()}
     values = sorted(v for k, v in rows if k == "hot")
     for v in set(values):
         at = [i + 1 for i, x in enumerate(values) if x == v]
         assert got[v]["ties"] == len(at) and got[v]["rank"] == sum(at) / len(at)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_number_rows(skewed, small):
+def test_number_rows(skewed):
     rows, df = skewed
-    got = W.number_rows(df.filter("v is not null"), ["g"], ["v"], "n", small=small).collect()
+    got = W.number_rows(df.filter("v is not null"), ["g"], ["v"], "n").collect()
     for g in ("hot", "b"):
         mine = sorted((r["n"], r["v"]) for r in got if r["g"] == g)
         assert [n for n, _ in mine] == list(range(1, len(mine) + 1))
@@ -83,12 +79,11 @@ def test_chi2_tail():
     assert _chi2_tail(18.307038053275146, 10) == pytest.approx(0.05)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_spread_test_tells_spread(spark, small):
+def test_spread_test_tells_spread(spark):
     rng = np.random.default_rng(3)
     rows = [("same", g, float(v)) for g in (0, 1) for v in rng.normal(size=200)]
     rows += [("wide", g, float(v * (1 + 2 * g))) for g in (0, 1) for v in rng.normal(size=200)]
-    got = {r["t"]: r for r in fligner_killeen(spark.createDataFrame(rows, "t string, g int, v double"), ["t"], "g", "v", small=small).collect()}
+    got = {r["t"]: r for r in fligner_killeen(spark.createDataFrame(rows, "t string, g int, v double"), ["t"], "g", "v").collect()}
     assert got["wide"]["reject"] and not got["same"]["reject"] and got["wide"]["df"] == 1
 
 
