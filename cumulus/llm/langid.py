@@ -183,7 +183,7 @@ def identify(docs: DataFrame, parser: Parser, key: str = "doc_id", text: str = "
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, rate double")
 
 
-def keep_identified(docs: DataFrame, parser: Parser, text: str = "text", rejected: str = "__lang") -> DataFrame:
+def keep_identified(docs: DataFrame, parser: Parser, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language, with all their columns; the others are rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(parser)
     place = docs.columns.index(text)
