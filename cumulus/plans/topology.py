@@ -14,6 +14,7 @@ from cumulus.functions import columns as C
 from cumulus.functions import vectors as V
 from cumulus.operators.agreement import mutual_information
 from cumulus.operators.reshape import union_modes
+from cumulus.operators.summary import medians
 from cumulus.session import materialise, spread
 from cumulus.plans.clouds import DIM, MAHA, PAIRS, PLANE, PTS, _seeded, diag_sql, points, trades
 from cumulus.plans.registry import query, table
@@ -266,7 +267,8 @@ def _choose_sql(flat: str) -> str:
 
 
 def _score_rows(spark, sf):
-    return runs(spark, sf).filter("score is not null").groupBy(F.col("dataset").alias("run_id"), F.col("cells").alias("level")).agg(F.median("score").alias("score"))
+    rows = runs(spark, sf).filter("score is not null").select(F.col("dataset").alias("run_id"), F.col("cells").alias("level"), "score")
+    return medians(rows, ["run_id", "level"], ["score"], suffix="")
 
 
 @query(_choose_sql("CASE WHEN level = min(level) OVER (PARTITION BY run_id) OR level = max(level) OVER (PARTITION BY run_id) THEN max(score) OVER (PARTITION BY run_id) ELSE score END"))
