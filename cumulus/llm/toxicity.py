@@ -39,9 +39,9 @@ LETTERS = 0.75
 WIDTH = 24
 #: Words whose kernel with every landmark stays below this say nothing.
 FLOOR = 0.2
-ROWS = 8_000
+ROWS = 4_000
 #: Words that a worker remembers between batches.
-KEPT = 600_000
+KEPT = 300_000
 
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
 _SPELT = re.compile(r"(?<!\w)(?:\w[ \t._*\-]){3,}\w(?!\w)")
