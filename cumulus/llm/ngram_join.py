@@ -239,7 +239,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str =
     chunks = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
     members = groups.join(chunks, "group").select("rep", "group", "n", F.pmod(F.xxhash64("rep"), "n").cast("int").alias("chunk"))
     members = materialise(members.join(reps.select("rep", "copies"), "rep"), "members")
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("__text")).join(members, "rep").select("__text", "rep", "copies", "group", "n", "chunk")
+    # merged at every size: members grow with the rows, so broadcasting them would only suit small tables
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("__text")).join(members.hint("merge"), "rep").select("__text", "rep", "copies", "group", "n", "chunk")
     whole = materialise(texts.mapInArrow(_whole(words), "rep long, copies long, group long, n int, chunk int, tokens binary"), "whole")
     release(spark)
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, "chunk").alias("one"), F.greatest(i, "chunk").alias("two")))
