@@ -38,7 +38,7 @@ from cumulus.session import materialise
 
 ORDER = 5
 #: Bytes of text in a block and in a step of work; most shards of the model.
-BLOCK, STEP, MAX_SHARDS = 24 << 20, 2 << 20, 4_096
+BLOCK, STEP, MAX_SHARDS = 16 << 20, 1 << 20, 4_096
 #: Documents in a step, so that an event and a document's place fit 64 bits.
 STEP_DOCS = 1 << 16
 #: Counts are merged when so many are waiting.
