@@ -164,8 +164,10 @@ def telling(landmarks: Landmarks, tokens) -> dict[str, np.ndarray]:
     for token in tokens:
         word = _plain(token)
         if len(word) >= ORDER:
-            for part in _windows(f"^{word}$"):
-                by.setdefault(part, []).append(token)
+            bare = word if word.isalnum() else "".join(filter(str.isalnum, word))  # without signs put between letters
+            for form in {word, bare}:
+                for part in _windows(f"^{form}$"):
+                    by.setdefault(part, []).append(token)
     parts = list(by)
     out: dict[str, np.ndarray] = {}
     for at in range(0, len(parts), 65_536):
