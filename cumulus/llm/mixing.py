@@ -5,28 +5,49 @@ the slots) is released at floor((j - 1) / w) and due at ceil(j / w); among the r
 the slot (earliest deadline first). On one sequence this meets every deadline, so after any number t of slots a source
 has had more than w t - 1 and fewer than w t + 1 blocks.
 
-Weights are whole numbers that sum to the period Q, so the plan repeats every Q slots: one period is planned from the
-weights alone, and rows find their slots by arithmetic and one join with the plan, a row for each source. Every row is
-placed once. When a source has run out its slots stay empty, and the others go on in their proportions.
+Weights are taken as exact fractions and never rounded, so the bound holds against the targets over the whole run. The
+driver plans the blocks that exist, one at a time from the sources' counts, and writes the plan in slices; rows find
+their slot by one join on source and block. Every row is placed once. When a source has run out its slots stay empty,
+and the others go on in their proportions.
+
+With a ``period`` weights are first rounded to whole slots of it, and the plan of one period is repeated: the bound
+then holds against the rounded weights only.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumulus.llm.common import ordinals, query, table
+from cumulus.session import materialise
 
 BLOCK = 64
-#: The plan has a row for each source and a number for each slot of the period; more sources are refused.
-MAX_SOURCES, PERIOD = 4_096, 1_000
+#: Slots of a period of ``op3_mixing``, as its SQL has it; blocks of the plan that the driver holds at a time.
+PERIOD, SLICE = 1_000, 1 << 18
 #: Without given weights a source's weight is its number of rows to this power.
 SMOOTHING = 0.7
 
 Source = str | None
+#: source, number from 0 of a block, release, deadline, slot
+Placed = tuple[Source, int, int, int, int]
+
+
+def exact_weights(weights: dict[Source, float]) -> dict[Source, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    if not all(0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights are finite and above zero")
+    shares = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*[w.denominator for w in shares.values()])
+    return {s: int(w * scale) for s, w in shares.items()}
 
 
 def whole_weights(weights: dict[Source, float], period: int = PERIOD) -> dict[Source, int]:
@@ -57,14 +78,50 @@ def plan(slots: dict[Source, int]) -> dict[Source, list[int]]:
     return out
 
 
+def schedule(weights: dict[Source, int], blocks: dict[Source, int]) -> Iterator[Placed]:
+    """The blocks of all sources by slot; ties go to the source first by name, null before all."""
+    total, names = sum(weights.values()), sorted(blocks, key=lambda s: (s is not None, s or ""))
+    done, own, ends = [0] * len(names), [weights[s] for s in names], [blocks[s] for s in names]
+    waiting, ready, t = [(0, i) for i, n in enumerate(ends) if n], [], 0
+    while waiting or ready:
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[i] + 1) * total // own[i]), i))
+        deadline, i = heapq.heappop(ready)
+        yield names[i], done[i], done[i] * total // own[i], deadline, t
+        done[i] += 1
+        if done[i] < ends[i]:
+            heapq.heappush(waiting, (done[i] * total // own[i], i))
+        t += 1
+
+
+def repeated(slots: dict[Source, int], blocks: dict[Source, int]) -> Iterator[Placed]:
+    """The blocks of all sources in a plan of one period that is repeated."""
+    period, plans = sum(slots.values()), plan(slots)
+    for s, n in blocks.items():
+        own = windows(slots[s], period)
+        for at in range(n):
+            begin, j = at // slots[s] * period, at % slots[s]
+            yield s, at, begin + own[j][0], begin + own[j][1], begin + plans[s][j]
+
+
+def plan_table(spark: SparkSession, placed: Iterable[Placed]) -> DataFrame:
+    """(__source, __at, __release, __deadline, __slot) as a written table; the driver holds one slice at a time."""
+    kinds = pa.schema([("__source", pa.string()), *[(c, pa.int64()) for c in ("__at", "__release", "__deadline", "__slot")]])
+    rows, parts = iter(placed), []
+    while (some := list(islice(rows, SLICE))) or not parts:
+        columns = list(zip(*some)) or [[]] * len(kinds)
+        parts.append(materialise(spark.createDataFrame(pa.table([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds)), "plan"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def source_sizes(docs: DataFrame, source: str = "source") -> dict[Source, int]:
-    counts = docs.groupBy(F.col(source).cast("string").alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return {r["s"]: r["count"] for r in counts}
+    return {r["s"]: r["n"] for r in docs.groupBy(F.col(source).cast("string").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def mix(docs: DataFrame, weights: dict[Source, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[Source, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with (__block, __release, __deadline, __slot, __place).
 
     The mixed order is that of (__slot, __place), the place in the block. Inside a source rows keep the order of their
@@ -76,24 +133,17 @@ def mix(docs: DataFrame, weights: dict[Source, float] | None = None, source: str
         weights = {s: n**SMOOTHING for s, n in sizes.items()}
     if missing := sizes.keys() - weights.keys():
         raise ValueError(f"no weight for {sorted(map(str, missing))[:5]}")
-    slots = whole_weights(weights) if weights else {}
-    period, plans = sum(slots.values()), plan(slots) if slots else {}
-    spark = docs.sparkSession
-    rows = [F.struct(F.lit(s).cast("string").alias("__source"), F.split(F.lit(",".join(map(str, p))), ",").cast("array<long>").alias("__slots")) for s, p in plans.items()]
-    entries = spark.range(1).select(F.explode(F.array(*rows)).alias("e")).select("e.*") if rows else spark.range(0).select(F.lit(None).cast("string").alias("__source"), F.array().cast("array<long>").alias("__slots"))
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    placed = schedule(exact_weights(weights), blocks) if period is None else repeated(whole_weights(weights, period), blocks)
+    entries = plan_table(docs.sparkSession, placed)
     marked = docs.withColumn("__s", F.col(source).cast("string")).withColumn("__digest", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    numbered = ordinals(marked, ["__s"], "__digest", [key], "__n")
-    # bounded: a row for each source and a number for each slot of a period
-    placed = numbered.join(F.broadcast(entries), F.col("__s").eqNullSafe(F.col("__source")))
-    own, at = F.size("__slots").cast("long"), F.expr(f"__n div {int(block)}")
-    placed = placed.withColumn("__own", own).withColumn("__at", at).withColumn("__turn", F.expr("__at div __own")).withColumn("__left", F.expr("__at % __own"))
-    begin = F.col("__turn") * F.lit(period)
-    return placed.select(
+    numbered = ordinals(marked, ["__s"], "__digest", [key], "__n").withColumn("__b", F.expr(f"__n div {int(block)}"))
+    return numbered.join(entries, F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__b") == F.col("__at"))).select(
         *docs.columns,
         (F.col("__at") + 1).alias("__block"),
-        (begin + F.expr(f"(__left * {period}L) div __own")).alias("__release"),
-        (begin + F.expr(f"((__left + 1) * {period}L + __own - 1) div __own")).alias("__deadline"),
-        (begin + F.element_at("__slots", (F.col("__left") + 1).cast("int"))).alias("__slot"),
+        "__release",
+        "__deadline",
+        "__slot",
         F.expr(f"__n % {int(block)}").alias("__place"),
     )
 
@@ -127,5 +177,5 @@ def in_order(docs: DataFrame, weights: dict[Source, float] | None = None, source
 )
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots of all ``documents``, mixed by source in proportion to the sources' rows to the power 0.7."""
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"), period=PERIOD)
     return mixed.select("doc_id", "source", *[F.col(f"__{c}").alias(c) for c in ("block", "release", "deadline", "slot", "place")])

@@ -1,6 +1,7 @@
 from collections import Counter
+from fractions import Fraction
 
-from cumulus.llm.mixing import in_order, mix, plan, whole_weights, windows
+from cumulus.llm.mixing import exact_weights, in_order, mix, plan, schedule, whole_weights, windows
 
 
 def test_deviation_stays_below_one_block():
@@ -39,3 +40,26 @@ def test_layout_and_empty(corpus):
     at = [place[r["doc_id"]] for r in out.collect()]
     assert at == sorted(at)
     assert mix(docs.limit(0)).count() == 0
+
+
+def test_deviation_from_the_unrounded_targets(corpus):
+    rows = [(i, "t", "en", "b" if i % 3 == 0 else "a") for i in range(12_000)]
+    had = Counter()
+    for t, r in enumerate(sorted(mix(corpus(rows), {"a": 2, "b": 1}, block=1).collect(), key=lambda r: r["__slot"]), 1):
+        assert r["__slot"] == t - 1
+        had[r["source"]] += 1
+        assert abs(had["a"] - Fraction(2 * t, 3)) < 1 and abs(had["b"] - Fraction(t, 3)) < 1
+    weights = {"hot": 0.7, "mid": 0.2999, None: 0.0001}
+    had, total = Counter(), sum(map(Fraction, weights.values()))
+    for s, at, release, deadline, slot in schedule(exact_weights(weights), {"hot": 28_000, "mid": 11_996, None: 4}):
+        assert had[s] == at and release <= slot < deadline
+        had[s] += 1
+        assert all(abs(had[x] - Fraction(w) * (slot + 1) / total) < 1 for x, w in weights.items())
+    assert had == {"hot": 28_000, "mid": 11_996, None: 4}
+
+
+def test_any_number_of_sources(corpus):
+    docs = corpus([(i, "t", "en", f"s{i % 5_000}") for i in range(6_000)])
+    for period in (None, 1_000):
+        got = mix(docs, block=1, period=period).collect()
+        assert len({r["doc_id"] for r in got}) == len({r["__slot"] for r in got}) == len(got) == 6_000
