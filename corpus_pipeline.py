@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cumulus.llm import bpe, langid, line_dedup, mixing, ngram_join
-from cumulus.llm.common import fold, table
+from cumulus.llm.common import fold, table, written_order
 from cumulus.session import materialise, ship
 
 
@@ -37,10 +37,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their number and the digests of ids and decoded bytes."""
+    """Token ids of every document, with their number, the digests of ids and decoded bytes, and the mixed ``position``.
+
+    ``position`` counts from 0 in the order in which the stage before wrote the documents.
+    """
     ship(spark)
-    coded = bpe.encode(docs, bpe.rank_file(), decoded=True)
-    return bpe.digests(coded, "ids")
+    coded = bpe.encode(written_order(docs, "position"), bpe.rank_file(), decoded=True, keep=("position",))
+    return bpe.digests(coded, "ids", "position")
 
 
 STAGES = [

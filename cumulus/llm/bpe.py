@@ -88,14 +88,15 @@ def _lists(ids: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
-    """(key, ids array<int>[, decoded binary]) for every row; other columns are not read.
+def encode(docs: DataFrame, rank_path: str, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text", decoded: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ids array<int>[, decoded binary], ``keep``) for every row; other columns are not read.
 
     A null text counts as empty: no ids. ``decoded`` also turns the ids back into bytes in the same pass. Rows are
     handled one by one, so repeated rows and ties stay as they are, and an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
     kind = docs.schema[key].dataType
+    names = [key, "ids", *(["decoded"] if decoded else []), *keep]
 
     def run(batches):
         enc = encoding(shared.value, pattern)
@@ -105,10 +106,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str = public_tokenizers.PAT
                 columns = [batch.column(0), _lists(ids)]
                 if decoded:
                     columns.append(pa.array([enc.decode_bytes(x) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "decoded"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns + batch.columns[2:], names=names)
 
     schema = f"`{key}` {kind.simpleString()}, ids array<int>" + (", decoded binary" if decoded else "")
-    return docs.select(key, text).mapInArrow(run, schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(key, text, *keep).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, rank_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -60,6 +60,22 @@ def ordinals(df: DataFrame, groups: list[str], digest: str, ties: list[str], out
     return numbered.select(*df.columns, (F.col("__start") + F.col("__inside")).cast("long").alias(out))
 
 
+def written_order(docs: DataFrame, out: str) -> DataFrame:
+    """``docs``, a written table as it was read, with the gapless number from 0 of each row in the order it was written.
+
+    Spark numbers a table's part files in the order of the partitions and reads them in any order.
+    """
+    file = F.col("_metadata.file_name")
+    part = F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
+    counts = docs.groupBy(file.alias("__file")).agg(F.count(F.lit(1)).alias("__n"), F.first(part).alias("__part"))
+    before = W.orderBy("__part", "__file").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rows = docs.select("*", file.alias("__name"), F.col("_metadata.row_index").alias("__row"))
+    # bounded: a row for each file
+    placed = rows.join(F.broadcast(starts), F.col("__name") == F.col("__file"))
+    return placed.select(*docs.columns, (F.col("__start") + F.col("__row")).alias(out))
+
+
 def batches_of(batch, rows: int) -> Iterable:
     """Slices of an Arrow batch with at most ``rows`` rows each."""
     for at in range(0, batch.num_rows, rows):

@@ -8,6 +8,7 @@ import __spark_entry__ as entry_points
 import corpus_pipeline
 from check import TABLES, canonical
 from cumulus.llm import bpe
+from cumulus.llm.mixing import mix
 from cumulus.session import materialise
 from tests.llm.test_line_dedup import brute as lines_brute
 from tests.llm.test_ngram_join import brute as join_brute
@@ -48,3 +49,14 @@ def test_stages(spark):
         assert r["ids"] == enc.encode_ordinary(rows[4][k]["text"]) and r["n_tokens"] == len(r["ids"])
         assert r["decoded_sha256"] == hashlib.sha256(rows[4][k]["text"].encode()).hexdigest()
     assert corpus_pipeline.run(spark, SF).count() == len(rows[5])
+
+
+def test_mixed_order_outlives_the_files(spark):
+    """The result carries the mixed order after the stage's table is written, read and written again."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = materialise(corpus_pipeline.mix_sources(spark, docs, SF), "mix_sources")
+    assert len(mixed.inputFiles()) > 1
+    out = materialise(corpus_pipeline.encode_texts(spark, mixed, SF).repartition(5), "encode").collect()
+    want = [r["doc_id"] for r in sorted(mix(docs).collect(), key=lambda r: (r["__slot"], r["__place"]))]
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["position"])] == want
+    assert sorted(r["position"] for r in out) == list(range(len(want)))
