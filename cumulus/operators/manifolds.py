@@ -133,36 +133,43 @@ def sample_size(heuristic: int, factor: float, clusters: int, dim: int, rows: in
 def manifold_clusters(
     points: DataFrame, max_dim: int, clusters: int = 10, best_bound: float = 1.0, min_size: int = 20, heuristic: int = 3,
     factor: float = 0.01, candidates: int = 64, bins: int = 100, seed: int = 0, align: bool = True, bounded: bool = False,
-    accept=None, depth: int = 8,
+    accept=None,
 ) -> ManifoldClustering:
-    """Peel clusters off until fewer than ``min_size`` rows are left or ``clusters`` were found.
+    """Peel clusters off until fewer than ``min_size`` rows are left or nothing separates.
 
-    ``candidates`` bounds the manifolds tried per scan, a parameter of the stochastic search. ``accept`` may
-    reject a fitted manifold given its models (see ``description_accepts``); its rows then count as noise.
+    ``clusters`` is the expected number and only sets the sample size. ``candidates`` bounds the manifolds tried per
+    scan; a larger sample takes more scans. ``accept`` may reject a fitted manifold given its models (see
+    ``description_accepts``); its rows then count as noise.
     """
     out = ManifoldClustering()
     base = spread(points.select("id", "x"))
     d = base.select(F.size("x")).first()[0]
     max_dim = min(max_dim, d - 1)
     attempt = 0
-    while len(out.manifolds) < clusters:
+    while True:
         conds: list[Manifold] = []
         chosen = None
         size = _count(base, out, conds)
         if size < min_size:
             break
-        for _ in range(depth):
-            attempt += 1
-            per_dim = max(1, min(candidates // (max_dim + 1), sample_size(heuristic, factor, clusters, max_dim + 1, size)))
-            rows = _sample(base, out, conds, per_dim * (max_dim + 1), seed + attempt)
-            tries = [_span(rows[i * (max_dim + 1) : i * (max_dim + 1) + m + 1]) for i in range(len(rows) // (max_dim + 1)) for m in range(max_dim + 1)]
-            if not tries:
-                break
-            best, good = _best_split(base, out, conds, tries, bins)
-            if good < best_bound:
+        while True:
+            left = sample_size(heuristic, factor, clusters, max_dim + 1, size)
+            best, good = None, -math.inf
+            while left:
+                attempt += 1
+                per_dim = min(left, max(1, candidates // (max_dim + 1)))
+                left -= per_dim
+                rows = _sample(base, out, conds, per_dim * (max_dim + 1), seed + attempt)
+                tries = [_span(rows[i * (max_dim + 1) : i * (max_dim + 1) + m + 1]) for i in range(len(rows) // (max_dim + 1)) for m in range(max_dim + 1)]
+                if not tries:
+                    break
+                one, score = _best_split(base, out, conds, tries, bins)
+                if best is None or (score, -one.dim) > (good, -best.dim):
+                    best, good = one, score
+            if best is None or good < best_bound:
                 break
             inside = _count(base, out, conds + [best])
-            if inside < min_size:
+            if not min_size <= inside < size:
                 break
             chosen, size = best, inside
             conds = conds + [best]

@@ -34,6 +34,35 @@ def test_manifold_clusters_find_the_lines(cloud, two_lines):
     assert len(again.manifolds) == len(found.manifolds)
 
 
+def test_more_manifolds_than_expected(cloud):
+    rng = np.random.default_rng(1)
+    t, y = rng.uniform(-3, 3, 600), np.repeat([1, 2, 3, 4], 150)
+    X = rng.normal(0, 0.02, (600, 3))
+    X[np.arange(600), (y - 1) % 2] += t
+    X[:, 2] += 8 * y
+    pts = cloud(X, y)
+    found = L.manifold_clusters(pts, 1, clusters=2, best_bound=1.0, min_size=20, candidates=40, seed=2)
+    rows = found.assign(pts).collect()
+    assert len(found.manifolds) >= 4 and sum(r["cluster"] == 0 for r in rows) < 20
+    tops = []
+    for line in (1, 2, 3, 4):
+        names = [r["cluster"] for r in rows if r["label"] == line and r["cluster"]]
+        tops.append(max(set(names), key=names.count))
+    assert len(set(tops)) == 4
+
+
+def test_whole_sample_is_tried_in_slices(cloud, two_lines, monkeypatch):
+    tried, plain = [], L._best_split
+
+    def counted(base, found, conds, tries, bins):
+        tried.append(len(tries))
+        return plain(base, found, conds, tries, bins)
+
+    monkeypatch.setattr(L, "_best_split", counted)
+    L.manifold_clusters(cloud(*two_lines), 1, best_bound=1e9, heuristic=2, factor=0.1, candidates=40)
+    assert tried == [40, 20]
+
+
 def test_separation_threshold_lies_in_the_gap():
     counts = np.zeros(50)
     counts[2:8], counts[30:40] = 20, 15
