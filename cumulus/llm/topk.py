@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from cumulus.llm.common import query, table
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1_024, 8_192
-#: Quantised components are held within this size, so that sums over 64 dimensions fit a long.
-LIMIT = 1 << 28
+#: The largest long, which no exact component takes: in its place a component outside a long is seen and refused.
+LIMIT = (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component, within +-LIMIT; null for a null vector or one with a component that is null or not finite."""
+    """floor(scale * x) of each component, exact; +-LIMIT where it is outside a long, which ``top_k`` refuses; null for a null vector or one with a component that is null or not finite."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     cell = lambda x: F.least(F.greatest(F.floor(F.lit(scale) * x.cast("double")), F.lit(-LIMIT)), F.lit(LIMIT))
     return F.when(F.coalesce(finite, F.lit(False)), F.transform(vector, cell))
@@ -43,16 +43,23 @@ def block_best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
     rows = rows.sort_values("vec_id", kind="stable")
     ids = rows["vec_id"].to_numpy(dtype=np.int64)
     at, dims, weights = _sparse(rows["w"])
+    q_at, q_dims, q_weights = _sparse(queries["w"])
+    high = [max(int(w.max()), -int(w.min())) if len(w) else 0 for w in (weights, q_weights)]
+    if max(high) >= LIMIT:
+        raise ValueError("a component is outside a long")
+    # sums that could leave a long are taken in whole numbers of any size
+    wide = high[0] * high[1] * max(1, *rows["w"].map(len)) > LIMIT if len(rows) else False
+    if wide:
+        weights, q_weights = weights.astype(object), q_weights.astype(object)
     order = np.argsort(dims, kind="stable")
     at, dims, weights = at[order], dims[order], weights[order]
     width = int(dims.max()) + 1 if len(dims) else 0
     ends = np.searchsorted(dims, np.arange(width + 1))
     # a list that names every row needs no scatter by index
     lists = [(slice(None) if ends[d + 1] - ends[d] == len(ids) else at[ends[d] : ends[d + 1]], weights[ends[d] : ends[d + 1]]) for d in range(width)]
-    q_at, q_dims, q_weights = _sparse(queries["w"])
     q_ends = np.searchsorted(q_at, np.arange(len(queries) + 1))
     out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    scores = np.empty(len(ids), np.int64)
+    scores = np.empty(len(ids), object if wide else np.int64)
     for i, (key, own) in enumerate(zip(queries["query_key"], queries["query_id"], strict=True)):
         scores[:] = 0
         for j in range(q_ends[i], q_ends[i + 1]):
@@ -66,7 +73,9 @@ def block_best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
             over = np.flatnonzero(mine > least)
             pick = np.concatenate([over, np.flatnonzero(mine == least)[: k - len(over)]])
             others, mine = others[pick], mine[pick]
-        out.append((key, own, ids[others], mine))
+        if wide and any(abs(x) > LIMIT for x in mine):
+            raise ValueError("a score is outside a long")
+        out.append((key, own, ids[others], mine.astype(np.int64)))
     sizes = [len(x[2]) for x in out]
     return pd.DataFrame(
         {
@@ -83,7 +92,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     ``w`` is array<long>; null vectors and null ids take no part; vectors of unequal length are as if padded with
     zeros. Equal rows count once; different vectors under one id are rows of their own, and a query never meets its
-    own id. Ties go to the smaller vec_id. Fewer than k rows give all; an empty table gives an empty result.
+    own id. A component or a best score of a block outside a long is an error. Ties go to the smaller vec_id. Fewer than k rows give all; an empty table gives an empty result.
     """
     whole = [x.select("vec_id", "w").filter("vec_id is not null and w is not null").dropDuplicates() for x in (rows, queries)]
     sizes = [max(1, -(-x.count() // n)) for x, n in zip(whole, (CANDIDATE_BLOCK, QUERY_BLOCK), strict=True)]

@@ -41,3 +41,24 @@ def test_quantised(spark):
     table = spark.createDataFrame(rows, "v array<float>")
     got = [r[0] for r in table.select(topk.quantised(F.col("v"), 1024)).collect()]
     assert got == [[512, math.floor(-0.1024), topk.LIMIT], None, None, None, None, []]
+
+
+def test_large_components_are_exact(spark):
+    rows = [(0, [float(1 << 21), 1.0]), (1, [float(1 << 19), 0.0]), (2, [float(1 << 20), 0.0]), (3, [-float(1 << 21), 5.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, v array<double>").select("vec_id", topk.quantised(F.col("v"), 1024).alias("w"))
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    assert sorted(map(tuple, topk.top_k(table, table.filter("vec_id = 1"), 3).collect())) == brute(whole, lambda q: q == 1, 3)
+    # sums of 64 bits and more on the way to a score that fits
+    far = [(0, [1 << 40, 1 << 40, 3]), (1, [1 << 40, -(1 << 40), 2]), (2, [1, 1, 1])]
+    table = spark.createDataFrame(far, "vec_id bigint, w array<bigint>")
+    assert sorted(map(tuple, topk.top_k(table, table.filter("vec_id < 2"), 2).collect())) == brute(far, lambda q: q < 2, 2)
+
+
+def test_outside_a_long_is_an_error(spark):
+    for v in ([1e30, 1.0], [-1e30, 1.0]):
+        table = spark.createDataFrame([(0, v), (1, [1.0, 1.0])], "vec_id bigint, v array<double>").select("vec_id", topk.quantised(F.col("v"), 1024).alias("w"))
+        with pytest.raises(Exception, match="outside a long"):
+            topk.top_k(table, table).collect()
+    table = spark.createDataFrame([(0, [1 << 40]), (1, [1 << 40])], "vec_id bigint, w array<bigint>")
+    with pytest.raises(Exception, match="outside a long"):
+        topk.top_k(table, table).collect()
