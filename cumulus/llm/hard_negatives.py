@@ -63,24 +63,28 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(np.array(planes, np.uint8).T.reshape(len(cells), -1), axis=1)
 
 
-def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two integer matrices; one outside a long is an error."""
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of two integer matrices, as longs or, where they may be larger, Python numbers."""
     most = [int(max(abs(int(m.max())), abs(int(m.min())))) if m.size else 0 for m in (a, b)]
     bound = most[0] * most[1] * max(1, a.shape[1])
     if bound < 1 << 53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    if bound <= LIMIT:
-        return a @ b.T
-    out = a.astype(object) @ b.T.astype(object)
-    if out.size and max(abs(out.min()), abs(out.max())) > LIMIT:
-        raise ValueError("a score is outside a long")
-    return out.astype(np.int64)
+    return a @ b.T if bound <= LIMIT >> 1 else a.astype(object) @ b.T.astype(object)
+
+
+def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two integer matrices; +-LIMIT where they are outside a long."""
+    return _clipped(_product(a, b))
+
+
+def _clipped(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -LIMIT, LIMIT).astype(np.int64) if x.dtype == object else x
 
 
 def bounds(anchors: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest inner product of each anchor with any vector inside each box."""
     plus, minus = np.maximum(anchors, 0), np.minimum(anchors, 0)
-    return dot(plus, low) + dot(minus, high), dot(plus, high) + dot(minus, low)
+    return _clipped(_product(plus, low) + _product(minus, high)), _clipped(_product(plus, high) + _product(minus, low))
 
 
 def _matrix(cells: pd.Series | list, width: int) -> np.ndarray:
@@ -200,6 +204,8 @@ def _read(asked: pd.DataFrame, blocks: pd.DataFrame, k: int, width: int) -> pd.D
                     s, v = np.concatenate([best[i][0], mine[some]]), np.concatenate([best[i][1], ids[some]])
                     order = np.lexsort((v, -s))[:k]
                     best[i] = s[order], v[order]
+                    if abs(best[i][0]).max() >= LIMIT:
+                        raise ValueError("a score is outside a long")
         sizes = [len(s) for s, _ in best]
         out.append((np.repeat(qid, sizes), np.repeat(anchor, sizes), np.concatenate([v for _, v in best]), np.concatenate([s for s, _ in best])))
     return pd.DataFrame(dict(zip(("qid", "anchor", "vec_id", "score"), map(np.concatenate, zip(*out)))))
