@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cumulus.operators.selection import join_keys, order_statistics
 from cumulus.session import materialise
 
-# Distinct values aimed at for one range, and the fewest ranges of a key.
-RANGE_ROWS, LEAST_RANGES = 1_000_000, 16
-
-
-def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` in which NULL keys match; the optimiser picks the strategy."""
-    if not keys:
-        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
-    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys])
-    return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
-
 
 def whole_key(keys: list[str]) -> Column:
     """The keys as one struct: never NULL itself, so a plain equi-join keeps the partitioning of a window on it."""
     return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
 
-def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], splits: int | None = None) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str]) -> DataFrame:
     """Adds ``run_<c>``, the inclusive running sum of each ``c`` by ``by`` within ``keys``.
 
-    ``df`` is a written table with one row per (keys, by). It is cut into value ranges per key, so a hot key is
-    ordered by many tasks: ranges are totalled first, and each adds the totals of the ranges before it.
+    Rows, one per (keys, by), are range-partitioned and written once, so a hot key is ordered by many tasks: each range
+    adds the totals of the ranges of its key before it.
     """
-    if splits is None:
-        splits = max(LEAST_RANGES, -(-df.count() // RANGE_ROWS))
-    marks = [i / splits for i in range(1, splits)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(F.col(by).cast("double"), marks, 10 * splits).alias("_bounds"))
-    value = F.col(by).cast("double")
-    tagged = join_keys(df, bounds, keys).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < value))).drop("_bounds")
-    tagged = tagged.withColumn("_k", whole_key(keys))
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], F.col(by)).withColumn("_range", F.spark_partition_id())
+    tagged = materialise(ranged, "ranges").withColumn("_k", whole_key(keys))
     before = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = tagged.groupBy("_k", "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     offsets = totals.select("_k", "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
@@ -50,44 +32,23 @@ def running_totals(df: DataFrame, keys: list[str], by: str, sums: list[str], spl
     )
 
 
-def value_counts(df: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """(keys, col, ties): distinct values with multiplicity, NULL included; written, for several passes."""
-    return materialise(df.groupBy(*keys, col).agg(F.count("*").alias("ties")), "counts")
-
-
-def _ranked(counts: DataFrame, keys: list[str], col: str) -> DataFrame:
-    ranked = running_totals(counts.filter(F.col(col).isNotNull()), keys, col, ["ties"])
-    below = F.col("run_ties") - F.col("ties")
-    return ranked.select(*keys, col, "ties", below.alias("below"), (below + (F.col("ties") + 1) / 2).alias("rank"))
-
-
 def value_ranks(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     """(keys, col, ties, below, rank): distinct non-NULL values, rows below, average rank."""
-    return _ranked(value_counts(df, keys, col), keys, col)
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("ties"))
+    below = F.col("run_ties") - F.col("ties")
+    ranked = running_totals(counts, keys, col, ["ties"])
+    return ranked.select(*keys, col, "ties", below.alias("below"), (below + (F.col("ties") + 1) / 2).alias("rank"))
 
 
 def quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float]) -> DataFrame:
     """(keys, n, q): exact, linearly interpolated quantiles of the non-NULL values, q as an array."""
-    counts = value_counts(df, keys, col)
-    sizes = counts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(col).isNotNull(), F.col("ties"))), F.lit(0)).alias("n"))
-    placed = join_keys(_ranked(counts, keys, col), sizes, keys)
-    picks = []
-    for i, p in enumerate(probs):
-        at = (F.col("n") - 1) * F.lit(p)
-        for name, rank in ((f"_lo{i}", F.floor(at)), (f"_hi{i}", F.ceil(at))):
-            here = (F.col("below") <= rank) & (rank < F.col("below") + F.col("ties"))
-            picks.append(F.max(F.when(here, F.col(col).cast("double"))).alias(name))
-        picks.append(F.max(at - F.floor(at)).alias(f"_fr{i}"))
-    found = placed.groupBy(*keys).agg(*picks)
-    q = F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}") for i in range(len(probs))])
-    # one row per key: written, because callers join it back more than once
-    return materialise(join_keys(sizes, found.select(*keys, q.alias("q")), keys, "left"), "quantiles")
+    return order_statistics(df, keys, [col], probs).select(*keys, F.col(f"n_{col}").alias("n"), F.col(f"q_{col}").alias("q"))
 
 
 def medians(df: DataFrame, keys: list[str], cols: list[str], suffix: str = "_med") -> DataFrame:
     """Exact medians; an even count gives the mean of the middle two."""
-    parts = [quantiles(df, keys, c, [0.5]).select(*keys, F.element_at("q", 1).alias(f"{c}{suffix}")) for c in cols]
-    return reduce(lambda a, b: join_keys(a, b, keys), parts)
+    out = order_statistics(df, keys, cols, [0.5])
+    return out.select(*keys, *[F.element_at(f"q_{c}", 1).alias(f"{c}{suffix}") for c in cols])
 
 
 def median_mad(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
