@@ -24,6 +24,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,29 +38,101 @@ K1, B = 1.2, 0.75
 BLOCK, SHARD = 1_024, 16_384
 #: A vocabulary's size doesn't depend on the data; a larger file is refused.
 MAX_FILE_BYTES, MAX_IDS = 64 << 20, 1 << 20
-#: Characters that a worker encodes at once; words that it remembers, up to so many characters.
-CHARS, KEPT, LONG = 4_000_000, 600_000, 64
+#: Bytes of text that a worker encodes at once; long strings that it remembers, and their lengths in all.
+CHARS, KEPT, KEPT_CHARS = 4_000_000, 700_000, 20_000_000
 #: Rows and bytes of ids of an output batch.
 ROWS, BYTES = 4_000, 16 << 20
 
-# Letters whose lower case and normal form are those of the letter alone, and ASCII.
-_PLAIN = "\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-įı-ſ"
-_SIMPLE = re.compile(f"[{_PLAIN}]*")
-_SPACE = re.compile("[\t-\r ]+")
+# Letters whose lower case and normal form are those of the letter alone, and ASCII but for four signs that Python
+# takes for white space.
+_SIMPLE = re.compile("[\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-įı-ſ]*")
+_NO_SPACE = np.array([b not in b"\t\n\x0b\x0c\r " for b in range(256)])
 _LETTER = "a-z\xdf-\xf6\xf8-ſ"
-#: The split pattern of the word vocabulary, for plain text in lower case.
+#: The split pattern of the word vocabulary, for simple text in lower case.
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\t-\r 0-9{_LETTER}]+")
+_LINE = "\n"
+_LINED = re.compile(f"{_LINE}|{_WORD.pattern}")
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 # What a vocabulary file says when text is split this way.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+class _Known(dict):
+    """Numbers of strings in the order in which they were first met, and the ids of all of them in one array.
+
+    Strings of at most eight bytes are kept as whole numbers in a sorted array (``short``, their bytes) instead.
+    """
+
+    def __init__(self, dtype: np.dtype):
+        super().__init__()
+        self.fresh: list[str | bytes] = []
+        self.flat, self.ends, self.chars = np.empty(0, dtype), np.zeros(1, np.int64), 0
+        self.short, self.short_numbers, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), 0
+
+    def __missing__(self, text) -> int:
+        number = self[text] = self.count
+        self.count += 1
+        self.fresh.append(text)
+        return number
+
+    def full(self) -> bool:
+        return len(self) > KEPT or self.count > 4 * KEPT or self.chars > KEPT_CHARS
+
+    def numbers(self, texts: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, texts), np.int64, len(texts))
+
+    def short_ones(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of short strings; new ones are ``fresh``."""
+        some, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.short, some), max(len(self.short) - 1, 0))
+        new = self.short[at] != some if len(self.short) else np.ones(len(some), bool)
+        fresh = some[new]
+        # a string of n bytes fills the n low bytes of its key, and no byte of it is 0 here
+        self.fresh += [x.rstrip(b"\0") for x in fresh.astype("<u8").view("S8").tolist()]
+        order = np.argsort(keys := np.concatenate([self.short, fresh]), kind="stable")
+        self.short = keys[order]
+        self.short_numbers = np.concatenate([self.short_numbers, self.count + np.arange(len(fresh))])[order]
+        self.count += len(fresh)
+        return self.short_numbers[np.searchsorted(self.short, some)][back]
+
+    def learn(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the fresh strings, one after another."""
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.chars += sum(map(len, self.fresh))
+        self.fresh = []
+
+    def ids(self, numbers: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings by number, one after another, and how many come from each group of ``groups`` strings."""
+        begin = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begin
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return flat, np.diff(np.concatenate([[0], ends])[np.cumsum(np.concatenate([[0], groups]))])
+
+
+def stretches(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, begin and end of every stretch between ASCII spaces, and the number of stretches of each text."""
+    plain = texts.cast(pa.large_binary())
+    ends = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1]
+    data = plain.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if ends[-1] > ends[0] else b""
+    ends = ends - ends[0]
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = _NO_SPACE[np.frombuffer(data, np.uint8)]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True  # a text's end is one of a stretch, too
+    begin = np.flatnonzero(word[1:] & (edge | ~word[:-1]))
+    end = np.flatnonzero(word[:-1] & (edge | ~word[1:]))
+    return data, begin, end, np.diff(np.searchsorted(begin, ends))
+
+
 class Encoder:
-    """Ids of texts by the ``tokenizers`` library, word by word where words can't touch each other.
+    """Ids of texts by the ``tokenizers`` library, which sees each word once where words can't touch each other.
 
-    Plain text is split here and each word is encoded once; a stretch between spaces with any other character goes to
-    the library whole. A vocabulary with other rules is used as it is, text by text. Special tokens are never added,
-    and their strings in a text are ordinary text.
+    Simple text is cut at spaces and then into words; a stretch between spaces with any other character goes to the
+    library whole. A vocabulary with other rules is used as it is, text by text. Special tokens are never added, and
+    their strings in a text are ordinary text.
     """
 
     def __init__(self, data: bytes):
@@ -79,43 +152,70 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.by_word = spec.get("normalizer") == _NORMALIZER and pre[0].get("pattern") == {"Regex": _SPLIT} and len(pre) == 2 and spec["model"].get("end_of_word_suffix") == "</w>"
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str]:
-        if _SIMPLE.fullmatch(text):
-            return _WORD.findall(text.lower())
-        parts = _SPACE.split(text)
-        return list(chain.from_iterable(_WORD.findall(x.lower()) if _SIMPLE.fullmatch(x) else (x,) for x in parts))
-
-    def _learn(self, fresh: list[str]) -> None:
-        plain = [w for w in fresh if _SIMPLE.fullmatch(w)]
-        for at in range(0, len(plain), 2_000):
-            some = plain[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+        self.words, self.stretches = _Known(self.dtype), _Known(self.dtype)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self) -> None:
+        parts, sizes = [], []
+        if self.words.fresh[:1] == [_LINE]:  # between words it has no ids
+            parts, sizes = [self.words.flat], [np.zeros(1, np.int64)]
+        for at in range(len(parts), len(self.words.fresh), 2_000):
+            some = self.words.fresh[at : at + 2_000]
+            ids = self._whole([" ".join(some)])[0] if all(map(_SIMPLE.fullmatch, some)) else self.ends[:0]
+            ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ()
             if len(ends) == len(some):  # a word's last id, and no other, is marked as an end
-                data, places = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
-                self.known.update(zip(some, (data[a:b] for a, b in zip([0, *places], places)), strict=True))
+                parts.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
             else:
-                self.known.update(zip(some, self._whole(some), strict=True))
-        odd = [w for w in fresh if w not in self.known]
-        self.known.update(zip(odd, self._whole(odd), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text as bytes of ``dtype``."""
+                each = self._whole(some)
+                parts += each
+                sizes.append(np.array([len(x) for x in each]))
+        if parts:
+            self.words.learn(np.concatenate(parts).astype(self.dtype), np.concatenate(sizes))
+
+    def _learn_stretches(self) -> None:
+        fresh = self.stretches.fresh
+        odd = {i: x.decode() for i, x in enumerate(fresh) if not x.isascii()}
+        odd = {i: x for i, x in odd.items() if not _SIMPLE.fullmatch(x)}
+        # all simple ones at once, a line each; an odd one is a word of its own
+        lines = fresh if not odd else [b"" if i in odd else x for i, x in enumerate(fresh)]
+        split = _LINED.findall(b"\n".join(lines).decode().lower())
+        lined = self.words.numbers(split)
+        at = np.flatnonzero(lined == self.words[_LINE])
+        groups = np.diff(np.concatenate([[-1], at, [len(lined)]])) - 1
+        numbers = np.delete(lined, at)
+        if odd:
+            before = (np.cumsum(groups) - groups)[list(odd)]
+            numbers = np.insert(numbers, before, self.words.numbers(list(odd.values())))
+            groups[list(odd)] = 1
+        self._learn_words()
+        self.stretches.learn(*self.words.ids(numbers, groups))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text; there is no null among them."""
         if not self.by_word:
-            return self._whole(texts)
-        if len(self.known) > KEPT:
-            self.known = {}
-        split = [self.words(x) for x in texts]
-        self._learn([w for w in set(chain.from_iterable(split)) if w not in self.known])
-        out = [b"".join(map(self.known.__getitem__, x)) for x in split]
-        for w in {w for x in split for w in x if len(w) > LONG} if any(len(x) > LONG for x in texts) else ():
-            self.known.pop(w, None)
-        return out
+            return self._whole(texts.to_pylist())
+        if self.words.full():
+            self.words = _Known(self.dtype)
+        self.words[_LINE]  # the first of the words
+        if self.stretches.full():
+            self.stretches = _Known(self.dtype)
+        data, begin, end, groups = stretches(texts)
+        size = end - begin
+        numbers = np.empty(len(begin), np.int64)
+        eights = np.ndarray(len(data), "<u8", data + bytes(8), strides=(1,)) if data else np.empty(0, "<u8")
+        keys = eights[begin] & _LOW_BYTES[np.minimum(size, 8)]
+        # a byte 0 inside a short stretch would be lost
+        short = (size <= 8) & ((data.find(b"\0") < 0) | (keys != 0) & np.logical_and.reduce([(size <= i) | ((keys >> np.uint64(8 * i)) & np.uint64(255) != 0) for i in range(8)]))
+        numbers[short] = self.stretches.short_ones(keys[short])
+        long = np.flatnonzero(~short)
+        numbers[long] = self.stretches.numbers([data[a:b] for a, b in zip(begin[long].tolist(), end[long].tolist())])
+        if self.stretches.fresh:
+            self._learn_stretches()
+        flat, sizes = self.stretches.ids(numbers, groups)
+        return np.split(flat, np.cumsum(sizes)[:-1])
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -150,23 +250,20 @@ def pieces(docs: DataFrame, vocabulary: bytes, window: int = WINDOW, end: int =
 
     def run(batches):
         enc = encoder(shared.value)
-        orders, width = _orders(enc.size), enc.dtype.itemsize
-        last = np.array([end], enc.dtype).tobytes()
+        orders = _orders(enc.size)
         task, count = TaskContext.get().partitionId() << 40, 0
 
-        def cut(keys: list[pa.Scalar], texts: list[str], kind: pa.DataType):
+        def cut(keys: list, texts: pa.Array, kind: pa.DataType):
             nonlocal count
             rows: list[tuple] = []
             size = 0
             for key, coded in zip(keys, enc.encode(texts), strict=True):
-                coded += last
-                total = len(coded) // width
-                for start in range(0, total, window):
-                    part = coded[start * width : (start + window) * width]
-                    ids = np.frombuffer(part, enc.dtype)
-                    rows.append((key, start, total, part, *(int(o[ids].min()) for o in orders), task + count))
+                coded = np.append(coded, enc.dtype.type(end))
+                for start in range(0, len(coded), window):
+                    ids = coded[start : start + window]
+                    rows.append((key, start, len(coded), ids.tobytes(), *(int(o[ids].min()) for o in orders), task + count))
                     count += 1
-                    size += len(part)
+                    size += ids.nbytes
                     if len(rows) >= ROWS or size >= BYTES:
                         yield batch_of(rows, kind)
                         rows, size = [], 0
@@ -179,16 +276,13 @@ def pieces(docs: DataFrame, vocabulary: bytes, window: int = WINDOW, end: int =
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            keys, texts, size = [], [], 0
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                keys.append(key.as_py())
-                texts.append(text.as_py() or "")
-                size += len(texts[-1])
-                if size >= CHARS:
-                    yield from cut(keys, texts, batch.column(0).type)
-                    keys, texts, size = [], [], 0
-            if keys:
-                yield from cut(keys, texts, batch.column(0).type)
+            texts = batch.column(1).cast(pa.large_string())
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHARS)))
+                yield from cut(batch.column(0)[at:to].to_pylist(), texts[at:to], batch.column(0).type)
+                at = to
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, doc_tokens long, ids binary, near int, nearer int, place long")
