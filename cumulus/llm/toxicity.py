@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ ROWS = 4_000
 KEPT = 300_000
 
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
+_STOP = re.compile("[.!?]+")
 _SPELT = re.compile(r"(?<!\w)(?:\w[ \t._*\-]){3,}\w(?!\w)")
 _EDGES = ".,;:!?\"'()[]{}<>*$%&#@~_-+=/\\|`^"
 
@@ -158,29 +160,28 @@ def _windows(word: str) -> list[str]:
     return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
 
 
-def telling(landmarks: Landmarks, tokens) -> dict[str, np.ndarray]:
-    """Landmark kernels of the tokens that come near some landmark."""
+def telling(landmarks: Landmarks, words) -> dict[str, np.ndarray]:
+    """Landmark kernels of the words, without signs around them, that come near some landmark."""
     by: dict[str, list[str]] = {}
-    for token in tokens:
-        word = _plain(token)
+    for word in words:
         if len(word) >= ORDER:
             bare = word if word.isalnum() else "".join(filter(str.isalnum, word))  # without signs put between letters
             for form in {word, bare}:
                 for part in _windows(f"^{form}$"):
-                    by.setdefault(part, []).append(token)
+                    by.setdefault(part, []).append(word)
     parts = list(by)
     out: dict[str, np.ndarray] = {}
     for at in range(0, len(parts), 65_536):
         some = parts[at : at + 65_536]
         values = landmarks.kernel(some)
         for i in np.flatnonzero(values.max(axis=1) >= FLOOR):
-            for token in by[some[i]]:
-                out[token] = np.maximum(out[token], values[i]) if token in out else values[i]
+            for word in by[some[i]]:
+                out[word] = np.maximum(out[word], values[i]) if word in out else values[i]
     return out
 
 
 def _sentences(text: str) -> list[list[str]]:
-    return [s.split() for s in _SENTENCE.split(text) if s]
+    return [[_plain(w) for w in s.split()] for s in _SENTENCE.split(text) if s]
 
 
 def _strongest(text: str, known: dict[str, np.ndarray], width: int) -> np.ndarray:
@@ -192,25 +193,43 @@ def _strongest(text: str, known: dict[str, np.ndarray], width: int) -> np.ndarra
 class Model:
     def __init__(self, landmarks: Landmarks | None, white=None, weights=None, bias: float = 0.0, slope: float = 1.0, shift: float = 0.0, share: float = 0.0):
         self.landmarks, self.white, self.weights, self.bias, self.slope, self.shift, self.share = landmarks, white, weights, bias, slope, shift, share
-        self.known: dict[str, np.ndarray] = {}
-        self.quiet: set[str] = set()
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory: kernels of telling words, a row each; each word's row (-1: none); each telling token's row, its own and with its parts."""
+        self.kernels = np.empty((0, len(self.landmarks.words) if self.landmarks else 0), np.float32)
+        self.by_word: dict[str, int] = {}
+        self.row: dict[str, int] = {}
+        self.rows: dict[str, tuple[int, ...]] = {}
+
+    def learn(self, tokens: set[str]) -> None:
+        # a sign that ends a sentence cuts a token, too: such parts are tokens of their own
+        parts = {t: [p for p in _STOP.split(t) if p] if _STOP.search(t) else () for t in tokens}
+        words = {p: _plain(p) for p in tokens.union(*parts.values())}
+        fresh = set(words.values()) - self.by_word.keys()
+        found = telling(self.landmarks, fresh)
+        self.by_word.update(dict.fromkeys(fresh, -1))
+        self.by_word.update((w, len(self.kernels) + i) for i, w in enumerate(found))
+        self.kernels = np.concatenate([self.kernels, *([v[None] for v in found.values()])])
+        self.row.update((p, r) for p, w in words.items() if (r := self.by_word[w]) >= 0)
+        self.rows.update((t, tuple({self.row[p] for p in (t, *own) if p in self.row})) for t, own in parts.items())
 
     def margins(self, texts: list[str]) -> np.ndarray:
         texts = [spelt(x.lower()) for x in texts]
         own = [set(x.split()) for x in texts]
-        # a dot inside a token ends a sentence: such parts are tokens too
-        own = [x | {p for w in x if "." in w or "!" in w or "?" in w for p in re.split(r"[.!?]+", w) if p} for x in own]
-        if len(self.quiet) + len(self.known) > KEPT:
-            self.quiet, self.known = set(), {}
-        fresh = set().union(*own) - self.quiet - self.known.keys()
-        known = self.known = self.known | telling(self.landmarks, fresh)
-        self.quiet |= fresh - known.keys()
+        if len(self.rows) > KEPT:
+            self.forget()
+        self.learn(set().union(*own) - self.rows.keys())
+        speech = self.white @ self.weights
         out = np.full(len(texts), self.bias)
         for i, text in enumerate(texts):
-            if not own[i].isdisjoint(known.keys()):
-                whole = np.array([known[w] for w in own[i] if w in known], np.float32)  # tokens that a sentence end cuts
-                rows = np.concatenate([_strongest(text, known, whole.shape[1]), whole])
-                out[i] = max(self.bias, float((rows @ self.white @ self.weights).max()) + self.bias)
+            single = set(chain.from_iterable(map(self.rows.__getitem__, own[i])))
+            if single:
+                sentences = [found for s in _SENTENCE.split(text) if (found := [r for w in s.split() if (r := self.row.get(w)) is not None])]
+                flat = [*chain.from_iterable(sentences), *single]
+                starts = np.cumsum([0, *map(len, sentences), *[1] * (len(single) - 1)])
+                strongest = np.maximum.reduceat(self.kernels[flat], starts, axis=0)
+                out[i] = max(self.bias, float((strongest @ speech).max()) + self.bias)
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -279,7 +298,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             found = found[[int(found[:, : len(chosen)].max(axis=1).argmax())]]
             # the same insult with a letter inserted, at every second place
             words = [w for t in _sentences(text) for w in t if w in known and known[w][: len(chosen)].max() == found[0, : len(chosen)].max()][:1]
-            bent = [f"^{w[:i]}x{w[i:]}$" for w in map(_plain, words) for i in range(1, len(w), 2)]
+            bent = [f"^{w[:i]}x{w[i:]}$" for w in words for i in range(1, len(w), 2)]
             if bent:
                 found = np.concatenate([found, landmarks.kernel([b[:WIDTH] for b in bent])])
         rows.append(found)
@@ -290,6 +309,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     weights, bias = _machine(np.concatenate(rows) @ white, signed)
     model = Model(landmarks, white, weights, bias, share=share)
     model.slope, model.shift = _logistic(model.margins(texts), y)
+    model.forget()  # the model travels without the training words
     return model
 
 

@@ -69,3 +69,19 @@ def test_odd_rows(spark, corpus):
     assert {r["score"] for r in score(docs, fit([], [])).collect()} == {0.0}
     assert {r["score"] for r in score(docs, fit(["x"], [1])).collect()} == {1.0}
     assert score(docs.limit(0), model).count() == 0
+
+
+def test_margins_are_those_of_the_worst_sentence(model):
+    """Against each sentence, and each token alone, by its words one by one."""
+    texts = ["You are an IDIOT, really. fine!", "a.b.idiot.c ??? lo5ser", "i-d-i-o-t", "plain words\nand more", "", "x" * 300 + " moron!!"]
+    edges = toxicity._EDGES
+    for text, got in zip(texts, model.margins(texts)):
+        low = toxicity.spelt(text.lower())
+        units = [s.split() for s in toxicity._SENTENCE.split(low)] + [[w] for w in low.split()] + [[p] for w in low.split() for p in toxicity._STOP.split(w)]
+        best = model.bias
+        for unit in units:
+            words = {w.strip(edges) for w in unit} - {""}
+            known = toxicity.telling(model.landmarks, words)
+            if known:
+                best = max(best, float(np.max(list(known.values()), axis=0) @ model.white @ model.weights) + model.bias)
+        assert abs(best - got) < 1e-4, text
