@@ -1,9 +1,10 @@
 """Nearest-neighbour and radius joins, exact, without all-pairs shuffles.
 
-Points fall into cells (around pivots, or of a grid when the dimension is low); the triangle inequality
-says which other cells a point can matter to. Cells larger than a block are cut into chunks and every pair
-of chunks is one task, so a hot cell is spread out and no task holds more than two blocks. Copies of one
-vector are searched once, and a search keeps at most k + 1 of them as candidates: more can never be needed.
+Nearest neighbours go through a tree of pivots (``pivot_tree``). For radius joins points fall into cells (around
+pivots, or of a grid when the dimension is low); the triangle inequality says which other cells a point can matter to.
+Cells larger than a block are cut into chunks and every pair of chunks is one task, so a hot cell is spread out and no
+task holds more than two blocks. Copies of one vector are searched once, and a search keeps at most k + 1 of them as
+candidates: more can never be needed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from cumulus.functions.vectors import matrix, square_distances
 from cumulus.operators.folds import map_blocks
 from cumulus.operators.ordering import seeded_pick
+from cumulus.operators.pivot_tree import nearest_rows, slack
 from cumulus.session import check_state, materialise
 
 BLOCK = 2048
@@ -43,10 +45,6 @@ def pick_pivots(points: DataFrame, rows: int, seed: int = 11) -> np.ndarray:
     return np.array([r["x"] for r in seeded_pick(points.select("id", "x"), count, seed).collect()], float)
 
 
-def _slack(v):
-    return v + 1e-7 * (1.0 + np.abs(v))
-
-
 def knn_join(queries: DataFrame, data: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(id, neighbor, dist, rank): the k nearest rows of ``data`` to every row of ``queries``.
 
@@ -57,72 +55,9 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, exclude_self: bool = F
     kept = data.select("id", "x").withColumn("_c", F.row_number().over(copies)).filter(F.col("_c") <= want).drop("_c")
     kept = materialise(kept, "knn-data")
     asked = materialise(queries.groupBy("x").agg(F.min("id").alias("qid")), "knn-queries")
-    n_data = kept.count()
-    if exclude_self and n_data <= k and data.count() <= k:
+    if exclude_self and kept.count() <= k and data.count() <= k:
         raise ValueError(f"{k} neighbours need more than {k} rows")
-    pivots = pick_pivots(kept, n_data)
-    p = len(pivots)
-
-    def home(batch):
-        D = square_distances(matrix(batch.column("x")), pivots)
-        at = D.argmin(1)
-        return {"cell": pa.array(at.astype(np.int32)), "r": pa.array(np.sqrt(D[np.arange(len(at)), at]))}
-
-    asked_cells = map_blocks(asked, home, "cell int, r double", ["x", "qid"])
-    reach = np.full(p, -np.inf)
-    query_rows = np.zeros(p, np.int64)
-    for row in asked_cells.groupBy("cell").agg(F.max("r").alias("u"), F.count("*").alias("n")).collect():
-        reach[row["cell"]], query_rows[row["cell"]] = row["u"], row["n"]
-    bound = _search_bounds(kept, home, pivots, reach, want, n_data)
-
-    def targets(batch):
-        D = np.sqrt(square_distances(matrix(batch.column("x")), pivots))
-        hit = (D <= _slack(reach + bound)[None, :]) & (query_rows > 0)[None, :]
-        offsets = np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32)
-        return {"_cells": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(hit)[1].astype(np.int32)))}
-
-    offered = map_blocks(kept, targets, "_cells array<int>", ["id", "x"]).select("id", "x", F.explode("_cells").alias("cell"))
-    data_rows = np.zeros(p, np.int64)
-    for row in offered.groupBy("cell").count().collect():
-        data_rows[row["cell"]] = row["count"]
-    chunks = lambda rows: np.maximum(1, -(-rows // block))
-    qm, dm = [F.element_at(F.array(*[F.lit(int(v)) for v in chunks(r)]), F.col("cell") + 1) for r in (query_rows, data_rows)]
-    spread = lambda own, other, id_: (F.pmod(F.xxhash64(id_), own).cast("int"), F.explode(F.sequence(F.lit(0), other - 1)))
-    qc, dc = spread(qm, dm, "qid")
-    left = asked_cells.select("cell", qc.alias("qc"), dc.alias("dc"), F.lit(True).alias("ask"), F.col("qid").alias("id"), "x")
-    dc2, qc2 = spread(dm, qm, "id")
-    right = offered.select("cell", dc2.alias("dc"), qc2.alias("qc"), F.lit(False).alias("ask"), "id", "x")
-
-    def search(group: pa.Table) -> pa.Table:
-        ask = group.column("ask").to_numpy().astype(bool)
-        ids, X = group.column("id").to_numpy(), matrix(group.column("x"))
-        q, s = np.flatnonzero(ask), np.flatnonzero(~ask)
-        s = s[np.argsort(ids[s], kind="stable")]
-        take = min(want, len(s))
-        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        parts = []
-        if take:
-            for lo in range(0, len(q), _TILE):
-                rows = q[lo : lo + _TILE]
-                D = square_distances(X[rows], X[s])
-                if take < len(s):  # everything up to the take-th distance, then order by (distance, id)
-                    cut = np.partition(D, take - 1, axis=1)[:, take - 1 : take]
-                    i, j = np.nonzero(D <= cut)
-                else:
-                    i, j = np.nonzero(np.ones_like(D, bool))
-                v = D[i, j]
-                order = np.lexsort((ids[s[j]], v, i))
-                i, j, v = i[order], j[order], v[order]
-                first = np.searchsorted(i, i)
-                best = np.arange(len(i)) - first < take
-                parts.append([ids[rows[i[best]]], ids[s[j[best]]], np.sqrt(v[best])])
-            if parts:
-                out = [np.concatenate(c) for c in zip(*parts)]
-        return pa.table(dict(zip(("qid", "neighbor", "dist"), map(pa.array, out))))
-
-    partial = left.unionByName(right).groupBy("cell", "qc", "dc").applyInArrow(search, "qid bigint, neighbor bigint, dist double")
-    by_query = Window.partitionBy("qid").orderBy("dist", "neighbor")
-    merged = partial.withColumn("_r", F.row_number().over(by_query)).filter(F.col("_r") <= want).drop("_r")
+    merged = nearest_rows(kept, asked, want, block)
     found = queries.select("id", "x").join(asked, "x").select("id", "qid").join(merged, "qid")
     if exclude_self:
         found = found.filter(F.col("neighbor") != F.col("id"))
@@ -130,23 +65,6 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, exclude_self: bool = F
     return ranked.filter(F.col("rank") <= k).select("id", "neighbor", "dist", "rank")
 
 
-def _search_bounds(kept, home, pivots, reach, want, n_data) -> np.ndarray:
-    """Per query cell, a distance within which every query there has ``want`` rows."""
-    near = Window.partitionBy("cell").orderBy("r")
-    closest = map_blocks(kept, home, "cell int, r double", ["id"]).withColumn("_i", F.row_number().over(near)).filter(F.col("_i") <= want)
-    check_state(len(pivots) * want, "candidate radii")
-    rows = closest.select("cell", "r").toArrow()
-    cells, radii = rows.column("cell").to_numpy(), rows.column("r").to_numpy()
-    bound = np.full(len(pivots), np.inf)
-    if n_data >= want:
-        between = np.sqrt(square_distances(pivots, pivots))
-        for i in range(len(pivots)):
-            if np.isfinite(reach[i]):
-                upper = reach[i] + between[i, cells] + radii
-                bound[i] = np.partition(upper, want - 1)[want - 1]
-    return bound
-
-
 def nearest_label(queries: DataFrame, train: DataFrame, label: str, block: int = BLOCK) -> DataFrame:
     """One-nearest-neighbour classifier: (id, pred), ties to the smaller training id."""
     near = knn_join(queries, train, 1, block=block)
@@ -188,7 +106,7 @@ def _pivot_cells(points: DataFrame, radius: float, pivots: np.ndarray) -> DataFr
     def step(batch):
         D = np.sqrt(square_distances(matrix(batch.column("x")), pivots))
         at = D.argmin(1)
-        limit = _slack(D[np.arange(len(at)), at] + 2 * radius)
+        limit = slack(D[np.arange(len(at)), at] + 2 * radius)
         hit = (D <= limit[:, None]) & (np.arange(len(pivots))[None, :] <= at[:, None])
         i, j = np.nonzero(hit)
         offsets = pa.array(np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32))

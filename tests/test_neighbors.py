@@ -3,6 +3,7 @@ import pytest
 
 from cumulus.operators import density as D
 from cumulus.operators import neighbors as N
+from cumulus.operators import pivot_tree
 from cumulus.operators.components import connected_components
 
 
@@ -20,7 +21,7 @@ def brute(X):
 
 @pytest.mark.parametrize("d,self_", [(2, True), (2, False), (12, True)])
 def test_knn_matches_brute_force(cloud, monkeypatch, d, self_):
-    monkeypatch.setattr(N, "BLOCK", 40)  # several pivots
+    monkeypatch.setattr(pivot_tree, "LEAF", 20)  # several levels
     X = clumped(d)
     D_ = brute(X)
     pts = cloud(X)
@@ -45,6 +46,26 @@ def test_pairs_match_brute_force(cloud, monkeypatch, d, radius):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_leaves_read_do_not_grow_with_the_rows(cloud, monkeypatch):
+    """Rows on a surface in 64 dimensions: a query is sent to about as many leaves at any size."""
+    monkeypatch.setattr(pivot_tree, "LEAF", 32)
+    rng = np.random.default_rng(4)
+    axes = np.linalg.qr(rng.normal(size=(64, 2)))[0]
+    asked, shuffled = [], pivot_tree.Tree.within
+    monkeypatch.setattr(pivot_tree.Tree, "within", lambda self, df: asked.append(shuffled(self, df)) or asked[-1])
+    per_row = []
+    for n in (300, 1_200, 4_800):
+        X = rng.uniform(size=(n, 2)) @ axes.T
+        pts = cloud(X, parts=4)
+        got = {(r["id"], r["rank"]): r["neighbor"] for r in N.knn_join(pts, pts, 3, exclude_self=True).collect()}
+        D_ = brute(X[:300])
+        if n == 300:
+            np.fill_diagonal(D_, np.inf)
+            assert all(got[i, 1] == D_[i].argmin() for i in range(n))
+        per_row.append(asked[-1].count() / n)
+    assert per_row[2] < 2 * per_row[0] and per_row[2] < 12, per_row
+
+
 def test_nearest_label(cloud):
     train = cloud([[0, 0], [5, 5]], [1, 2])
     got = {r["id"]: r["pred"] for r in N.nearest_label(cloud([[0, 1], [5, 4], [1, 0]]), train, "label").collect()}
