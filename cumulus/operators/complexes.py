@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cumulus.functions.vectors import matrix, square_distances
-from cumulus.operators.folds import fold_slots, map_blocks
+from cumulus.operators.folds import by_code, fold_keys, map_blocks
 from cumulus.operators.gaussians import Gaussians
 from cumulus.operators.neighbors import pairs_within
 from cumulus.operators.ordering import number_rows
@@ -26,39 +26,45 @@ def dimension_cap(cap: int, ambient: int) -> int:
     return max(0, min(cap, ambient - 1))
 
 
-def _pair_minima(points: DataFrame, k: int, measure) -> DataFrame:
-    """(i, j, w): min over points of max(m_i, m_j), i < j, 0-based; reduced per partition before the shuffle."""
+def _pair_minima(points: DataFrame, run: str, k: int, measure) -> DataFrame:
+    """(run, i, j, w): for each run the min over its points of max(m_i, m_j), i < j, 0-based; reduced by task and block."""
     check_state(k * k, "pair weights")
 
-    def step(batch):
+    def step(batch, codes, n):
         m = measure(matrix(batch.column("x")))
-        out = np.full((k, k), np.inf)
-        for i in range(k - 1):
-            out[i, i + 1 :] = np.maximum(m[:, i : i + 1], m[:, i + 1 :]).min(0)
-        return out
+        out = np.full((n, k, k), np.inf)
+        for r, own in enumerate(by_code(codes, n)):
+            some = m[own]
+            for i in range(k - 1):
+                out[r, i, i + 1 :] = np.maximum(some[:, i : i + 1], some[:, i + 1 :]).min(0)
+        return out.reshape(n, k * k)
 
-    slots = fold_slots(points.select("x"), step, "min")
-    return slots.select(F.floor(F.col("slot") / k).cast("int").alias("i"), (F.col("slot") % k).cast("int").alias("j"), F.col("value").alias("w"))
+    slots = fold_keys(points.select(run, "x"), run, step, "min")
+    return slots.select(run, F.floor(F.col("slot") / k).cast("int").alias("i"), (F.col("slot") % k).cast("int").alias("j"), F.col("value").alias("w"))
 
 
-def _graph(points: DataFrame, pairs: DataFrame, ids: list[int], eps: float, run: str) -> tuple[DataFrame, DataFrame]:
-    spark = points.sparkSession
+def _graph(points: DataFrame, ids: list[int], eps: float, run: str, key: str | None, measure) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges, of the runs in column ``key`` or of one run of a given name, all from one scan."""
+    tagged = points.select(F.col(key).cast("string").alias("run_id") if key else F.lit(run).alias("run_id"), "x")
+    pairs = _pair_minima(tagged, "run_id", len(ids), measure)
     names = F.array(*[F.lit(int(i)).cast("bigint") for i in ids])
-    edges = pairs.filter(F.col("w") <= eps).select(
-        F.lit(run).alias("run_id"), F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), "w"
+    edges = pairs.withColumn("w", F.greatest("w", F.lit(0.0))).filter(F.col("w") <= eps).select(
+        "run_id", F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), "w"
     )
-    vertices = spark.createDataFrame([(run, int(i), 0.0) for i in ids], "run_id string, v bigint, w double")
-    return vertices, edges
+    runs = tagged.select("run_id").distinct() if key else points.sparkSession.createDataFrame([(run,)], "run_id string")
+    return runs.select("run_id", F.explode(names).alias("v"), F.lit(0.0).alias("w")), edges
+
 
+def cluster_graph(points: DataFrame, models: Gaussians, eps: float = float("inf"), run: str = "run", key: str | None = None):
+    """Vertices and edges over models; an edge weighs min over points of the larger Mahalanobis distance.
 
-def cluster_graph(points: DataFrame, models: Gaussians, eps: float = float("inf"), run: str = "run"):
-    """Vertices and edges over models; an edge weighs min over points of the larger Mahalanobis distance."""
+    With ``key`` every value of that column is a run of its own, and all runs share the scan.
+    """
     models.factors()
-    pairs = _pair_minima(points, len(models), lambda X: np.sqrt(models.mahalanobis2(X)))
-    return _graph(points, pairs, models.ids.tolist(), eps, run)
+    return _graph(points, models.ids.tolist(), eps, run, key, lambda X: np.sqrt(models.mahalanobis2(X)))
 
 
-def witness_graph(points: DataFrame, landmarks: np.ndarray, nu: int = 0, eps: float = float("inf"), run: str = "run"):
+def witness_graph(points: DataFrame, landmarks: np.ndarray, nu: int = 0, eps: float = float("inf"), run: str = "run", key: str | None = None):
     """Vertices and edges over landmarks (de Silva & Carlsson 2004): the witness's nu-th nearest landmark
     distance is subtracted, negative weights become 0; nu = 0 subtracts nothing."""
     check_state(landmarks.size, "landmarks")
@@ -67,8 +73,7 @@ def witness_graph(points: DataFrame, landmarks: np.ndarray, nu: int = 0, eps: fl
         D = np.sqrt(square_distances(X, landmarks))
         return D if nu == 0 else D - np.partition(D, nu - 1, axis=1)[:, nu - 1 : nu]
 
-    pairs = _pair_minima(points, len(landmarks), measure).withColumn("w", F.greatest("w", F.lit(0.0)))
-    return _graph(points, pairs, list(range(1, len(landmarks) + 1)), eps, run)
+    return _graph(points, list(range(1, len(landmarks) + 1)), eps, run, key, measure)
 
 
 def spread_landmarks(points: DataFrame, count: int, first: np.ndarray) -> np.ndarray:

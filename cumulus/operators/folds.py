@@ -1,8 +1,10 @@
-"""One-pass folds of a whole table into model-sized state.
+"""One-pass folds of a whole table into model-sized state, for the whole table or for every key.
 
-Every iterative job here has the same shape: a block step on executors turns an Arrow batch into a
-fixed-length vector of numbers, the vectors are combined per partition, and Spark reduces the slots.
-Rows never leave the executors; only the slots do, and their number is checked.
+Every iterative job here has the same shape: a block step on executors turns an Arrow batch into fixed-length vectors
+of numbers, one for each key in the batch, and a task adds them up. A task hands on blocks of a vector, a row for each
+key and block; these rows are dealt by key, block and a part of the tasks, so that the tasks' vectors meet in two
+levels: inside each part first, then across the parts. Rows never leave the executors; only model-sized state reaches
+the driver, and its size is checked.
 """
 
 from __future__ import annotations
@@ -14,30 +16,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cumulus.session import check_state
+from cumulus.session import MAX_STATE, check_state
 
 _COMBINE = {"sum": (np.add, 0.0), "min": (np.minimum, np.inf), "max": (np.maximum, -np.inf)}
-_EMIT = 1 << 18
+#: Numbers in a row of state; numbers that a task holds before it hands them on.
+BLOCK, HELD = 4_096, 4_000_000
+#: Parts into which the tasks' rows of one key and block are dealt before they meet.
+PARTS = 64
 
 
-def fold_slots(df: DataFrame, step: Callable[[pa.RecordBatch], np.ndarray], how: str = "sum") -> DataFrame:
-    """``(slot, value)``: per-slot sum, min or max of ``step`` over all batches of ``df``."""
+def by_code(codes: np.ndarray, n: int) -> list[np.ndarray]:
+    """The positions of each of ``n`` codes, from one sort."""
+    order = np.argsort(codes, kind="stable")
+    return np.split(order, np.searchsorted(codes[order], np.arange(1, n)))
+
+
+def fold_keys(df: DataFrame, key: str, step: Callable[[pa.RecordBatch, np.ndarray, int], np.ndarray], how: str = "sum") -> DataFrame:
+    """(key, slot, value): per key and slot the sum, min or max over all batches of ``df``.
+
+    ``step`` gets a batch without the key, the codes of its rows' keys and their number, and returns a row of numbers
+    for each code. A NULL key is a key. Slots that no batch has changed are left out.
+    """
     combine, neutral = _COMBINE[how]
+    kind = df.schema[key].dataType.simpleString()
+
+    def rows(state: dict, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for k, vector in state.items():
+            blocks = [(i, vector[at : at + BLOCK]) for i, at in enumerate(range(0, len(vector), BLOCK))]
+            blocks = [(i, v) for i, v in blocks if (v != neutral).any()]
+            if blocks:
+                values = pa.array([v for _, v in blocks], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(blocks), kind), pa.array([i for i, _ in blocks], pa.int32()), values], names=[key, "_block", "_values"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
+        state, held, own = {}, 0, None
         for batch in batches:
-            if batch.num_rows:
-                part = np.asarray(step(batch), np.float64).ravel()
-                state = part if state is None else combine(state, part)
-        if state is not None:
-            used = np.flatnonzero(state != neutral)
-            for lo in range(0, len(used), _EMIT):
-                idx = used[lo : lo + _EMIT]
-                yield pa.RecordBatch.from_arrays([pa.array(idx.astype(np.int64)), pa.array(state[idx])], names=["slot", "value"])
-
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).type
+            coded = batch.column(0).dictionary_encode("encode")
+            part = np.asarray(step(batch.select(batch.schema.names[1:]), coded.indices.to_numpy(), len(coded.dictionary)), np.float64)
+            for k, vector in zip(coded.dictionary.to_pylist(), part.reshape(len(coded.dictionary), -1)):
+                if k in state:
+                    combine(state[k], vector, out=state[k])
+                else:
+                    state[k] = vector.copy()
+                    held += len(vector)
+            if held > HELD:
+                yield from rows(state, own)
+                state, held = {}, 0
+        yield from rows(state, own)
+
+    others = [c for c in df.columns if c != key]
+    partial = df.select(key, *others).mapInArrow(run, f"`{key}` {kind}, _block int, _values array<double>")
+    dealt = partial.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).repartition(key, "_block", "_part")
+    slots = dealt.select(key, "_block", F.posexplode("_values").alias("_at", "value")).filter(F.col("value") != F.lit(neutral))
     reduce = {"sum": F.sum, "min": F.min, "max": F.max}[how]
-    return df.mapInArrow(run, "slot bigint, value double").groupBy("slot").agg(reduce("value").alias("value"))
+    met = slots.groupBy(key, "_block", "_at").agg(reduce("value").alias("value"))
+    return met.select(key, (F.col("_block").cast("long") * BLOCK + F.col("_at")).alias("slot"), "value")
+
+
+def fold_slots(df: DataFrame, step: Callable[[pa.RecordBatch], np.ndarray], how: str = "sum") -> DataFrame:
+    """``(slot, value)``: per-slot sum, min or max of ``step`` over all batches of ``df``."""
+    whole = df.withColumn("_whole", F.lit(0))
+    return fold_keys(whole, "_whole", lambda batch, codes, n: np.asarray(step(batch), np.float64).ravel()[None], how).drop("_whole")
 
 
 def fold(df: DataFrame, step: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...], how: str = "sum") -> np.ndarray:
@@ -50,6 +92,17 @@ def fold(df: DataFrame, step: Callable[[pa.RecordBatch], np.ndarray], shape: tup
     return out.reshape(shape)
 
 
+def fold_groups(df: DataFrame, key: str, step: Callable[[pa.RecordBatch, np.ndarray, int], np.ndarray], width: int, how: str = "sum") -> tuple[np.ndarray, np.ndarray]:
+    """:func:`fold_keys` brought to the driver: sorted keys and a row of ``width`` numbers for each; its size is checked."""
+    table = fold_keys(df, key, step, how).limit(MAX_STATE + 1).toArrow()
+    check_state(table.num_rows, f"state by {key}")
+    keys, at = np.unique(table.column(0).to_numpy(), return_inverse=True)
+    check_state(len(keys) * width, f"state by {key}")
+    out = np.full((len(keys), width), _COMBINE[how][1])
+    out[at, table.column("slot").to_numpy()] = table.column("value").to_numpy()
+    return keys, out
+
+
 def map_blocks(df: DataFrame, step: Callable[[pa.RecordBatch], dict[str, pa.Array]], added: str, keep: list[str], needs: tuple[str, ...] = ("x",)) -> DataFrame:
     """Narrow block step: the ``keep`` columns plus the ``added`` ones ("name type, ...").
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumulus.functions.vectors import matrix
-from cumulus.operators.folds import fold, map_blocks
+from cumulus.operators.folds import by_code, fold, fold_groups, map_blocks
 from cumulus.session import check_state, materialise
 
 LOG_2PI = float(np.log(2 * np.pi))
@@ -118,33 +118,29 @@ def origin_of(points: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in points.select("x").take(64)], float).mean(0)
 
 
-def cluster_ids(points: DataFrame, label: str) -> np.ndarray:
-    rows = points.select(label).filter(F.col(label).isNotNull()).distinct()
-    check_state(rows.count(), "cluster ids")
-    return np.sort(rows.toArrow().column(0).to_numpy())
-
-
 def cluster_models(points: DataFrame, label: str, kind: str = "full", ids: np.ndarray | None = None) -> Gaussians:
-    """Mean and maximum-likelihood covariance of every cluster, in one pass over the points."""
-    if ids is None:
-        ids = cluster_ids(points, label)
+    """Mean and maximum-likelihood covariance of every cluster, in one pass over the points; rows without a label are left out."""
     origin = origin_of(points)
-    k, d = len(ids), len(origin)
-    width = d * d if kind == "full" else d
+    d = len(origin)
+    width = 1 + d + (d * d if kind == "full" else d)
 
-    def step(batch):
+    def step(batch, codes, n):
         X = matrix(batch.column("x")) - origin
-        y = batch.column("y").to_numpy(zero_copy_only=False)
-        out = np.zeros((k, 1 + d + width))
-        for i, c in enumerate(ids):
-            Z = X[y == c]
-            if len(Z):
-                second = Z.T @ Z if kind == "full" else (Z * Z).sum(0)
-                out[i] = np.concatenate([[len(Z)], Z.sum(0), second.ravel()])
+        out = np.zeros((n, width))
+        for i, own in enumerate(by_code(codes, n)):
+            Z = X[own]
+            second = Z.T @ Z if kind == "full" else (Z * Z).sum(0)
+            out[i] = np.concatenate([[len(Z)], Z.sum(0), second.ravel()])
         return out
 
-    check_state(k * (1 + d + width), "cluster moments")
-    s = fold(points.select("x", F.col(label).alias("y")), step, (k, 1 + d + width))
+    labelled = points.select("x", F.col(label).alias("y")).filter("y is not null")
+    found, s = fold_groups(labelled, "y", step, width)
+    if ids is not None:
+        known = {v: i for i, v in enumerate(found.tolist())}
+        s = np.array([s[known[v]] if v in known else np.zeros(width) for v in np.asarray(ids).tolist()]).reshape(len(ids), width)
+    else:
+        ids = found
+    k = len(ids)
     n = s[:, 0]
     safe = np.maximum(n, 1)[:, None]
     mean = s[:, 1 : 1 + d] / safe

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cumulus.functions.vectors import matrix, square_distances
 from cumulus.operators.agreement import mutual_information
-from cumulus.operators.folds import fold, map_blocks
+from cumulus.operators.folds import fold, fold_keys, map_blocks
 from cumulus.operators.neighbors import knn_join
 from cumulus.operators.ordering import number_rows, seeded_order, seeded_pick
 from cumulus.session import Rounds, check_state, spread
@@ -140,6 +140,14 @@ def assign_centers(points: DataFrame, fit: KMeansFit, out: str = "cluster", keep
     return map_blocks(points, step, f"`{out}` int, dist2 double", points.columns if keep is None else keep)
 
 
+def _sums(batch, codes, n):
+    """Number and sum of the vectors of each code."""
+    X = matrix(batch.column("x"))
+    order = np.argsort(codes, kind="stable")
+    starts = np.searchsorted(codes[order], np.arange(n))
+    return np.column_stack([np.bincount(codes, minlength=n), np.add.reduceat(X[order], starts, axis=0)])
+
+
 def kmeans_share(points: DataFrame, share: float, seed: int = 0, rounds: int = 20) -> DataFrame:
     """(id, cluster, dist): k-means with k a share of the rows, after ``rounds`` Lloyd rounds.
 
@@ -153,9 +161,11 @@ def kmeans_share(points: DataFrame, share: float, seed: int = 0, rounds: int = 2
     centers = cuts.cut(seeds.select(F.col("cluster").cast("bigint").alias("id"), "x"))
     for _ in range(rounds):
         near = knn_join(base, centers, 1).select("id", F.col("neighbor").alias("cluster"))
-        axes = base.join(near, "id").select("cluster", F.posexplode("x").alias("axis", "v"))
-        means = axes.groupBy("cluster", "axis").agg(F.avg("v").alias("v"))
-        moved = means.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("axis", "v"))).alias("s"))
-        moved = moved.select(F.col("cluster").alias("id"), F.col("s.v").alias("_x"))
+        sums = fold_keys(base.join(near, "id").select("cluster", "x"), "cluster", _sums)
+        vector = F.sort_array(F.collect_list(F.struct("slot", "value")))
+        # the first number counts the rows; a sum of 0 is left out of the fold
+        parts = sums.groupBy("cluster").agg(F.map_from_entries(vector).alias("s")).join(centers.withColumnRenamed("id", "cluster"), "cluster")
+        mean = F.transform(F.sequence(F.lit(1).cast("long"), F.size("x").cast("long")), lambda i: F.coalesce(F.element_at("s", i), F.lit(0.0)) / F.element_at("s", F.lit(0).cast("long")))
+        moved = parts.select(F.col("cluster").alias("id"), mean.alias("_x"))
         centers = cuts.cut(centers.join(moved, "id", "left").select("id", F.coalesce("_x", "x").alias("x")))
     return knn_join(base, centers, 1).select("id", F.col("neighbor").alias("cluster"), "dist")

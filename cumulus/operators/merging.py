@@ -9,6 +9,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,23 +48,39 @@ def merge_table(spark: SparkSession, merges: list[Merge], run: str = "run") -> D
     return spark.createDataFrame(rows, "run_id string, step int, a int, b int, cost double")
 
 
+def merge_trees(edges: DataFrame) -> DataFrame:
+    """(run_id, step, a, b, cost): every run's merges in filtration order, from its (run_id, a, b, w, ord) edges.
+
+    The minimum spanning forest is found by joins. What is left of a run is one edge less than it has models, a state
+    of checked size, so each run's tree is one small task and runs are handled side by side.
+    """
+
+    def unite(tree: pa.Table) -> pa.Table:
+        check_state(tree.num_rows * 4, "merge tree")
+        root: dict[int, int] = {}
+
+        def find(v):
+            while v in root:
+                root[v] = v = root.get(root[v], root[v])
+            return v
+
+        ends = []
+        tree = tree.sort_by("ord")
+        for a, b in zip(tree.column("a").to_pylist(), tree.column("b").to_pylist()):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+            ends.append((a, b))
+        low, high = zip(*ends)
+        steps = pa.array(range(1, len(ends) + 1), pa.int32())
+        return pa.table({"run_id": tree.column("run_id"), "step": steps, "a": pa.array(low, pa.int32()), "b": pa.array(high, pa.int32()), "cost": tree.column("w")})
+
+    forest = minimum_forest(edges).select("run_id", "ord", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "w")
+    return forest.groupBy("run_id").applyInArrow(unite, "run_id string, step int, a int, b int, cost double")
+
+
 def topological_merges(edges: DataFrame) -> list[Merge]:
-    """Merges in filtration order: the minimum spanning forest of one run's (run_id, a, b, w, ord) edges."""
-    tree = minimum_forest(edges).orderBy("ord")
-    check_state(tree.count() * 4, "merge tree")
-    root: dict[int, int] = {}
-
-    def find(v):
-        while root.get(v, v) != v:
-            v = root[v]
-        return v
-
-    out = []
-    for e in tree.collect():
-        a, b = sorted((find(e["a"]), find(e["b"])))
-        root[b] = a
-        out.append((a, b, e["w"]))
-    return out
+    """The merges of one run's edges, see :func:`merge_trees`."""
+    return [(r["a"], r["b"], r["cost"]) for r in merge_trees(edges).orderBy("step").collect()]
 
 
 def _greedy(ids: list[int], cost: np.ndarray, recost: Callable[[int, int, list[int]], np.ndarray]) -> list[Merge]:

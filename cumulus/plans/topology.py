@@ -21,7 +21,6 @@ from cumulus.plans.registry import query, table
 from cumulus.plans.reports import RUNS, r6, runs
 
 RADIUS = 1.2
-FLAGS = ["A", "N", "R"]
 
 
 def lots(spark, sf):
@@ -124,10 +123,10 @@ CLUSTER = PLANE + f""", k AS (SELECT l_returnflag AS run_id, l_quantity AS q, l_
 
 
 def cluster_edges(spark, sf):
-    """One run per return flag: its own rows, the same seven line-number models."""
+    """One run per return flag that the table holds: its own rows, the same seven line-number models, one scan for all."""
     models = M.cluster_models(trades(spark, sf), "label")
     rows = table(spark, sf, "lineitem").select(F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1000).alias("x"), "l_returnflag")
-    return T.union_graphs([T.cluster_graph(rows.filter(F.col("l_returnflag") == f), models, run=f) for f in FLAGS])
+    return T.cluster_graph(rows, models, key="l_returnflag")
 
 
 @query(CLUSTER + "SELECT run_id, a, b, round(w, 6) AS w FROM e")
@@ -161,7 +160,7 @@ def betti_curve(spark, sf):
 def dominance(spark, sf):
     """For how long the seven models form two components without a loop."""
     cells = materialise(T.filtration(T.expand(*cluster_edges(spark, sf), 1)))
-    targets = spark.createDataFrame([(f, [2, 0]) for f in FLAGS], "run_id string, betti array<int>")
+    targets = cells.select("run_id").distinct().withColumn("betti", F.array(F.lit(2), F.lit(0)))
     return r6(P.dominance(cells, P.persistence_pairs(cells), targets, 1), "dominance", "r0", "r1", "scale")
 
 
@@ -175,17 +174,15 @@ def persistence_pairs(spark, sf):
 
 MERGES = CLUSTER_R + REACH + """, before AS (SELECT o.run_id, o.ord, o.a, o.b, o.w, x.root AS ra, y.root AS rb FROM o
     LEFT JOIN z x ON x.run_id = o.run_id AND x.top = o.ord - 1 AND x.v = o.a LEFT JOIN z y ON y.run_id = o.run_id AND y.top = o.ord - 1 AND y.v = o.b)
-  SELECT row_number() OVER (ORDER BY ord)::INTEGER AS step, least(coalesce(ra, a), coalesce(rb, b))::INTEGER AS a, greatest(coalesce(ra, a), coalesce(rb, b))::INTEGER AS b,
-    round(w, 6) AS cost FROM before WHERE run_id = 'A' AND coalesce(ra, a) <> coalesce(rb, b)"""
+  SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ord)::INTEGER AS step, least(coalesce(ra, a), coalesce(rb, b))::INTEGER AS a, greatest(coalesce(ra, a), coalesce(rb, b))::INTEGER AS b,
+    round(w, 6) AS cost FROM before WHERE coalesce(ra, a) <> coalesce(rb, b)"""
 
 
 @query(MERGES)
 def merge_tree(spark, sf):
-    """Topological merging of the line-number models over the returned rows."""
-    vertices, edges = cluster_edges(spark, sf)
-    cells = materialise(T.filtration(T.expand(vertices, edges, 1).filter("run_id = 'A'")))
-    merges = H.topological_merges(O.Cover(None, cells).edges)
-    return r6(H.merge_table(spark, merges).drop("run_id"), "cost")
+    """Topological merging of the line-number models over the rows of every return flag."""
+    cells = materialise(T.filtration(T.expand(*cluster_edges(spark, sf), 1)))
+    return r6(H.merge_trees(O.Cover(None, cells).edges), "cost")
 
 
 LEVELS = [[[i] for i in range(1, 11)], PAIRS, [[1, 2, 3, 4], [5, 6], [7, 8, 9, 10]]]
