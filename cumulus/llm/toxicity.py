@@ -41,6 +41,8 @@ WIDTH = 24
 #: Words whose kernel with every landmark stays below this say nothing.
 FLOOR = 0.2
 ROWS = 4_000
+#: Pairs whose kernels are found at once.
+SLICE = 256
 #: Words that a worker remembers between batches.
 KEPT = 300_000
 
@@ -67,26 +69,27 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 
 def _pairs(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """The kernel of rows of ``s`` with rows of ``t``, pair by pair; code 0 matches nothing."""
+    if len(s) > SLICE:
+        return np.concatenate([_pairs(s[at : at + SLICE], t[at : at + SLICE]) for at in range(0, len(s), SLICE)])
     n, a, b = len(s), s.shape[1], t.shape[1]
-    same = [[(s[:, i] == t[:, j]) & (s[:, i] != 0) for j in range(b)] for i in range(a)]
-    one = np.ones(n, np.float32)
-    prev: list[list] = [[one] * (b + 1) for _ in range(a + 1)]
-    square = np.float32(DECAY * DECAY)
+    s, t = s.T, t.T
+    same = ((s[:, None] == t[None]) & (s != 0)[:, None]).astype(np.float32)
+    same *= np.float32(DECAY * DECAY)
+    decay, prev = np.float32(DECAY), np.ones((a + 1, b + 1, n), np.float32)
     for _ in range(ORDER - 1):
-        zero = np.zeros(n, np.float32)
-        now: list[list] = [[zero] * (b + 1)]
+        now, run = np.zeros((a + 1, b + 1, n), np.float32), np.zeros((a, n), np.float32)
+        for j in range(b):
+            run *= decay
+            run += same[:, j] * prev[:-1, j]
+            now[1:, j + 1] = run
         for i in range(a):
-            row, run = [zero], zero
-            for j in range(b):
-                run = DECAY * run + same[i][j] * (square * prev[i][j])
-                row.append(DECAY * now[i][j + 1] + run)
-            now.append(row)
+            now[i + 1] += decay * now[i]
         prev = now
-    out = np.zeros(n, np.float32)
-    for i in range(a):
-        for j in range(b):
-            out += same[i][j] * (square * prev[i][j])
-    return out
+    return np.einsum("ijn,ijn->n", same, prev[:-1, :-1])
+
+
+#: By length, the part of a word's kernel with itself that its equal subsequences make: the square root of the least it can be.
+_OWN = np.sqrt([sum((n - span + 1) * (span - 2) * DECAY ** (2 * span) for span in range(ORDER, n + 1)) for n in range(64)])
 
 
 def _masks(codes: np.ndarray) -> np.ndarray:
@@ -106,8 +109,12 @@ class Landmarks:
         self.need = np.ceil(LETTERS * np.bitwise_count(self.masks)).astype(np.int64)
         self.own = np.sqrt(_pairs(self.codes, self.codes))
 
-    def kernel(self, words: list[str]) -> np.ndarray:
-        """(word, landmark); pairs that share too few of the landmark's letters count as 0."""
+    def kernel(self, words: list[str], floor: float = 0.0) -> np.ndarray:
+        """(word, landmark); pairs that share too few of the landmark's letters count as 0.
+
+        Words whose values are all below ``floor`` may be left at 0: the kernel of a word with itself, the dearest to
+        find, is only taken where a bound by its length doesn't show that.
+        """
         out = np.zeros((len(words), len(self.words)), np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         for at in range(0, len(order), 8_192):
@@ -115,17 +122,18 @@ class Landmarks:
             codes = _codes([words[i] for i in part], max(ORDER, len(words[part[-1]])))
             masks = _masks(codes)
             near = np.bitwise_count(masks[:, None] & self.masks[None, :]) >= self.need[None, :]
-            some = np.flatnonzero(near.any(axis=1))
-            if not len(some):
+            if not near.any():
                 continue
-            own = np.sqrt(np.maximum(_pairs(codes[some], codes[some]), 1e-12))
-            full = np.zeros(len(part), np.float32)
-            full[some] = own
+            raw = np.zeros(near.shape, np.float32)
             for z in range(len(self.words)):
                 rows = np.flatnonzero(near[:, z])
                 if len(rows):
                     mark = np.broadcast_to(self.codes[z, : self.sizes[z]], (len(rows), self.sizes[z]))
-                    out[part[rows], z] = np.round(_pairs(codes[rows], mark) / (full[rows] * self.own[z]), 4) ** SHARP
+                    raw[rows, z] = _pairs(codes[rows], mark) / self.own[z]
+            least = _OWN[(codes != 0).sum(axis=1)]
+            some = np.flatnonzero((raw.max(axis=1) >= 0.999 * floor ** (1 / SHARP) * least) & near.any(axis=1))
+            own = np.sqrt(np.maximum(_pairs(codes[some], codes[some]), 1e-12))
+            out[part[some]] = np.round(raw[some] / own[:, None], 4) ** SHARP
         return out
 
 
@@ -173,7 +181,7 @@ def telling(landmarks: Landmarks, words) -> dict[str, np.ndarray]:
     out: dict[str, np.ndarray] = {}
     for at in range(0, len(parts), 65_536):
         some = parts[at : at + 65_536]
-        values = landmarks.kernel(some)
+        values = landmarks.kernel(some, FLOOR)
         for i in np.flatnonzero(values.max(axis=1) >= FLOOR):
             for word in by[some[i]]:
                 out[word] = np.maximum(out[word], values[i]) if word in out else values[i]
