@@ -31,8 +31,10 @@ from cumulus.llm.common import ordinals, query, table
 from cumulus.session import materialise
 
 BLOCK = 64
-#: Slots of a period of ``op3_mixing``, as its SQL has it; blocks of the plan that the driver holds at a time.
+#: Slots of a repeated period, where one is asked for; blocks of the plan that the driver holds at a time.
 PERIOD, SLICE = 1_000, 1 << 18
+#: The weights of ``op3_mixing`` are whole numbers of this part, so that its SQL has the same.
+UNIT = 1 << 20
 #: Without given weights a source's weight is its number of rows to this power.
 SMOOTHING = 0.7
 
@@ -159,23 +161,23 @@ def in_order(docs: DataFrame, weights: dict[Source, float] | None = None, source
     "op3_mixing",
     f"""
     WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-    k AS (SELECT source, greatest(1, floor({PERIOD} * n ** {SMOOTHING} / (SELECT sum(n ** {SMOOTHING}) FROM n) + 0.5)::BIGINT) AS k FROM n),
-    l AS (SELECT list(source ORDER BY source NULLS FIRST) AS ss, list(k ORDER BY source NULLS FIRST) AS ks, sum(k)::BIGINT AS q FROM k),
+    k AS (SELECT source, floor(n ** {SMOOTHING} * {UNIT})::HUGEINT AS k, ((n + {BLOCK - 1}) // {BLOCK})::HUGEINT AS e FROM n),
+    l AS (SELECT list(source ORDER BY source NULLS FIRST) AS ss, list(k ORDER BY source NULLS FIRST) AS ks, list(e ORDER BY source NULLS FIRST) AS es, sum(k)::HUGEINT AS q FROM k),
     edf AS (
-      SELECT -1::BIGINT AS t, [0::BIGINT FOR x IN ks] AS js, 0::BIGINT AS pick, ks, ss, q FROM l
+      SELECT -1::HUGEINT AS t, [0::HUGEINT FOR x IN ks] AS js, 0::BIGINT AS pick, ks, es, ss, q FROM l
       UNION ALL
-      SELECT t + 1, [js[i] + (i = p)::BIGINT FOR i IN range(1, len(ks) + 1)], p, ks, ss, q
-      FROM (SELECT *, list_min([[((js[i] + 1) * q + ks[i] - 1) // ks[i], i] FOR i IN range(1, len(ks) + 1)
-              IF js[i] < ks[i] AND js[i] * q // ks[i] <= t + 1])[2] AS p FROM edf WHERE t + 1 < q)),
+      SELECT u, [js[i] + (i = p)::HUGEINT FOR i IN range(1, len(ks) + 1)], p, ks, es, ss, q
+      FROM (SELECT *, list_min([[((js[i] + 1) * q + ks[i] - 1) // ks[i], i::HUGEINT] FOR i IN range(1, len(ks) + 1) IF js[i] < es[i] AND js[i] * q // ks[i] <= u])[2]::BIGINT AS p
+        FROM (SELECT *, greatest(t + 1, list_min([js[i] * q // ks[i] FOR i IN range(1, len(ks) + 1) IF js[i] < es[i]])) AS u FROM edf
+          WHERE len([i FOR i IN range(1, len(ks) + 1) IF js[i] < es[i]]) > 0))),
     slots AS (SELECT ss[pick] AS source, ks[pick] AS k, js[pick] AS j, t, q FROM edf WHERE t >= 0),
-    r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS n FROM documents),
-    b AS (SELECT r.*, n // {BLOCK} AS a, k.k FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source)
-    SELECT b.doc_id, b.source, a + 1 AS block, a // b.k * q + (j - 1) * q // b.k AS release,
-      a // b.k * q + (j * q + b.k - 1) // b.k AS deadline, a // b.k * q + t AS slot, n % {BLOCK} AS place
-    FROM b JOIN slots s ON b.source IS NOT DISTINCT FROM s.source AND s.j = a % b.k + 1
+    r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS n FROM documents)
+    SELECT r.doc_id, r.source, s.j::BIGINT AS block, ((s.j - 1) * q // k)::BIGINT AS release, ((s.j * q + k - 1) // k)::BIGINT AS deadline, t::BIGINT AS slot, n % {BLOCK} AS place
+    FROM r JOIN slots s ON r.source IS NOT DISTINCT FROM s.source AND s.j = n // {BLOCK} + 1
     """,
 )
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots of all ``documents``, mixed by source in proportion to the sources' rows to the power 0.7."""
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source"), period=PERIOD)
-    return mixed.select("doc_id", "source", *[F.col(f"__{c}").alias(c) for c in ("block", "release", "deadline", "slot", "place")])
+    """Slots of all ``documents``, mixed by source in proportion to the sources' rows to the power 0.7, a whole number of 2^-20."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    weights = {s: float(math.floor(n**SMOOTHING * UNIT)) for s, n in source_sizes(docs).items()}
+    return mix(docs, weights).select("doc_id", "source", *[F.col(f"__{c}").alias(c) for c in ("block", "release", "deadline", "slot", "place")])
