@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cumulus.functions.vectors import matrix, square_distances
 from cumulus.session import materialise
 
-LEAF, FAN = 1_024, 16
+LEAF, FAN = 4_096, 16
 #: Rows of a node that one task handles; levels after which a node is no longer split (its rows are searched in chunks).
 CHUNK, LEVELS = 8_192, 14
 _TILE = 512
