@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulus.operators.selection import join_keys, order_statistics
+from cumulus.operators.selection import join_keys, order_statistics, select_ranks, value_rows
 from cumulus.session import materialise
 
 
@@ -52,13 +52,13 @@ def medians(df: DataFrame, keys: list[str], cols: list[str], suffix: str = "_med
 
 
 def median_mad(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """``<c>_med`` and the unscaled median absolute deviation ``<c>_mad`` of every column."""
-    df = df.select(*keys, *cols)
-    centre = medians(df, keys, cols)
-    apart = join_keys(df, centre, keys)
-    gap = lambda c: F.abs(F.col(c) - F.col(f"{c}_med"))
-    spread = apart.select(*keys, *[gap(c).alias(c) for c in cols])
-    return join_keys(centre, medians(spread, keys, cols, suffix="_mad"), keys)
+    """``<c>_med`` and the unscaled median absolute deviation ``<c>_mad`` of every column; the rows are written once for both."""
+    rows = value_rows(df, keys, cols)
+    medians_of = lambda rows, suffix: select_ranks(rows, keys, cols, [0.5]).select(*keys, *[F.element_at(f"q_{c}", 1).alias(f"{c}{suffix}") for c in cols])
+    centre = medians_of(rows, "_med")
+    middle = centre.select(*keys, F.array(*[f"{c}_med" for c in cols]).alias("_mid"))
+    apart = F.zip_with("_x", "_mid", lambda v, m: F.abs(v - m)).alias("_x")
+    return join_keys(centre, medians_of(join_keys(rows, middle, keys).select(*keys, apart), "_mad"), keys)
 
 
 def mean_std(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
