@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from cumulus.functions.vectors import matrix, square_distances
 from cumulus.operators.components import connected_components
 from cumulus.operators.folds import fold, map_blocks
-from cumulus.operators.kmeans import best_by_agreement, kmeans_grid, assign_centers
+from cumulus.operators.kmeans import KMeansFit, assign_centers, best_by_agreement, lloyd
 from cumulus.operators.neighbors import knn_join, radius_blocks
 from cumulus.operators.ordering import number_rows, seeded_pick
-from cumulus.session import MAX_STATE, Rounds, check_state, materialise
+from cumulus.operators.spectral import affinity_graph, leading_vectors
+from cumulus.session import MAX_STATE, check_state, materialise, spread
+
+#: Rows for each wanted vector from which the start centres of a spectral clustering are drawn.
+_STARTS = 50
 
 
 def dbscan(points: DataFrame, radius: float, min_cluster_size: int = 1, min_neighbors: int = 1) -> DataFrame:
@@ -105,35 +109,33 @@ def mean_shift(points: DataFrame, bandwidth: float, max_rounds: int = 100, bin_s
     return map_blocks(points, near, "cluster int, dist2 double", points.columns), centers
 
 
-def affinity_embedding(points: DataFrame, radius: float, gamma: float = 1.0, rounds: int = 12) -> DataFrame:
-    """(id, v): power iteration on the degree-normalised affinity exp(-gamma d^2) of the pairs within ``radius``.
+def spectral(points: DataFrame, label: str, classes: int, radius: float | None = None, gamma: float = 1.0, seed: int = 0, rounds: int = 30, neighbors: int = 10, tol: float = 1e-6, restarts: int = 3) -> DataFrame:
+    """(id, cluster): k-means on the first k vectors of the affinity over k = 2 .. 4 x classes, the k that agrees best with the labels.
 
-    One join and one grouped sum per round (Lin & Cohen 2010); the start is the degree vector.
+    Links are those of ``affinity_graph``: nearest neighbours, or all pairs within ``radius`` if that is given. All k
+    share the scans, and of each k the start of least cost is kept; vectors are scaled by the degrees, so that rows of one
+    component get equal values.
     """
-    pairs = radius_blocks(points.select("id", "x"), radius, "pairs")
-    weight = F.exp(F.lit(-gamma) * F.col("dist") * F.col("dist"))
-    half = pairs.select("a", "b", weight.alias("w"))
-    loops = points.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("w"))
-    graph = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).unionByName(loops)
-    graph = materialise(graph.repartition("b"), "affinity")
-    cuts = Rounds("embedding")
-    degree = materialise(graph.groupBy("a").agg(F.sum("w").alias("deg")), "degree")
-    total = degree.agg(F.sum("deg")).first()[0]
-    now = cuts.cut(degree.select(F.col("a").alias("b"), (F.col("deg") / total).alias("v")))
-    for _ in range(rounds):
-        pushed = graph.join(now, "b").groupBy("a").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-        step = pushed.join(degree, "a").select(F.col("a").alias("b"), (F.col("s") / F.col("deg")).alias("v"))
-        now = cuts.cut(step)
-        norm = now.agg(F.sum(F.abs("v"))).first()[0]
-        now = now.withColumn("v", F.col("v") / norm)
-    return now.select(F.col("b").alias("id"), "v")
-
-
-def spectral(points: DataFrame, label: str, classes: int, radius: float, gamma: float = 1.0, seed: int = 0, rounds: int = 12) -> DataFrame:
-    """(id, cluster): k-means on the affinity embedding over k = 2 .. 4 x classes, the k that agrees best with the labels."""
-    emb = affinity_embedding(points, radius, gamma, rounds)
-    spread = emb.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
-    line = points.select("id", label).join(emb, "id").select("id", label, F.array((F.col("v") - spread["m"]) / (spread["s"] or 1.0)).alias("x"))
-    line = materialise(line, "embedding")
-    fits = kmeans_grid(line, list(range(2, 4 * classes + 1)), [seed], rounds=30)
-    return assign_centers(line, best_by_agreement(line, label, fits)).select("id", "cluster")
+    links, degree = affinity_graph(points, neighbors, radius, gamma)
+    most = 4 * classes
+    found = leading_vectors(links, most, rounds, tol, seed)
+    emb = found.vectors.join(degree, "id").select("id", F.transform("v", lambda v: v / F.sqrt("deg")).alias("x"))
+    emb = materialise(points.select("id", label).join(emb, "id").select("id", label, "x"), "embedding")
+    ks = [k for k in range(2, most + 1) if k <= len(found.values)]
+    check_state(_STARTS * most * most, "start rows")
+    rows = np.array([r["x"] for r in seeded_pick(emb.select("id", "x"), _STARTS * most, seed).collect()], float)
+    rng = np.random.default_rng(seed)
+    tries = lloyd(spread(emb.select("id", "x")), [KMeansFit(f"k{k}-{i}", _apart(rows[:, :k], k, rng)) for k in ks for i in range(restarts)])
+    fits = [min((f for f in tries if f.k == k), key=lambda f: f.cost) for k in ks]
+    return assign_centers(emb, best_by_agreement(emb, label, fits)).select("id", "cluster")
+
+
+def _apart(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k start centres among ``rows``, each drawn by its squared distance to those before it (Arthur & Vassilvitskii 2007)."""
+    picked = [rows[rng.integers(len(rows))]]
+    near = np.full(len(rows), np.inf)
+    while len(picked) < k:
+        near = np.minimum(near, ((rows - picked[-1]) ** 2).sum(1))
+        total = near.sum()
+        picked.append(rows[rng.choice(len(rows), p=near / total) if total > 0 else rng.integers(len(rows))])
+    return np.array(picked)

@@ -43,19 +43,21 @@ def lloyd(points: DataFrame, fits: list[KMeansFit], rounds: int = 100, tol: floa
     """Lloyd rounds for all fits at once: one scan per round, partial sums per partition.
 
     A fit stops when its cost falls by no more than ``tol`` of itself; cost and sizes belong to the
-    returned centres. A centre without points stays where it is.
+    returned centres. A centre without points stays where it is. Fits whose centres have fewer axes than the points
+    use the leading ones.
     """
-    d = fits[0].centers.shape[1]
     active = list(fits)
     for done in range(rounds + 1):
         centers = [f.centers for f in active]
-        ks = [len(c) for c in centers]
-        check_state(sum(ks) * (d + 1), "k-means sums")
+        sizes = [(len(c), c.shape[1]) for c in centers]
+        state = sum(k * (d + 1) + 1 for k, d in sizes)
+        check_state(state, "k-means sums")
 
         def step(batch, centers=centers):
-            X = matrix(batch.column("x"))
+            rows = matrix(batch.column("x"))
             parts = []
             for c in centers:
+                X = rows[:, : c.shape[1]]
                 D = square_distances(X, c)
                 near = D.argmin(1)
                 hot = np.zeros((len(c), len(X)))
@@ -63,9 +65,9 @@ def lloyd(points: DataFrame, fits: list[KMeansFit], rounds: int = 100, tol: floa
                 parts += [hot.sum(1), (hot @ X).ravel(), [D[np.arange(len(X)), near].sum()]]
             return np.concatenate(parts)
 
-        flat = fold(points.select("x"), step, (sum(ks) * (d + 1) + len(ks),))
+        flat = fold(points.select("x"), step, (state,))
         at, still = 0, []
-        for f, k in zip(active, ks):
+        for f, (k, d) in zip(active, sizes):
             n, s, cost = flat[at : at + k], flat[at + k : at + k * (d + 1)].reshape(k, d), flat[at + k * (d + 1)]
             at += k * (d + 1) + 1
             moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], f.centers)
@@ -112,7 +114,7 @@ def assign_fits(points: DataFrame, fits: list[KMeansFit], keep: list[str]) -> Da
 
     def step(batch):
         X = matrix(batch.column("x"))
-        labels = np.stack([square_distances(X, c).argmin(1) for c in centers], 1).astype(np.int32) + 1
+        labels = np.stack([square_distances(X[:, : c.shape[1]], c).argmin(1) for c in centers], 1).astype(np.int32) + 1
         offsets = pa.array(np.arange(0, labels.size + 1, labels.shape[1], dtype=np.int32))
         return {"_labels": pa.ListArray.from_arrays(offsets, pa.array(labels.ravel()))}
 
@@ -133,7 +135,7 @@ def assign_centers(points: DataFrame, fit: KMeansFit, out: str = "cluster", keep
     centers = fit.centers
 
     def step(batch):
-        D = square_distances(matrix(batch.column("x")), centers)
+        D = square_distances(matrix(batch.column("x"))[:, : centers.shape[1]], centers)
         at = D.argmin(1)
         return {out: pa.array(at.astype(np.int32) + 1), "dist2": pa.array(D[np.arange(len(at)), at])}
 
