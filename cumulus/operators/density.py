@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,6 +121,8 @@ def spectral(points: DataFrame, label: str, classes: int, radius: float | None =
     links, degree = affinity_graph(points, neighbors, radius, gamma)
     most = 4 * classes
     found = leading_vectors(links, most, rounds, tol, seed)
+    if not found.settled:
+        warnings.warn(f"spectral: after {found.rounds} rounds the residual is {found.residual:.1e}, above {tol:.1e}", stacklevel=2)
     emb = found.vectors.join(degree, "id").select("id", F.transform("v", lambda v: v / F.sqrt("deg")).alias("x"))
     emb = materialise(points.select("id", label).join(emb, "id").select("id", label, "x"), "embedding")
     ks = [k for k in range(2, most + 1) if k <= len(found.values)]
