@@ -13,7 +13,7 @@ from cumulus.functions.vectors import matrix, square_distances
 from cumulus.operators.components import connected_components
 from cumulus.operators.folds import fold, map_blocks
 from cumulus.operators.kmeans import KMeansFit, assign_centers, best_by_agreement, lloyd
-from cumulus.operators.neighbors import knn_join, radius_blocks
+from cumulus.operators.neighbors import knn_join, kth_distances, radius_blocks
 from cumulus.operators.ordering import number_rows, seeded_pick
 from cumulus.operators.spectral import affinity_graph, leading_vectors
 from cumulus.session import MAX_STATE, check_state, materialise, spread
@@ -51,9 +51,7 @@ def estimate_bandwidth(points: DataFrame, quantile: float, sample: int | None =
     if sample:
         base = seeded_pick(base, sample, seed)
     n = base.count()
-    k = max(1, int(n * quantile))
-    far = knn_join(base, base, k).groupBy("id").agg(F.max("dist").alias("far"))
-    return far.agg(F.avg("far")).first()[0]
+    return kth_distances(base, max(1, int(n * quantile))).agg(F.avg("far")).first()[0]
 
 
 def mean_shift(points: DataFrame, bandwidth: float, max_rounds: int = 100, bin_size: float | None = None) -> tuple[DataFrame, np.ndarray]:

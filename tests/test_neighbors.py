@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from cumulus.functions.vectors import close_pairs
 from cumulus.operators import density as D
 from cumulus.operators import neighbors as N
 from cumulus.operators import pivot_tree
@@ -148,3 +150,79 @@ def test_spectral_separates(cloud):
     first = {r["cluster"] for r in rows if r["id"] < 60}
     second = {r["cluster"] for r in rows if r["id"] >= 60}
     assert not first & second
+
+
+def alike(n, seed=3):
+    """Rows in 24 dimensions without structure, some of them copies."""
+    X = np.random.default_rng(seed).normal(size=(n, 24))
+    X[n // 2 : n // 2 + 20] = X[0]
+    return X
+
+
+def test_radius_join_sends_no_guests_to_guests(cloud, monkeypatch):
+    """Where nothing can be left out, a row travels about once for every cell, not once for every pair of chunks in each."""
+    monkeypatch.setattr(N, "CELL", 50)
+    monkeypatch.setattr(N, "GUESTS", 50)
+    sent, inner = [], N._pivot_tasks
+    monkeypatch.setattr(N, "_pivot_tasks", lambda *a: sent.append(inner(*a)) or sent[-1])
+    X = alike(400)
+    radius = float(np.quantile(brute(X), 0.1))
+    D_ = brute(X)
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if D_[i, j] <= radius}
+    got = [(r["a"], r["b"]) for r in N.pairs_within(cloud(X), radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sent[0].count() / 400 < 3 * 400 / 50
+
+
+def test_knn_by_blocks_where_every_leaf_is_reached(cloud, monkeypatch):
+    monkeypatch.setattr(pivot_tree, "LEAF", 20)
+    monkeypatch.setattr(pivot_tree, "ASKED", 60)
+    monkeypatch.setattr(pivot_tree, "HELD", 100)
+    used, inner = [], pivot_tree.search_blocks
+    monkeypatch.setattr(pivot_tree, "search_blocks", lambda *a: used.append(1) or inner(*a))
+    X = alike(300)
+    D_ = brute(X)
+    got = {}
+    for r in N.knn_join(cloud(X), cloud(X), 4, exclude_self=True).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbor"], r["dist"]))
+    assert used
+    for i in range(len(X)):
+        order = sorted((round(D_[i, j], 9), j) for j in range(len(X)) if j != i)[:4]
+        assert [j for _, j, _ in sorted(got[i])] == [j for _, j in order]
+
+
+def test_close_pairs_in_single_precision_lose_nothing():
+    X = alike(700)
+    got = {(at + a, b): v for at, i, j, D in close_pairs(X, X, 30.0, 256) for a, b, v in zip(i, j, D)}
+    D2 = brute(X) ** 2
+    assert set(got) == set(zip(*np.nonzero(D2 <= 30.0)))
+    assert all(abs(v - D2[p]) < 1e-9 for p, v in got.items())
+
+
+@pytest.mark.parametrize("wide", [4.0, 0.0])
+def test_kth_distances_without_lists(cloud, monkeypatch, wide):
+    """Blocks, ranges and ties; a range that misses is searched again."""
+    monkeypatch.setattr(N, "RANKED", 90)
+    monkeypatch.setattr(N, "EMITTED", 10)
+    monkeypatch.setattr(N, "CELL", 20)
+    inner, tried = N._ranked, []
+
+    def ranked(asked, data, sample, n, w):
+        tried.append(w)
+        return inner(asked, data, sample[:12], n, wide if len(tried) == 1 else w)
+
+    monkeypatch.setattr(N, "_ranked", ranked)
+    X = alike(200)
+    got = {r["id"]: r["far"] for r in N.kth_distances(cloud(X), 31).collect()}
+    want = np.sort(brute(X), axis=1)[:, 30]
+    assert len(got) == 200 and np.allclose([got[i] for i in range(200)], want, atol=1e-9)
+
+
+def test_kth_distances_of_repeated_ids(cloud):
+    """As from lists: rows of one id share their list."""
+    X = np.concatenate([alike(60), alike(60)])
+    pts = cloud(X).withColumn("id", F.col("id") % 60)
+    lists = N.knn_join(pts, pts, 9).groupBy("id").agg(F.max("dist").alias("far"))
+    want = {r["id"]: r["far"] for r in lists.collect()}
+    got = {r["id"]: r["far"] for r in N.kth_distances(pts, 9).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
