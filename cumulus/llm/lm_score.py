@@ -41,6 +41,8 @@ ORDER = 5
 BLOCK, STEP, MAX_SHARDS = 16 << 20, 1 << 20, 4_096
 #: Documents in a step, so that an event and a document's place fit 64 bits.
 STEP_DOCS = 1 << 16
+#: Shards that a task handles one after the other: a task holds one of them at a time.
+SPLIT = 4
 #: Counts are merged when so many are waiting.
 WAITING = 4_000_000
 _END = b"\xff"
@@ -297,7 +299,7 @@ def _answer(pairs: np.ndarray):
         for r in _read(batches, ["kind", "shard", "block", "keys", "counts"]):
             at, block = (r["kind"].as_py(), r["shard"].as_py()), r["block"].as_py()
             if at != now:
-                now, keys, counts = at, np.empty(0, np.uint64), np.empty(0, np.int64)
+                now, trie, keys, counts = at, None, np.empty(0, np.uint64), np.empty(0, np.int64)
                 if block < 0:
                     keys, counts = _array(r["keys"], np.uint64), _array(r["counts"], np.int64)
                 trie = Trie(keys, counts, pairs) if at[0] == "e" else None
@@ -379,14 +381,15 @@ def score(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") ->
     rows every byte has probability 1/256. Repeated rows are rows of their own; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    shards = max(1, min(MAX_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, min(MAX_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shards = min(MAX_SHARDS, SPLIT * tasks)
     kind = docs.schema[key].dataType.simpleString()
     names = ["kind", "shard", "block", "ids", "held", "sizes", "keys", "counts"]
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     rows = docs.select(F.col(key) if kind in ("bigint", "int", "string") else F.col(key).cast("string").alias(key), F.coalesce(held_out, F.lit(False)), text)
     parts = materialise(rows.mapInArrow(_pack(shards, names, id_type), _PARTS.format(id=rows.schema[0].dataType.simpleString())), "blocks")
     asked = parts.filter("kind <> 'b'")
-    dealt = lambda t, *by: t.repartition(shards, *by[:2])
+    dealt = lambda t, *by: t.repartition(tasks, *by[:2])
     model = dealt(asked.select("kind", "shard", "keys", "counts"), "kind", "shard").sortWithinPartitions("kind", "shard")
     model = materialise(model.mapInArrow(_merge, "kind string, shard int, keys binary, counts binary, total long, distinct long, pair_keys array<long>, pair_counts array<long>"), "model")
     release(spark)

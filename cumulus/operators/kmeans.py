@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cumulus.functions.vectors import matrix, square_distances
 from cumulus.operators.agreement import mutual_information
-from cumulus.operators.folds import fold, fold_keys, map_blocks
+from cumulus.operators.folds import fold, fold_keys, map_blocks, packed
 from cumulus.operators.neighbors import knn_join
 from cumulus.operators.ordering import number_rows, seeded_order, seeded_pick
 from cumulus.session import Rounds, check_state, spread
@@ -47,6 +47,7 @@ def lloyd(points: DataFrame, fits: list[KMeansFit], rounds: int = 100, tol: floa
     use the leading ones.
     """
     active = list(fits)
+    rows = packed(points) if rounds > 2 else points.select("x")
     for done in range(rounds + 1):
         centers = [f.centers for f in active]
         sizes = [(len(c), c.shape[1]) for c in centers]
@@ -65,7 +66,7 @@ def lloyd(points: DataFrame, fits: list[KMeansFit], rounds: int = 100, tol: floa
                 parts += [hot.sum(1), (hot @ X).ravel(), [D[np.arange(len(X)), near].sum()]]
             return np.concatenate(parts)
 
-        flat = fold(points.select("x"), step, (state,))
+        flat = fold(rows, step, (state,))
         at, still = 0, []
         for f, (k, d) in zip(active, sizes):
             n, s, cost = flat[at : at + k], flat[at + k : at + k * (d + 1)].reshape(k, d), flat[at + k * (d + 1)]

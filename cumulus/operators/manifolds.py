@@ -2,8 +2,8 @@
 
 Candidates are spanned by sampled rows; the distances of all rows to all candidates are histogrammed in one
 scan; the candidate whose histogram separates best gives a distance threshold (Haralick & Harpaz 2007;
-threshold of Kittler & Illingworth 1986). Found clusters are kept as conditions, so every later scan filters
-the source rows with them and nothing but the model list grows.
+threshold of Kittler & Illingworth 1986). Found clusters are kept as conditions; rows that are claimed, or left out by
+a condition, are taken from the table that the next scans read, so scans grow shorter as clusters are peeled off.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cumulus.functions.vectors import matrix
-from cumulus.operators.folds import fold, map_blocks
+from cumulus.operators.folds import fold, map_blocks, packed
 from cumulus.operators.gaussians import Gaussians, cluster_models
 from cumulus.operators.ordering import seeded_order
-from cumulus.session import check_state, spread
+from cumulus.session import Rounds, check_state, spread
 
 
 @dataclass
@@ -137,6 +137,7 @@ def manifold_clusters(
 ) -> ManifoldClustering:
     """Peel clusters off until fewer than ``min_size`` rows are left or nothing separates.
 
+    The rows still free, and those inside the manifolds chosen so far, are written tables that replace one another.
     ``clusters`` is the expected number and only sets the sample size. ``candidates`` bounds the manifolds tried per
     scan; a larger sample takes more scans. ``accept`` may reject a fitted manifold given its models (see
     ``description_accepts``); its rows then count as noise.
@@ -146,10 +147,14 @@ def manifold_clusters(
     d = base.select(F.size("x")).first()[0]
     max_dim = min(max_dim, d - 1)
     attempt = 0
+    free, cuts, none = base, Rounds("free"), ManifoldClustering()
     while True:
         conds: list[Manifold] = []
         chosen = None
-        size = _count(base, out, conds)
+        if out.claims:  # the rows that the last claim left
+            free = cuts.cut(_free(free, ManifoldClustering(claims=out.claims[-1:]), []))
+        inside, held, rows_in = free, Rounds("inside"), packed(free)
+        size = _count(rows_in, none, [])
         if size < min_size:
             break
         while True:
@@ -159,27 +164,29 @@ def manifold_clusters(
                 attempt += 1
                 per_dim = min(left, max(1, candidates // (max_dim + 1)))
                 left -= per_dim
-                rows = _sample(base, out, conds, per_dim * (max_dim + 1), seed + attempt)
+                rows = _sample(inside, none, [], per_dim * (max_dim + 1), seed + attempt)
                 tries = [_span(rows[i * (max_dim + 1) : i * (max_dim + 1) + m + 1]) for i in range(len(rows) // (max_dim + 1)) for m in range(max_dim + 1)]
                 if not tries:
                     break
-                one, score = _best_split(base, out, conds, tries, bins)
+                one, score = _best_split(rows_in, none, [], tries, bins)
                 if best is None or (score, -one.dim) > (good, -best.dim):
                     best, good = one, score
             if best is None or good < best_bound:
                 break
-            inside = _count(base, out, conds + [best])
-            if not min_size <= inside < size:
+            closer = _count(rows_in, none, [best])
+            if not min_size <= closer < size:
                 break
-            chosen, size = best, inside
+            chosen, size = best, closer
             conds = conds + [best]
-        fitted, size = _fit(base, out, conds, chosen.dim if chosen else max_dim, align or chosen is None, chosen)
+            inside = held.cut(_free(inside, none, [best]))
+            rows_in = packed(inside)
+        fitted, size = _fit(inside, none, [], chosen.dim if chosen else max_dim, align or chosen is None, chosen)
         fitted.separation = chosen.separation if chosen else 0.0
         if bounded:
-            fitted.extent = math.sqrt(_extreme(base, out, conds, fitted.inside2))
+            fitted.extent = math.sqrt(_extreme(rows_in, none, [], fitted.inside2))
         if chosen is None:
-            fitted.theta = math.sqrt(_extreme(base, out, conds, fitted.distance2))
-        if accept is not None and not accept(base, out, conds, fitted):
+            fitted.theta = math.sqrt(_extreme(rows_in, none, [], fitted.distance2))
+        if accept is not None and not accept(inside, none, [], fitted):
             out.claims.append((0, conds))
             if not conds:
                 break
@@ -198,6 +205,15 @@ def free_rows(X, found: ManifoldClustering, conds: list[Manifold]) -> np.ndarray
     return ok
 
 
+def _free(base, found, conds) -> DataFrame:
+    """The rows (id, x) that nothing has claimed and that meet the conditions."""
+
+    def step(batch):
+        return {"_ok": pa.array(free_rows(matrix(batch.column("x")), found, conds))}
+
+    return map_blocks(base, step, "_ok boolean", ["id", "x"]).filter("_ok").select("id", "x")
+
+
 def _count(base, found, conds) -> int:
     return int(fold(base.select("x"), lambda b: np.array([free_rows(matrix(b.column("x")), found, conds).sum()]), (1,))[0])
 
@@ -212,10 +228,7 @@ def _extreme(base, found, conds, measure) -> float:
 
 
 def _sample(base, found, conds, count, seed) -> np.ndarray:
-    def step(batch):
-        return {"_ok": pa.array(free_rows(matrix(batch.column("x")), found, conds))}
-
-    free = map_blocks(base, step, "_ok boolean", ["id", "x"]).filter("_ok")
+    free = _free(base, found, conds) if found.claims or conds else base
     rows = free.orderBy(seeded_order(seed, "id"), "id").limit(count).select("x").toArrow().column(0)
     return matrix(rows)
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from cumulus.functions.vectors import matrix
-from cumulus.operators.folds import fold
+from cumulus.operators.folds import fold, packed
 from cumulus.operators.gaussians import LOG_2PI, Gaussians, origin_of
 from cumulus.operators.kmeans import assign_centers, best_of_restarts
 from cumulus.operators.gaussians import cluster_models
@@ -92,13 +92,14 @@ def gaussian_mixture(points: DataFrame, k: int, kind: str = "full", seed: int =
     ``tol`` is the gain in mean log-likelihood below which a fit stops; variances are floored at 1e-6.
     """
     best, points = None, spread(points.select("id", "x"))
+    rows = packed(points)
     for r in range(restarts):
         models = start or start_models(points, k, kind, seed + r)
         origin, trace = origin_of(points), []
         for _ in range(max_iter):
             models.factors()
             logw = np.log(models.weight)
-            ll, N, S, Q = _soft_sums(points, origin, len(models), "full" if kind == "full" else "diag", lambda X: models.log_density(X) + logw)
+            ll, N, S, Q = _soft_sums(rows, origin, len(models), "full" if kind == "full" else "diag", lambda X: models.log_density(X) + logw)
             total = N.sum()
             trace.append(ll / total)
             if len(trace) > 1 and trace[-1] - trace[-2] < tol:
@@ -140,14 +141,14 @@ def dirichlet_mixture(points: DataFrame, k: int, concentration: float | None = N
     points = spread(points.select("id", "x"))
     alpha = 1.0 / k if concentration is None else concentration
     wide = "full" if kind == "full" else "diag"
-    origin = origin_of(points)
+    origin, rows = origin_of(points), packed(points)
     d = len(origin)
-    _, n1, s1, q1 = _soft_sums(points, origin, 1, wide, lambda X: np.zeros((len(X), 1)))
+    _, n1, s1, q1 = _soft_sums(rows, origin, 1, wide, lambda X: np.zeros((len(X), 1)))
     m0, scale0 = _moments(n1, s1, q1)
     m0, scale0, total = m0[0], _shape(scale0, kind)[0], n1[0]
     trace, joint = [], lambda X, ids: np.log(_uniform(ids, k, seed))
     for i in range(max_iter + 1):
-        ll, N, S, Q = _soft_sums(points, origin, k, wide, joint, with_id=i == 0)
+        ll, N, S, Q = _soft_sums(rows if i else points, origin, k, wide, joint, with_id=i == 0)
         if i > 0:
             trace.append(ll / total)
             if len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol or i == max_iter:
@@ -195,11 +196,11 @@ def factor_analysers(points: DataFrame, k: int, factors: int, seed: int = 0, tol
         load[i] = vectors[:, ::-1][:, :factors] * np.sqrt(np.maximum(values[::-1][:factors] - rest, FLOOR))
         noise[i] = np.maximum(np.diag(c) - (load[i] ** 2).sum(1), FLOOR)
     models = Gaussians(models.ids, models.n, models.mu, load @ load.transpose(0, 2, 1) + np.stack([np.diag(p) for p in noise]), models.weight)
-    trace, eye = [], np.eye(factors)
+    trace, eye, rows = [], np.eye(factors), packed(points)
     for _ in range(max_iter):
         models.factors()
         logw = np.log(models.weight)
-        ll, N, S, Q = _soft_sums(points, origin, len(models), "full", lambda X: models.log_density(X) + logw)
+        ll, N, S, Q = _soft_sums(rows, origin, len(models), "full", lambda X: models.log_density(X) + logw)
         total = N.sum()
         trace.append(ll / total)
         if len(trace) > 1 and trace[-1] - trace[-2] < tol:

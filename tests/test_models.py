@@ -126,3 +126,20 @@ def test_outliers_take_the_nearest_model(cloud, three):
     some = pts.withColumn("label", F.when(F.col("id") % 2 == 0, F.col("label")))
     got = M.reassign_outliers(some, "label", models).select("id", "label").collect()
     assert sum(r["label"] == three[1][r["id"]] for r in got) >= 238
+
+
+def test_steps_get_few_rows_however_large_the_batch(cloud, spark, monkeypatch):
+    from cumulus.operators import folds
+    from cumulus.functions.vectors import matrix
+
+    monkeypatch.setattr(folds, "ROWS", 50)
+    monkeypatch.setattr(folds, "PACK", 20)
+    X = np.random.default_rng(5).normal(size=(700, 3))
+    pts = cloud(X)
+    blocks = folds.packed(pts)
+    step = lambda b: (lambda x: np.array([len(x), (x > 0).sum()]))(matrix(b.column("x")))
+    most = lambda b: np.array([len(matrix(b.column("x")))])
+    for rows in (pts.select("x"), blocks):
+        assert folds.fold(rows, step, (2,)).tolist() == [700, (X > 0).sum()]
+        assert folds.fold(rows, most, (1,), "max")[0] <= 50
+    assert blocks.count() < 100
