@@ -43,8 +43,8 @@ BLOCK, STEP, MAX_SHARDS = 16 << 20, 1 << 20, 4_096
 STEP_DOCS = 1 << 16
 #: Shards that a task handles one after the other: a task holds one of them at a time.
 SPLIT = 4
-#: Counts are merged when so many are waiting.
-WAITING = 4_000_000
+#: Counts are merged when so many are waiting; rows of a batch that are turned into Python values together.
+WAITING, ROWS = 1_000_000, 256
 _END = b"\xff"
 _PAD = _END * ORDER
 
@@ -109,14 +109,17 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def block_events(texts: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct events of a block and how often its training texts have them."""
-    parts = []
+    """Distinct events of a block and how often its training texts have them; steps are merged as they come."""
+    parts, waiting = [], 0
     for step in _steps(texts):
         events, sizes = events_of(texts[step])
         out = np.repeat(held[step], sizes)
         parts.append(np.unique(events[~out], return_counts=True))
         rest = np.unique(events[out])
         parts.append((rest, np.zeros(len(rest), np.int64)))
+        waiting += len(parts[-2][0]) + len(rest)
+        if waiting > WAITING:
+            parts, waiting = [merged(parts)], 0
     return merged(parts)
 
 
@@ -238,7 +241,7 @@ def _pack(shards: int, names: list[str], id_type: pa.DataType):
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         ids, held, texts, size = [], [], [], 0
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for i, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(i)
                 held.append(h)

@@ -84,3 +84,19 @@ def test_no_training_rows_and_empty(corpus):
     assert abs(got[1]["score"] - 3 * math.log10(1 / 256)) < 1e-6 and abs(got[2]["score"] - math.log10(1 / 256)) < 1e-6
     assert got[1]["train_tokens"] == 0 and got[1]["n_known"] == 0 and abs(got[1]["base_score"]) < 1e-9
     assert score(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_block_counts_merge_as_steps_come(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm_score, "STEP", 1_000)
+    monkeypatch.setattr(lm_score, "WAITING", 4_000, raising=False)
+    sizes, merged = [], lm_score.merged
+    monkeypatch.setattr(lm_score, "merged", lambda parts: sizes.append(sum(len(k) for k, _ in parts)) or merged(parts))
+    texts = [bytes(np.random.default_rng(i % 5).integers(97, 101, 500).astype(np.uint8)) for i in range(400)]
+    held = np.arange(400) % 3 == 0
+    keys, counts = lm_score.block_events(texts, held)
+    events, lengths = lm_score.events_of(texts)
+    want, uses = np.unique(events, return_counts=True)
+    assert np.array_equal(keys, want) and counts.sum() == lengths[~held].sum() and (counts <= uses).all()
+    assert max(sizes) <= len(want) + 4_000 + 2 * 1_100  # what is held, what may wait and one step
