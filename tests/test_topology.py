@@ -136,3 +136,25 @@ def test_cluster_and_witness_weights(cloud):
     want = {(i + 1, j + 1): max(0.0, (np.maximum(d[:, i], d[:, j]) - m[:, 0]).min()) for i, j in itertools.combinations(range(5), 2)}
     assert got == pytest.approx(want)
     assert T.dimension_cap(2, 2) == 1 and T.dimension_cap(1, 9) == 1
+
+
+@pytest.mark.parametrize("arcs,paths", [(1 << 19, 1 << 20), (6, 40)])
+def test_triangles_are_those_of_the_self_joins_and_no_path_is_stored(spark, monkeypatch, arcs, paths):
+    from collections import Counter
+
+    rng = np.random.default_rng(5)
+    edges = [(r, int(a), int(b), float(rng.random())) for r in ("one", "two") for a, b in rng.integers(0, 14, (70, 2))]  # repeats and loops
+    degree = Counter((r, x) for r, a, b, _ in edges for x in (a, b))
+    turned = [(r, a, b, w) if (degree[r, a], a) < (degree[r, b], b) else (r, b, a, w) for r, a, b, w in edges]
+    want = Counter(
+        (r, tuple(sorted((s, t, u))), max(w, w2, w3))
+        for r, s, t, w in turned for r2, t2, u, w2 in turned if r2 == r and t2 == t for r3, s3, u3, w3 in turned if (r3, s3, u3) == (r, s, u)
+    )
+    written, cut = [], T.materialise
+    monkeypatch.setattr(T, "materialise", lambda df, name="cut": written.append(name) or cut(df, name))
+    monkeypatch.setattr(T, "ARCS", arcs, raising=False)
+    monkeypatch.setattr(T, "PATHS", paths, raising=False)
+    vertices = spark.createDataFrame([(r, v, 0.0) for r in ("one", "two") for v in range(14)], "run_id string, v bigint, w double")
+    cells = T.expand(vertices, spark.createDataFrame(edges, "run_id string, a bigint, b bigint, w double"), 2)
+    got = Counter((r["run_id"], tuple(r["verts"]), r["w"]) for r in cells.filter("dim = 2").collect())
+    assert got == want and cells.filter("dim = 1").count() == 140 and "cells" not in written
