@@ -1,8 +1,14 @@
+import glob
+import tempfile
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cumulus.operators import density as D
 from cumulus.operators.spectral import affinity_graph, leading_vectors
+from cumulus.session import Rounds
 
 
 def dense(X, neighbors, gamma):
@@ -49,3 +55,19 @@ def test_classes_that_differ_in_later_vectors(cloud):
     got = {r["id"]: r["cluster"] for r in D.spectral(cloud(X, y), "label", 1, neighbors=5, gamma=2.0).collect()}
     parts = [{got[i] for i in np.flatnonzero(y == c)} for c in (1, 2, 3, 4)]
     assert all(len(p) == 1 for p in parts) and len(set.union(*parts)) == 4
+
+
+def test_a_written_round_leaves_no_shuffle_files(spark):
+    rounds, root = Rounds("kept"), spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+    files = lambda: set(glob.glob(f"{root}/blockmgr-*/*/shuffle_*"))
+    before = files()
+    kept = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    now = spark.range(1_000)
+    for i in range(3):
+        now = rounds.cut(now.repartition(3, (F.col("id") + i) % 7))
+    for _ in range(50):  # files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and now.count() == 1_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == kept
