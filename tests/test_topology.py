@@ -158,3 +158,43 @@ def test_triangles_are_those_of_the_self_joins_and_no_path_is_stored(spark, monk
     cells = T.expand(vertices, spark.createDataFrame(edges, "run_id string, a bigint, b bigint, w double"), 2)
     got = Counter((r["run_id"], tuple(r["verts"]), r["w"]) for r in cells.filter("dim = 2").collect())
     assert got == want and cells.filter("dim = 1").count() == 140 and "cells" not in written
+
+
+def test_elimination_does_not_depend_on_the_width_of_slices(spark):
+    rng = np.random.default_rng(11)
+    runs = {name: rng.random((rows, 300)) < share for name, rows, share in (("thin", 250, 0.01), ("thick", 400, 0.3))}
+    entries = spark.createDataFrame([(name, int(i), int(j) + 1) for name, M in runs.items() for i, j in np.argwhere(M)], "run_id string, id bigint, at bigint")
+    want = set()
+    for name, M in runs.items():
+        own = {}
+        for i, row in enumerate(M):
+            row = set((np.flatnonzero(row) + 1).tolist())
+            while row and min(row) in own:
+                row ^= own[min(row)]
+            if row:
+                own[min(row)] = row
+                want.add((name, i, min(row)))
+    for width in (64, 128, P.SLICE):
+        got = [(r["run_id"], r["id"], r["at"]) for r in P.eliminate(entries, width).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_clique_pairs_are_those_of_all_columns_in_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    runs = {}
+    for name, n, levels in (("fine", 26, 10**6), ("ties", 22, 6)):
+        w = {e: float(rng.integers(1, levels)) for e in itertools.combinations(range(n), 2) if rng.random() < 0.6}
+        runs[name] = [((v,), 0.0) for v in range(n)] + list(w.items())
+        for c in itertools.combinations(range(n), 3):
+            es = list(itertools.combinations(c, 2))
+            if all(e in w for e in es):
+                runs[name].append((c, max(w[e] for e in es)))
+    cells, joined = table(spark, runs), []
+    reduce = P.reduce_columns
+    monkeypatch.setattr(P, "reduce_columns", lambda columns, every_entry=False: joined.append(every_entry) or reduce(columns, every_entry))
+    want = {name: standard_reduction(cells) for name, cells in runs.items()}
+    got = {}
+    for r in P.persistence_pairs(cells, cliques=True).collect():
+        got.setdefault(r["run_id"], set()).add((r["dim"], r["birth"], r["death"]))
+    assert got == want
+    assert joined == [True]  # rounds of joins are left to edge columns
