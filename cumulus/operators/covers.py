@@ -50,7 +50,8 @@ def _pruned(points, models, min_size, prune):
     return models
 
 
-def factor_cover(points, size, factors=1, seed=0, tol=1e-3, max_iter=50, min_size=1, prune=True, **build_opts) -> Cover:
+def factor_cover(points, size, factors=1, seed=0, tol=1e-3, max_iter=1000, min_size=1, prune=True, **build_opts) -> Cover:
+    """Factor analysers, fitted until they settle: the rounds stop by ``tol``, ``max_iter`` only guards against a fit that never does."""
     fit = factor_analysers(points, size, factors, seed, tol, max_iter)
     return build(points, _pruned(points, fit.models, min_size, prune), **build_opts)
 

@@ -177,7 +177,7 @@ def cover_kmeans(spark, sf):
 
 @query()
 def cover_factors(spark, sf):
-    return _cover(spark, sf, "factors", 4, 2, max_iter=6)
+    return _cover(spark, sf, "factors", 4, 2)
 
 
 @query()

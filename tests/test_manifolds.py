@@ -6,7 +6,10 @@ import pytest
 from cumulus.operators import covers as O
 from cumulus.operators import description as B
 from cumulus.operators import manifolds as L
+from cumulus.operators import mixtures as X
 from cumulus.operators import projected as R
+from cumulus.plans.registry import QUERIES
+from cumulus.plans.topology import lots
 
 
 @pytest.fixture(scope="module")
@@ -123,6 +126,19 @@ def test_manifold_cover_drops_wide_models(cloud, two_lines):
         O.manifold_cover(pts, 4, seed=2, entropy_bound=-1e9, search={"best_bound": 1.0, "candidates": 40})
 
 
+def test_factor_cover_is_fitted_until_it_settles(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i // 7, i % 7 + 1, float(rng.integers(1, 51)), float(rng.uniform(900, 90000)), float(rng.integers(0, 11)) / 100, "ANR"[i % 3]) for i in range(420)]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    pts = lots(spark, str(tmp_path))
+    whole = X.factor_analysers(pts, 8, 1, 3, 1e-3, 1000)
+    assert len(whole.trace) > 6 and whole.trace[-1] - whole.trace[-2] < 1e-3
+    got = {r["comp"]: r["n"] for r in QUERIES["cover_factors"](spark, str(tmp_path)).collect()}
+    sizes = lambda fit: {int(i): int(n) for i, n in zip(fit.models.ids, O._pruned(pts, fit.models, 1, True).n)}
+    assert got == sizes(whole) != sizes(X.factor_analysers(pts, 8, 1, 3, 1e-3, 6))
+
+
 def test_sample_sizes():
     assert L.sample_size(1, 0.1, 10, 1, 1000) == math.ceil(math.log(0.01) / math.log(0.9))
     assert L.sample_size(2, 0.1, 10, 1, 1000) == 100 and L.sample_size(3, 0.001, 10, 1, 1000) == 1
