@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
+from cumulus.operators import closings as N
 from cumulus.operators import complexes as T
 from cumulus.operators import forest as F_
 from cumulus.operators import gaussians as M
@@ -198,3 +199,41 @@ def test_clique_pairs_are_those_of_all_columns_in_few_rounds(spark, monkeypatch)
         got.setdefault(r["run_id"], set()).add((r["dim"], r["birth"], r["death"]))
     assert got == want
     assert joined == [True]  # rounds of joins are left to edge columns
+
+
+@pytest.mark.parametrize("batch, axes", [(5, 3), (1 << 15, 12)])
+def test_triangles_counted_at_their_last_edges(cloud, monkeypatch, batch, axes):
+    """Edges that are equal, copies of a vector and blocks of any size: every triangle counts once, and none is a row."""
+    monkeypatch.setattr(N, "BLOCKS", 3)
+    monkeypatch.setattr(N, "BLOCK", 20)
+    monkeypatch.setattr(N, "CHUNK", 16)
+    monkeypatch.setattr(N, "BATCH", batch)
+    rng = np.random.default_rng(axes)
+    X = rng.integers(0, 3, (70, axes)).astype(float)
+    X[:9] = X[0]
+    X[20:] += rng.normal(0, 0.1, (50, axes))
+    pts = cloud(X)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    eps = float(np.quantile(D, 0.4))
+    E = {(i, j): D[i, j] for i, j in itertools.combinations(range(70), 2) if D[i, j] <= eps}
+    closes = dict.fromkeys(E, 0)
+    for t in itertools.combinations(range(70), 3):
+        sides = list(itertools.combinations(t, 2))
+        if all(s in E for s in sides):
+            closes[max(sides, key=lambda s: (E[s], s))] += 1
+    vertices, edges = T.rips_graph(pts, eps, counted=True)
+    got = {(r["a"], r["b"]): r["closes"] for r in edges.collect()}
+    assert got == closes and sum(closes.values()) > 2 * len(E)
+    cells = materialise(T.expand(vertices, edges, 2))
+    assert cells.count() == 70 + len(E) + sum(v > 0 for v in closes.values())
+    curve = lambda c: [(round(r["w"], 9), r["euler"]) for r in T.euler_curve(c).orderBy("w").collect()]
+    listed = T.expand(*T.rips_graph(pts, eps), 2)
+    assert curve(cells)[-1][1] == curve(listed)[-1][1] == 70 - len(E) + sum(closes.values())
+    if axes == 3:  # the two ways sum squares in another order where there are more axes
+        assert curve(cells) == curve(listed)
+
+
+def test_counted_complex_of_repeated_ids_is_listed(spark):
+    rows = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.1, 0.0]), (2, [0.0, 0.1]), (3, [0.1, 0.1])], "id bigint, x array<double>")
+    curve = lambda counted: [tuple(r) for r in T.euler_curve(T.expand(*T.rips_graph(rows, 1.0, counted=counted), 2)).orderBy("w").collect()]
+    assert curve(True) == curve(False) and len(curve(True)) > 1
