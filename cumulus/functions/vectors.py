@@ -111,9 +111,9 @@ def close_pairs(a: np.ndarray, b: np.ndarray, limit, tile: int = 512) -> Iterato
             yield at, i, j, D[i, j]
 
 
-def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def true_places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Like ``nonzero`` of a flat table of few True cells, looking at eight cells at once."""
-    if mask.shape[1] % 8:
+    if mask.shape[1] % 8 or not mask.flags.c_contiguous:
         return np.nonzero(mask)
     words = np.flatnonzero(mask.ravel().view(np.uint64) != 0)
     at = np.flatnonzero(mask.reshape(-1, 8).take(words, 0))
@@ -137,7 +137,7 @@ def measured_pairs(a: np.ndarray, b: np.ndarray, limit: float, tile: int = 512)
         rows = a[at : at + tile]
         if quick:
             some = np.concatenate([rows, np.ones((len(rows), 1))], axis=1).astype(np.float32) @ wide
-            i, j = _places(some <= (limit - aa[at : at + tile] + room).astype(np.float32)[:, None])
+            i, j = true_places(some <= (limit - aa[at : at + tile] + room).astype(np.float32)[:, None])
             d = np.empty(len(i))
             for lo in range(0, len(i), 4096):
                 apart = rows.take(i[lo : lo + 4096], 0, mode="clip")

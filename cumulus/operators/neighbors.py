@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cumulus.functions.vectors import close_pairs, matrix, square_distances
+from cumulus.functions.vectors import close_pairs, matrix, square_distances, true_places
 from cumulus.operators.folds import fold, map_blocks
 from cumulus.operators.ordering import seeded_pick
 from cumulus.operators.pivot_tree import nearest_rows, slack
@@ -82,11 +82,27 @@ def _block_pairs(queries: DataFrame, data: DataFrame, work, schema: str) -> Data
     return left.groupBy("_a", "_b").cogroup(right.groupBy("_q", "_d")).applyInArrow(work, schema)
 
 
-def _tiles(queries: pa.Table, data: pa.Table):
-    """(at, end, squared distances) of the queries from ``at`` to ``end`` to all rows of the block."""
-    X, rows = matrix(queries.column("x")), matrix(data.column("x"))
-    for at in range(0, len(X), _TILE // 4):
-        yield at, min(at + _TILE // 4, len(X)), square_distances(X[at : at + _TILE // 4], rows)
+def _tiles(X: np.ndarray, rows: np.ndarray):
+    """(at, end, first, squared distances without X.X, X.X) of the queries from ``at`` to ``end`` to rows from ``first`` on,
+    after how far these may be off: a product in single precision, where numbers and axes allow it."""
+    aa, bb = (X * X).sum(1), (rows * rows).sum(1)
+    top, d = max(aa.max(initial=0.0), bb.max(initial=0.0)), X.shape[1]
+    quick = d > 8 and 1e-20 < top < 1e20
+    if quick:
+        wide = np.concatenate([rows * -2.0, bb[:, None]], axis=1).astype(np.float32).T.copy()
+        ones = np.concatenate([X, np.ones((len(X), 1))], axis=1).astype(np.float32)
+
+    def run():
+        for at in range(0, len(X), _TILE // 2):
+            end = min(at + _TILE // 2, len(X))
+            for first in range(0, len(rows), _TILE * 4):
+                last = first + _TILE * 4
+                if quick:
+                    yield at, end, first, ones[at:end] @ wide[:, first:last], aa[at:end]
+                else:
+                    yield at, end, first, square_distances(X[at:end], rows[first:last]), np.zeros(end - at)
+
+    return (5e-7 * (d + 8) if quick else 1e-9) * top, run()
 
 
 def kth_distances(points: DataFrame, k: int) -> DataFrame:
@@ -139,50 +155,58 @@ def _ranked(asked: DataFrame, data: DataFrame, sample: np.ndarray, n: int, wide:
     bins = [f"c{i}" for i in range(BINS)]
 
     def count(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        got = np.zeros((queries.num_rows, BINS + 2), np.int64)
+        got, room = np.zeros((queries.num_rows, BINS + 2), np.int64), 0.0
         if queries.num_rows and rows.num_rows:
             lo, hi = queries.column("lo").to_numpy(), queries.column("hi").to_numpy()
-            for at, end, D in _tiles(queries, rows):
-                i, j = np.nonzero((D >= lo[at:end, None]) & (D < hi[at:end, None]))
-                part = np.minimum((D[i, j] - lo[at + i]) / (hi[at + i] - lo[at + i]) * BINS, BINS - 1).astype(np.int64) + 1
-                got[at:end] = np.bincount(i * (BINS + 2) + part, minlength=(end - at) * (BINS + 2)).reshape(end - at, -1)
-                got[at:end, 0] = (D < lo[at:end, None]).sum(1)
-        return pa.table({"id": queries.column("id"), **{c: pa.array(got[:, i]) for i, c in enumerate(["below", *bins])}})
+            room, tiles = _tiles(matrix(queries.column("x")), matrix(rows.column("x")))
+            for at, end, _, D, own in tiles:
+                least, most = ((v[at:end] - own).astype(D.dtype)[:, None] for v in (lo, hi))
+                under = D < least
+                i, j = true_places((D < most) & ~under)
+                part = (D[i, j] - least[i, 0]).astype(np.float64) / (hi[at + i] - lo[at + i]) * BINS
+                part = np.clip(part, 0, BINS - 1).astype(np.int64) + 1
+                got[at:end] += np.bincount(i * (BINS + 2) + part, minlength=(end - at) * (BINS + 2)).reshape(end - at, -1)
+                got[at:end, 0] += np.count_nonzero(under, axis=1)
+        return pa.table({"id": queries.column("id"), "room": pa.array([room] * queries.num_rows, pa.float64()), **{c: pa.array(got[:, i]) for i, c in enumerate(["below", *bins])}})
 
     if n > EMITTED:
         fixed = asked.filter("hi < double('inf')")
-        counts = _block_pairs(fixed, data, count, "id bigint, below bigint, " + ", ".join(f"{c} bigint" for c in bins))
-        counts = counts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ["below", *bins]])
+        counts = _block_pairs(fixed, data, count, "id bigint, room double, below bigint, " + ", ".join(f"{c} bigint" for c in bins))
+        counts = counts.groupBy("id").agg(F.max("room").alias("room"), *[F.sum(c).alias(c) for c in ["below", *bins]])
 
         def narrow(batch):
-            lo, hi, r = (batch.column(c).to_numpy() for c in ("lo", "hi", "r"))
+            lo, hi, r, room = (batch.column(c).to_numpy() for c in ("lo", "hi", "r", "room"))
             upto = np.cumsum(np.stack([batch.column(c).to_numpy() for c in ["below", *bins]], 1), axis=1)
             part = (upto < r[:, None]).sum(1) - 1  # -1: below the range; BINS: above it
             step = (hi - lo) / BINS
             edge = lambda i: lo + step * i
             ok = (part >= 0) & (part < BINS)
-            return {"lo": pa.array(np.where(ok, edge(part) - 1e-9 * np.abs(edge(part)), lo)), "hi": pa.array(np.where(ok, edge(part + 1) + 1e-9 * np.abs(edge(part + 1)), lo))}
+            off = lambda i: room + 1e-9 * np.abs(edge(i))  # noqa: E731  # counts by distances that are off by so much find an answer that is no farther
+            return {"lo": pa.array(np.where(ok, edge(part) - off(part), lo)), "hi": pa.array(np.where(ok, edge(part + 1) + off(part + 1), lo))}
 
         counted = fixed.select("id", "x", "r", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).join(counts, "id")
         counted = counted.withColumnsRenamed({"_lo": "lo", "_hi": "hi"})
-        narrowed = map_blocks(counted, narrow, "lo double, hi double", ["id", "x", "r"], ("id", "x", "r", "lo", "hi", "below", *bins))
+        narrowed = map_blocks(counted, narrow, "lo double, hi double", ["id", "x", "r"], ("id", "x", "r", "lo", "hi", "room", "below", *bins))
         asked = materialise(narrowed.unionByName(asked.filter("hi = double('inf')")), "narrowed")
 
     def emit(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        below, v, c = np.zeros(queries.num_rows, np.int64), [], []
+        below, v, c = np.zeros(queries.num_rows, np.int64), [[]] * queries.num_rows, [[]] * queries.num_rows
         if queries.num_rows and rows.num_rows:
             X, Y = matrix(queries.column("x")), matrix(rows.column("x"))
             lo, hi = queries.column("lo").to_numpy(), queries.column("hi").to_numpy()
-            for at, end, D in _tiles(queries, rows):
-                below[at:end] = (D < lo[at:end, None]).sum(1)
-                i, j = np.nonzero((D >= lo[at:end, None]) & (D <= hi[at:end, None]))
-                exact = np.concatenate([np.empty(0), *[((X[at + i[s : s + 65536]] - Y[j[s : s + 65536]]) ** 2).sum(1) for s in range(0, len(i), 65536)]])
-                for part in np.split(exact, np.searchsorted(i, np.arange(1, end - at))):
-                    values, counts = np.unique(part, return_counts=True)
-                    v.append(values)
-                    c.append(counts)
-        else:
-            v, c = [[]] * queries.num_rows, [[]] * queries.num_rows
+            room, tiles = _tiles(X, Y)
+            kept = []
+            for at, end, first, D, own in tiles:
+                under = D < (lo[at:end] - room - own).astype(D.dtype)[:, None]
+                i, j = true_places((D <= (hi[at:end] + room - own).astype(D.dtype)[:, None]) & ~under)
+                exact = np.concatenate([np.empty(0), *[((X[at + i[s : s + 4096]] - Y[first + j[s : s + 4096]]) ** 2).sum(1) for s in range(0, len(i), 4096)]])
+                below[at:end] += np.count_nonzero(under, axis=1) + np.bincount(i[exact < lo[at + i]], minlength=end - at)
+                ok = (exact >= lo[at + i]) & (exact <= hi[at + i])
+                kept.append((at + i[ok], exact[ok]))
+            i, exact = (np.concatenate(k) for k in zip(*kept))
+            by = np.argsort(i, kind="stable")
+            for q, part in enumerate(np.split(exact[by], np.searchsorted(i[by], np.arange(1, queries.num_rows)))):
+                v[q], c[q] = np.unique(part, return_counts=True)
         return pa.table({"id": queries.column("id"), "below": pa.array(below), "v": pa.array(v, pa.list_(pa.float64())), "c": pa.array(c, pa.list_(pa.int64()))})
 
     values = _block_pairs(asked, data, emit, "id bigint, below bigint, v array<double>, c array<bigint>")

@@ -226,3 +226,19 @@ def test_kth_distances_of_repeated_ids(cloud):
     want = {r["id"]: r["far"] for r in lists.collect()}
     got = {r["id"]: r["far"] for r in N.kth_distances(pts, 9).collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_kth_distances_closer_than_single_precision_tells(cloud, monkeypatch):
+    """Distances are first looked at in single precision; ranks and values are exact all the same."""
+    rng = np.random.default_rng(5)
+    X = np.repeat(rng.normal(size=(6, 24)), 40, axis=0) + rng.normal(0, 1e-7, (240, 24))
+    room, tiles = N._tiles(X, X)
+    exact = ((X[:, None] - X[None]) ** 2).sum(2)
+    for at, end, first, D, own in tiles:
+        assert D.dtype == np.float32
+        assert (abs(D + own[:, None] - exact[at:end, first : first + D.shape[1]]) <= room).all()
+    assert np.diff(np.sort(exact, axis=1)[:, 40:80], axis=1).max(1).min() < room  # ranks that single precision can't tell apart
+    for most in (10, 20_000):  # with and without the pass that narrows ranges
+        monkeypatch.setattr(N, "EMITTED", most)
+        got = {r["id"]: r["far"] for r in N.kth_distances(cloud(X), 57).collect()}
+        assert np.array_equal([got[i] for i in range(240)], np.sqrt(np.sort(exact, axis=1)[:, 56]))
