@@ -73,7 +73,7 @@ def lloyd(points: DataFrame, fits: list[KMeansFit], rounds: int = 100, tol: floa
             at += k * (d + 1) + 1
             moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], f.centers)
             settled = f.cost - cost <= tol * cost
-            f.cost, f.sizes, f.rounds = float(cost), n.astype(np.int64), done
+            f.cost, f.sizes, f.rounds = float(f"{cost:.12g}"), n.astype(np.int64), done  # partial sums meet in any order: their last digits tell nothing
             if not settled and done < rounds and not np.array_equal(moved, f.centers):
                 f.centers = moved
                 still.append(f)
